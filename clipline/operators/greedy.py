@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .intervals import buckets, with_islands
+from .ordered import block_if, time_block
 
 SMALL_GROUP = 5000
 
@@ -119,12 +120,14 @@ def select_apart(
     payload: Sequence[str] = (),
     cell_s: float = 60.0,
     small_group: int = SMALL_GROUP,
+    large: bool | None = None,
 ) -> DataFrame:
     """``greedy_select`` for rows that can conflict only where their spans overlap.
 
     Runs of overlapping spans are found first: spans of different runs never meet, so each run is a group.
     """
-    runs = with_islands(df, keys, [start, end, *row_id], start, end, strict=True, name="__run")
+    block = block_if(large, df, keys, time_block(start))
+    runs = with_islands(df, keys, [start, end, *row_id], start, end, strict=True, block=block, name="__run")
     kept = greedy_select(
         runs,
         [*keys, "__run"],

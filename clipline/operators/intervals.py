@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import last_seen, max_before, next_seen, running_sum, time_block, with_ordered
+from .ordered import last_seen, max_before, next_seen, running_sum, with_ordered
 
 START, END = "start_s", "end_s"
 
@@ -71,7 +71,6 @@ def with_islands(
 
     ``order`` begins with the start column and ends with a row id.
     """
-    block = time_block(start) if block is None else block
     reach = with_ordered(df, keys, order, {"__reach": max_before(F.col(end))}, block)
     apart = (F.col(start) >= F.col("__reach") + gap_s) if strict else (F.col(start) > F.col("__reach") + gap_s)
     flagged = reach.withColumn("__new", F.when(F.col("__reach").isNull() | apart, 1).otherwise(0))
@@ -106,7 +105,7 @@ def asof_nearest(
     point_id: Sequence[str],
     within: float | None = None,
     strict_within: bool = False,
-    block_s: float = 3600.0,
+    block_s: float | None = None,
     late_wins: bool = False,
 ) -> DataFrame:
     """For each point, the payload of the target nearest in time; equal distances go to the earlier target.
@@ -128,7 +127,7 @@ def asof_nearest(
         keys,
         ["__t", "__kind", *point_id],
         {"__prev": last_seen(hit), "__next": next_seen(hit)},
-        F.floor(F.col("__t") / block_s),
+        None if block_s is None else F.floor(F.col("__t") / block_s),
     ).where(F.col("__kind") == 1)
     before, after = F.col("__t") - F.col("__prev.t"), F.col("__next.t") - F.col("__t")
     closer = (after <= before) if late_wins else (after < before)
@@ -153,7 +152,7 @@ def as_of(
     start: str,
     payload: Sequence[str],
     point_id: Sequence[str],
-    block_s: float = 3600.0,
+    block_s: float | None = None,
 ) -> DataFrame:
     """Attach ``last`` and ``next`` payload structs: the last turn starting at or before the point, the first after it."""
     keys = list(keys)
@@ -168,7 +167,7 @@ def as_of(
         keys,
         ["__t", "__kind", "__hit", *point_id],
         {"last_turn": last_seen(hit), "next_turn": next_seen(hit)},
-        F.floor(F.col("__t") / block_s),
+        None if block_s is None else F.floor(F.col("__t") / block_s),
     ).where(F.col("__kind") == 1)
     return points.join(found.select(*keys, *point_id, "last_turn", "next_turn"), [*keys, *point_id])
 
