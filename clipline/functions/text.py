@@ -126,3 +126,54 @@ def ordered_distinct(items: Column, key=lambda c: c) -> Column:
 def safe_title(c: Column, limit: int = 80) -> Column:
     """Text usable as a file name."""
     return F.substring(F.regexp_replace(strip(c), r'[\\/*?:"<>|]', ""), 1, limit)
+
+
+# Words a plan should not open on, and tags that say nothing about a topic.
+WEAK_PLAN_OPENERS = (
+    "and", "but", "or", "so", "yet", "nor", "for",
+    "because", "since", "although", "though", "even", "while", "whereas",
+    "if", "unless", "until", "when", "whenever", "where", "wherever",
+    "which", "that", "who", "whom", "whose", "after", "before",
+    "however", "therefore", "thus", "hence", "consequently",
+    "moreover", "furthermore", "additionally", "also", "besides",
+    "meanwhile", "nevertheless", "nonetheless", "otherwise", "instead",
+    "then", "next", "finally", "lastly",
+    "namely", "specifically", "particularly", "especially", "including",
+    "such", "like", "as", "with", "without", "by", "from",
+    "of", "in", "on", "at", "to",
+    "plus", "except", "rather", "indeed", "certainly", "actually",
+    "basically", "essentially", "ultimately",
+    "yeah", "yes", "hey", "well", "now", "right", "okay", "ok",
+    "um", "uh", "hmm", "ah", "oh", "look", "listen", "alright",
+    "anyway", "you", "know", "i", "mean", "just", "literally",
+)
+REFINED_WEAK_OPENERS = (
+    "and", "but", "or", "so", "because", "which", "then", "also",
+    "therefore", "however", "um", "uh", "yeah", "of", "like",
+    "well", "okay", "right", "anyway", "basically",
+)
+SOFT_OPENERS = (
+    "kind of", "sort of", "what that", "the reason i", "the reason that",
+    "it was like", "this thing", "that's the thing", "very difficult to argue",
+    "difficult to argue", "as i said", "like i said", "you know what",
+)
+DEFAULT_TAGS = (
+    "#viral", "#trending", "#fyp", "#shorts", "#foryou", "#growth", "#inspiration", "#content", "#clip", "#bestvideo",
+)
+FILLER_TAGS = (
+    "#viral #fyp #shorts #trending #foryou #foryoupage #explore #reels #youtubeshorts #viralvideo #motivation"
+    " #mindset #trendingshorts #subscribe #podcast #podcastclips #viralshorts #shortsfeed #reelsviral #trend"
+    " #explorepage #contentcreator #inspiration #selfimprovement #growth #wellness #health #healthtips #lifehacks"
+    " #knowledge #learnontiktok #educational #facts #science #biohacking #longevity #wellbeing #mentalhealth"
+    " #dailymotivation #success"
+)
+
+
+def clean_hashtag(c: Column) -> Column:
+    """Letters, digits and underscore behind one ``#``; empty when nothing is left."""
+    bare = F.regexp_replace(strip(c), r"[^A-Za-z0-9_#]", "")
+    return F.when(bare == "", F.lit("")).when(bare.startswith("#"), bare).otherwise(F.concat(F.lit("#"), bare))
+
+
+def clean_hashtags(items: Column) -> Column:
+    return ordered_distinct(F.filter(F.transform(items, clean_hashtag), lambda t: t != ""), F.lower)

@@ -144,6 +144,36 @@ def asof_nearest(
     return points.join(found.withColumnRenamed("__at", f"{target}_near"), [*keys, *point_id], "left")
 
 
+def nearest_within(
+    points: DataFrame,
+    targets: DataFrame,
+    keys: Sequence[str],
+    point: str,
+    target: str,
+    point_id: Sequence[str],
+    within: float,
+    name: str,
+    strict: bool = True,
+) -> DataFrame:
+    """For each point the closest target time no further than ``within``; equal distances go to the earlier target.
+
+    A bucketed join: each point meets only the targets of its own stretch of time.
+    """
+    keys = list(keys)
+    probe = points.select(*keys, *point_id, F.col(point).alias("__t")).distinct().withColumns({
+        "__lo": F.col("__t") - within, "__hi": F.col("__t") + within,
+    })
+    spots = targets.select(*keys, F.col(target).alias("__at")).distinct().withColumn("__at2", F.col("__at"))
+    gap = F.abs(F.col("__at") - F.col("__t"))
+    found = (
+        interval_join(probe, spots, keys, ("__lo", "__hi"), ("__at", "__at2"), max(4 * within, 1.0), closed=True)
+        .where(gap < within if strict else gap <= within)
+        .groupBy(*keys, *point_id)
+        .agg(F.min(F.struct(gap.alias("g"), F.col("__at").alias("at")))["at"].alias(name))
+    )
+    return points.join(found, [*keys, *point_id], "left")
+
+
 def as_of(
     points: DataFrame,
     turns: DataFrame,

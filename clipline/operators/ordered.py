@@ -79,10 +79,9 @@ def next_seen(value: Column) -> Spec:
     return Spec("next_seen", value)
 
 
-def _local(spec: Spec, w: Window) -> Column:
+def _local(spec: Spec, w: Window, back: Window) -> Column:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
     v = spec.value
     if spec.kind == "lag":
         return F.lag(F.struct(v.alias("v"))).over(w)
@@ -97,7 +96,8 @@ def _local(spec: Spec, w: Window) -> Column:
     if spec.kind == "last_seen":
         return F.last(v, ignorenulls=True).over(upto)
     if spec.kind == "next_seen":
-        return F.first(v, ignorenulls=True).over(onward)
+        # read backwards: a frame that runs to the end of the key would be walked anew for every row
+        return F.last(v, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     raise ValueError(spec.kind)
 
 
@@ -116,9 +116,8 @@ def _block_state(spec: Spec, order: Column) -> Column:
     return F.min_by(v, F.when(v.isNotNull(), order))
 
 
-def _carry(spec: Spec, state: Column, w: Window) -> Column:
+def _carry(spec: Spec, state: Column, w: Window, back: Window) -> Column:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
     if spec.kind == "lag":
         return F.lag(state).over(w)
     if spec.kind == "lead":
@@ -129,7 +128,7 @@ def _carry(spec: Spec, state: Column, w: Window) -> Column:
         return F.max(state).over(before)
     if spec.kind == "last_seen":
         return F.last(state, ignorenulls=True).over(before)
-    return F.first(state, ignorenulls=True).over(after)
+    return F.last(state, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def _merge(spec: Spec, local: Column, carried: Column) -> Column:
@@ -142,6 +141,11 @@ def _merge(spec: Spec, local: Column, carried: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+def _both_ways(keys: Sequence[str], order: Sequence[str]) -> tuple[Window, Window]:
+    part = Window.partitionBy(*keys)
+    return part.orderBy(*order), part.orderBy(*[F.col(c).desc_nulls_last() for c in order])
+
+
 def with_ordered(
     df: DataFrame,
     keys: Sequence[str],
@@ -156,9 +160,9 @@ def with_ordered(
     """
     keys = list(keys)
     if block is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
+        w, back = _both_ways(keys, order)
         out = {
-            n: (_local(s, w)["v"] if s.kind in ("lag", "lead") else _local(s, w)) for n, s in specs.items()
+            n: (_local(s, w, back)["v"] if s.kind in ("lag", "lead") else _local(s, w, back)) for n, s in specs.items()
         }
         return df.withColumns(out)
 
@@ -167,19 +171,29 @@ def with_ordered(
     states = blocked.groupBy(*keys, _BLOCK).agg(
         *[_block_state(s, rank).alias(f"__s_{n}") for n, s in specs.items()]
     )
-    across = Window.partitionBy(*keys).orderBy(_BLOCK)
+    across, across_back = _both_ways(keys, [_BLOCK])
     carried = states.select(
-        *keys, _BLOCK, *[_carry(s, F.col(f"__s_{n}"), across).alias(f"__c_{n}") for n, s in specs.items()]
+        *keys, _BLOCK, *[_carry(s, F.col(f"__s_{n}"), across, across_back).alias(f"__c_{n}") for n, s in specs.items()]
     )
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    inside, inside_back = _both_ways([*keys, _BLOCK], order)
     return (
         blocked.join(carried, [*keys, _BLOCK])
-        .withColumns({f"__l_{n}": _local(s, inside) for n, s in specs.items()})
+        .withColumns({f"__l_{n}": _local(s, inside, inside_back) for n, s in specs.items()})
         .withColumns({n: _merge(s, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, s in specs.items()})
         .drop(_BLOCK, *[f"__{p}_{n}" for p in "lc" for n in specs])
     )
 
 
+def with_lag(
+    df: DataFrame, keys: Sequence[str], index: str, value: Column, n: int, name: str, block: Column | None = None
+) -> DataFrame:
+    """Value ``n`` rows back. ``index`` counts the rows of a key without holes, so a large key can join on it."""
+    if block is None:
+        return df.withColumn(name, F.lag(value, n).over(Window.partitionBy(*keys).orderBy(index)))
+    back = df.select(*keys, (F.col(index) + n).alias(index), value.alias(name))
+    return df.join(back, [*keys, index], "left")
+
+
 def time_block(column: str, width_s: float = TIME_BLOCK_S) -> Column:
     return F.floor(F.col(column) / F.lit(width_s))
 

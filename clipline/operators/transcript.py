@@ -18,7 +18,8 @@ MIN_WORD_S = 0.12
 
 
 def pseudo_segments(texts: DataFrame, text: str = "text", duration: str | None = None) -> DataFrame:
-    """Estimated sentence timings for plain text: one row per sentence with ``w0`` words before it.
+    """Estimated sentence timings for plain text: one row per sentence with ``w0`` words before it
+    and ``n_words`` in it.
 
     Everything happens inside the row of a text, so no shuffle: a sentence ends at a word that closes on a
     terminator, and its share of the time follows from the number of words before and through it.
@@ -46,6 +47,7 @@ def pseudo_segments(texts: DataFrame, text: str = "text", duration: str | None =
         F.least("__d", F.col("__r") * F.get("__e", F.col("seg_id"))).alias("end_s"),
         "text",
         before.alias("w0"),
+        (F.get("__e", F.col("seg_id")) - before).alias("n_words"),
     )
 
 
@@ -53,7 +55,7 @@ def pseudo_words(segments: DataFrame, keys: tuple[str, ...] = ("video_id",)) ->
     """Words of each estimated segment, spaced evenly over it; ``word_idx`` counts through the video."""
     words = segments.select(
         *keys, "seg_id", F.col("start_s").alias("__s"), F.col("end_s").alias("__e"), "w0",
-        F.size(tokens(F.col("text"))).alias("__n"), F.posexplode(tokens(F.col("text"))).alias("__j", "word"),
+        F.col("n_words").alias("__n"), F.posexplode(tokens(F.col("text"))).alias("__j", "word"),
     )
     width = F.greatest(F.lit(MIN_WORD_S), (F.col("__e") - F.col("__s")) / F.col("__n"))
     return words.select(
@@ -83,7 +85,7 @@ def pseudo_turn_segments(turns: DataFrame, large: bool | None = None) -> DataFra
         "video_id", "seg_id",
         F.least("__d", F.col("__r") * F.col("w0")).alias("start_s"),
         F.least("__d", F.col("__r") * (F.col("w0") + F.col("__n"))).alias("end_s"),
-        "text", "speaker", "w0",
+        "text", "speaker", "w0", F.col("__n").alias("n_words"),
     )
 
 

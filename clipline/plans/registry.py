@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import transcript_queries
+from . import candidate_queries, transcript_queries
 
-_FAMILIES = (transcript_queries,)
+_FAMILIES = (transcript_queries, candidate_queries)
 
 QUERIES = {name: q for family in _FAMILIES for name, q in family.QUERIES.items()}
 ORACLES = {name: q for family in _FAMILIES for name, q in family.ORACLES.items()}
-FLAGSHIP = "rank_windows"
+FLAGSHIP = "select_clips"

@@ -38,11 +38,10 @@ def event_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Scored spans: one video per user, start in units of 20 minutes since the user's first event."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
     first = events.groupBy("user_id").agg(F.min("ts").alias("__t0"))
-    micros = lambda c: F.unix_micros(F.col(c))
     return events.join(first, "user_id").select(
         F.col("user_id").alias("video_id"),
         F.col("event_id").alias("candidate_id"),
-        ((micros("ts") - micros("__t0")) / F.lit(1e6) / F.lit(1200.0)).alias("start_s"),
+        (F.timestamp_diff("MICROSECOND", F.col("__t0"), F.col("ts")) / F.lit(1e6) / F.lit(1200.0)).alias("start_s"),
         F.least(F.greatest("value", F.lit(5.0)), F.lit(90.0)).alias("length_s"),
         F.col("value").alias("score"),
         F.col("event_type").alias("speaker"),
