@@ -127,10 +127,10 @@ def select_apart(
     Runs of overlapping spans are found first: spans of different runs never meet, so each run is a group.
     """
     block = block_if(large, df, keys, time_block(start))
-    runs = with_islands(df, keys, [start, end, *row_id], start, end, strict=True, block=block, name="__run")
+    runs = with_islands(df, keys, [start, end, *row_id], start, end, strict=True, block=block, name="__island")
     kept = greedy_select(
         runs,
-        [*keys, "__run"],
+        [*keys, "__island"],
         priority,
         row_id,
         list(dict.fromkeys([start, end, *payload])),
@@ -138,4 +138,4 @@ def select_apart(
         buckets(F.col(start), F.col(end), cell_s),
         small_group,
     )
-    return kept.drop("__run")
+    return kept.drop("__island")
