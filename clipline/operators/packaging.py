@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FILLER_TAGS, blank_to_null, clean_hashtags, ordered_distinct, strip, tokens
@@ -21,10 +21,11 @@ COPY_POOL = (
     "#creator", "#mindset", "#storytelling", "#viralclips", "#content",
 )
 GENERIC_TAGS = (
-    "#viral", "#trending", "#fyp", "#shorts", "#reels", "#foryou", "#explore", "#instagood",
+    "#viral", "#trending", "#mustwatch", "#clips", "#reels", "#shorts",
+    "#fyp", "#foryou", "#foryoupage", "#explore", "#explorepage",
 )
 DRAFT_TAGS = ("#hashtag", "#tag", "#draft", "#temp")
-OUTPUT_MARKS = ("_branded",)
+OUTPUT_MARKS = ("_branded", "_proxy", "_raw", "_filter", "_drytest")
 
 
 def _texts(*items: str) -> Column:
@@ -176,13 +177,14 @@ def discover_targets(plans: DataFrame, files: DataFrame) -> DataFrame:
 
     files (video_id, clip_name, path, folder, captioned BOOLEAN). Own outputs are never taken in again.
     """
-    mine = F.exists(_texts(*OUTPUT_MARKS), lambda m: F.col("path").contains(m)) | F.split(F.coalesce("folder", F.lit("")), "/").getItem(0).eqNullSafe("branded")
-    fresh = files.where(~mine)
-    first = fresh.where("captioned").groupBy("video_id", "clip_name").agg(F.max("path").alias("path"))
+    first = files.where("captioned").groupBy("video_id", "clip_name").agg(F.max("path").alias("path"))
     planned = first.join(plans.select("video_id", "clip_name").distinct(), ["video_id", "clip_name"], "left_semi").withColumn("source", F.lit("plan"))
     loose = first.join(plans.select("video_id", "clip_name"), ["video_id", "clip_name"], "left_anti").withColumn("source", F.lit("file"))
     known = planned.unionByName(loose)
-    other = fresh.join(known.select("video_id").distinct(), "video_id", "left_anti")
+    stem = F.regexp_extract("path", r"([^/]*)$", 1)
+    marked = F.exists(_texts(*OUTPUT_MARKS), lambda m: stem.contains(m))
+    branded = F.array_contains(F.split(F.coalesce("folder", F.lit("")), "/"), "branded")
+    other = files.where(~marked & ~branded).join(known.select("video_id").distinct(), "video_id", "left_anti")
     nested = F.when(F.coalesce("folder", F.lit("")) != "", F.concat(F.replace("folder", F.lit("/"), F.lit("__")), F.lit("__"), F.col("clip_name"))).otherwise(F.col("clip_name"))
     external = other.groupBy("video_id", nested.alias("clip_name")).agg(F.min("path").alias("path")).withColumn("source", F.lit("external"))
     return known.unionByName(external)
