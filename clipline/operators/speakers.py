@@ -225,8 +225,8 @@ def label_slots(slots: DataFrame, prototypes: DataFrame, threshold: float = EMBE
     Prototypes are one row per speaker of a video, so the join multiplies slots by a handful.
     """
     proto = prototypes.select(*on, F.col("speaker").alias("__who"), "prototype")
-    slim = slots.where(F.col("embedding").isNotNull()).select(*keys, "embedding")
-    pairs = slim.join(proto, list(on)) if on else slim.crossJoin(F.broadcast(proto))
+    slim = slots.where(F.col("embedding").isNotNull()).select(*dict.fromkeys([*on, *keys]), "embedding")
+    pairs = slim.join(proto, list(on))
     scored = pairs.select(*keys, "__who", cosine(F.col("embedding"), F.col("prototype")).alias("__sim"))
     # of equal similarities the speaker that sorts first
     best = scored.groupBy(*keys).agg(F.max("__sim").alias("similarity"), F.min(F.struct((-F.col("__sim")).alias("o"), F.col("__who").alias("who")))["who"].alias("__best"))

@@ -61,7 +61,7 @@ def pseudo_words(segments: DataFrame, keys: tuple[str, ...] = ("video_id",)) ->
     return words.select(
         *keys,
         "seg_id",
-        (F.col("w0") + F.col("__j")).alias("word_idx"),
+        (F.col("w0") + F.col("__j")).cast("int").alias("word_idx"),
         "word",
         clean_word(F.col("word")).alias("clean"),
         round_to(F.col("__s") + F.col("__j") * width).alias("start_s"),

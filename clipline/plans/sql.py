@@ -28,7 +28,7 @@ seg AS (
   FROM seg0
 )"""
 
-WORDS = SEGMENTS + r""",
+WORD_ROWS = r"""
 wrd AS (
   SELECT video_id, seg_id, CAST(w0 + j - 1 AS INTEGER) AS word_idx, word,
          regexp_replace(lower(word), '[^\p{L}\p{N}_]', '', 'g') AS clean,
@@ -38,6 +38,8 @@ wrd AS (
         FROM seg, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) WITH ORDINALITY AS u(word, j))
 )"""
 
+WORDS = SEGMENTS + "," + WORD_ROWS
+
 TURNS = r"""
 turn0 AS (
   SELECT conv_id AS video_id, CAST(turn AS INTEGER) AS seg_id, text, role AS speaker,
