@@ -28,17 +28,17 @@ def pseudo_segments(texts: DataFrame, text: str = "text", duration: str | None =
     sentences = F.filter(F.transform(F.split(F.col(text), SENTENCE_BREAK), strip), lambda s: s != "")
     staged = texts.select(
         *rest, *([F.col(duration)] if duration else []), sentences.alias("__s"), tokens(F.col(text)).alias("__w")
-    ).where(F.size("__w") > 0)
-    n = F.size("__w")
-    ends = F.filter(
-        F.sequence(F.lit(1), n), lambda i: F.element_at("__w", i).rlike(r"[.!?]$") | (i == n)
     )
+    n = F.size("__w")
+    last = lambda i: F.right(F.get("__w", i - 1), F.lit(1)).isin(".", "!", "?")
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: last(i) | (i == n))
     guess = F.greatest(n * SECONDS_PER_WORD, F.size("__s") * SECONDS_PER_SENTENCE)
     given = F.coalesce(F.col(duration).cast("double"), F.lit(0.0)) if duration else F.lit(0.0)
     staged = staged.withColumn("__e", ends).withColumn("__d", F.when(given > 0, given).otherwise(guess))
     rate = F.greatest(F.col("__d") / n, F.lit(MIN_SECONDS_PER_WORD))
     staged = staged.withColumn("__r", rate)
-    rows = staged.select(*rest, "__e", "__d", "__r", F.posexplode("__s").alias("seg_id", "text"))
+    # an inner explode would test the array for emptiness first, and so take every text apart twice
+    rows = staged.select(*rest, "__e", "__d", "__r", F.posexplode_outer("__s").alias("seg_id", "text")).where(F.col("text").isNotNull())
     before = F.when(F.col("seg_id") == 0, F.lit(0)).otherwise(F.get("__e", F.col("seg_id") - 1))
     return rows.select(
         *rest,
@@ -155,21 +155,20 @@ def chunk_plan(
     chunk_f = int(round(chunk_s / hop_s))
     k = F.floor((F.col("cursor") + chunk_f / 2) / chunk_f)
     near = cuts.where((k >= 1) & (F.abs(F.col("cursor") - k * chunk_f) <= k * half))
-    hops = near.groupBy("video_id", k.alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("cursor", "cut"))).alias("m"))
-    steps = hops.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("steps"))
-    planned = videos.join(steps, "video_id", "left")
+    hops = near.groupBy("video_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("cursor", "cut"))).alias("cuts"), F.max(k).alias("hops")
+    )
+    planned = videos.join(hops, "video_id", "left")
     limit = F.floor((F.col("duration_s") - tail_s) / hop_s + F.lit(1e-9))
+    at = lambda s: F.try_element_at(F.col("cuts"), s["cursor"])
     chain = F.aggregate(
-        F.coalesce("steps", F.expr("cast(array() as array<struct<k:bigint,m:map<bigint,bigint>>>)")),
-        F.struct(F.lit(chunk_f).cast("bigint").alias("cursor"), F.expr("cast(array() as array<bigint>)").alias("cuts")),
-        lambda s, x: F.when(
-            (s["cursor"] < limit) & F.element_at(x["m"], s["cursor"]).isNotNull(),
-            F.struct(
-                (F.element_at(x["m"], s["cursor"]) + chunk_f).alias("cursor"),
-                F.concat(s["cuts"], F.array(F.element_at(x["m"], s["cursor"]))).alias("cuts"),
-            ),
+        F.sequence(F.lit(1).cast("bigint"), F.coalesce("hops", F.lit(1))),
+        F.struct(F.lit(chunk_f).cast("bigint").alias("cursor"), F.expr("cast(array() as array<bigint>)").alias("found")),
+        lambda s, _: F.when(
+            (s["cursor"] < limit) & at(s).isNotNull(),
+            F.struct((at(s) + chunk_f).alias("cursor"), F.concat(s["found"], F.array(at(s))).alias("found")),
         ).otherwise(s),
-    )["cuts"]
+    )["found"]
     edges = F.concat(
         F.array(F.lit(0.0)), F.transform(chain, lambda c: round_to(c * hop_s)), F.array(F.col("duration_s").cast("double"))
     )

@@ -67,39 +67,42 @@ def q_master_score(spark, d):
 
 def q_align_phrases(spark, d):
     anchors = benchmark_anchors(spark, d).select("anchor_id", F.col("start_phrase").alias("phrase"), F.lit(None).cast("double").alias("hint_s"))
-    out = align.align_phrases(anchors, document_words(spark, d), on=[], large=ROW_BOUND)
+    out = align.align_phrases(anchors, cut_lineage(document_words(spark, d)), on=[], large=ROW_BOUND)
     return out.select("video_id", "anchor_id", "start_idx", "end_idx", "match_start", "match_end", round_to(F.col("ratio")).alias("ratio"))
 
 
 def q_snap_end(spark, d):
-    e = align.word_edges(cut_lineage(document_words(spark, d)), large=ROW_BOUND)
+    e = align.word_edges(document_words(spark, d), large=ROW_BOUND)
     return e.select("video_id", "word_idx", "snapped_end", "filler_start", "gap_start")
 
 
-def slices(spark, d, n=40):
-    s = windows.fixed_slices(document_segments(spark, d), 30, 60, n)
+def slices(segs, n=40):
+    s = windows.fixed_slices(segs, 30, 60, n)
     return s.select("video_id", "candidate_id", "start_s", "end_s", one_part(F.col("start_s"), F.col("end_s")).alias("segments"))
 
 
 def q_word_exact_text(spark, d):
-    segs = document_segments(spark, d)
-    out = candidates.word_exact_text(slices(spark, d), segs, pseudo_words(segs))
+    segs = cut_lineage(document_segments(spark, d))
+    out = candidates.word_exact_text(slices(segs), segs, pseudo_words(segs))
     return out.select("video_id", "candidate_id", "transcript_text")
 
 
 def q_candidate_text(spark, d):
-    out = candidates.candidate_text(slices(spark, d), document_segments(spark, d), 1800)
+    segs = cut_lineage(document_segments(spark, d))
+    out = candidates.candidate_text(slices(segs), segs, 1800)
     return out.select("video_id", "candidate_id", "evidence")
 
 
 def q_context_lines(spark, d):
-    out = candidates.context_lines(slices(spark, d), document_segments(spark, d), max_lines=12, max_words=150)
+    segs = cut_lineage(document_segments(spark, d))
+    out = candidates.context_lines(slices(segs), segs, max_lines=12, max_words=150)
     return out.select("video_id", "candidate_id", "line_no", "seg_id", "selected")
 
 
 def q_anchor_summary(spark, d):
-    c = candidates.candidate_text(slices(spark, d), document_segments(spark, d), None).withColumn("hook_text", F.col("evidence")).withColumn("reason", F.lit(""))
-    return candidates.anchor_summary(c, document_segments(spark, d))
+    segs = cut_lineage(document_segments(spark, d))
+    c = candidates.candidate_text(slices(segs), segs, None).withColumn("hook_text", F.col("evidence")).withColumn("reason", F.lit(""))
+    return candidates.anchor_summary(c, segs)
 
 
 def q_filter_and_score(spark, d):
@@ -192,14 +195,14 @@ def q_select_top_volume(spark, d):
 
 
 def q_clause_end_before(spark, d):
-    segs = document_segments(spark, d)
-    ranges = slices(spark, d).select("video_id", F.col("candidate_id").alias("clip_id"), "start_s", "end_s")
+    segs = cut_lineage(document_segments(spark, d))
+    ranges = slices(segs).select("video_id", F.col("candidate_id").alias("clip_id"), "start_s", "end_s")
     return align.clause_end_before(ranges, pseudo_words(segs)).select("video_id", "clip_id", round_to(F.col("clause_end")).alias("clause_end"))
 
 
 def q_forward_trim(spark, d):
-    segs = document_segments(spark, d)
-    plans = slices(spark, d).select("video_id", F.col("candidate_id").alias("clip_id"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("total_s"))
+    segs = cut_lineage(document_segments(spark, d))
+    plans = slices(segs).select("video_id", F.col("candidate_id").alias("clip_id"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("total_s"))
     out = align.forward_trim_weak_start(plans, pseudo_words(segs), WEAK_PLAN_OPENERS, 30.0, large=ROW_BOUND)
     return out.select("video_id", "clip_id", "start_s")
 

@@ -17,9 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def document_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """One video per document, one segment per sentence."""
+    """One video per document, one segment per sentence.
+
+    The texts are spread by video before they are taken apart: a document is one row, so no key is large, the scan of
+    a single file does not hold up the work, and no later window, grouping or join on the video moves words again.
+    """
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("video_id"), "text")
-    return pseudo_segments(docs)
+    return pseudo_segments(docs.repartition("video_id"))
 
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
