@@ -16,11 +16,13 @@ def start(spark, rows, schema):
     return spark.readStream.schema(schema).parquet(folder), folder
 
 
-def run(spark, df, mode, once=True):
+def run(spark, df, mode, seconds=None):
+    """All there is, or what a few seconds give where timers keep the stream alive."""
     name = f"t_{uuid.uuid4().hex[:8]}"
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    q = q.trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = (q.trigger(availableNow=True) if seconds is None else q.trigger(processingTime="1 second")).start()
+    q.awaitTermination() if seconds is None else q.awaitTermination(seconds)
+    q.stop()
     return spark.table(name)
 
 
@@ -54,7 +56,7 @@ def test_heartbeat_updates(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream, _ = start(spark, ROWS, s.JOB_EVENT)
-        got = {r.job_id: r for r in run(spark, s.stale_jobs_stream(stream), "update").where(~F.col("heartbeat")).collect()}
+        got = {r.job_id: r for r in run(spark, s.stale_jobs_stream(stream), "update", 25).where(~F.col("heartbeat")).collect()}
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert got[1].stage == "analyzing" and got[1].status == "processing" and got[1].stale_seconds > 0
