@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_to
-from ..functions.text import INCOMPLETE_ENDS, WEAK_PLAN_OPENERS, tokens
+from ..functions.text import INCOMPLETE_ENDS, REFINED_WEAK_OPENERS, SOFT_OPENERS, WEAK_PLAN_OPENERS, tokens
 from ..functions.times import minutes_text
 from ..operators import align, candidates, selection, similarity, windows
 from ..operators.intervals import islands
@@ -262,7 +262,52 @@ def q_resolve_boundaries(spark, d):
     return align.resolve_boundaries(parts, cut_lineage(document_words(spark, d)), on=[], large=ROW_BOUND)
 
 
+def q_apply_compression(spark, d):
+    """Spans over 45 seconds come back halved, as time text."""
+    s = _event_candidates(spark, d)
+    p = F.col("segments")[0]
+    half = (p["start_s"] + p["end_s"]) / 2
+    back = s.where(F.pmod("ord", F.lit(2)) == 0).select(
+        "video_id", "candidate_id", F.array(F.struct(p["start_s"].cast("string").alias("start"), F.concat(half.cast("string"), F.lit("s")).alias("end"))).alias("segments"), F.lit(" cut ").alias("compression_note"),
+    )
+    out = candidates.apply_compression(s, back, 45.0)
+    return out.select("video_id", "candidate_id", round_to(F.col("start_s")).alias("start_s"), round_to(F.col("end_s")).alias("end_s"), "compression_note")
+
+
+def q_attach_resolved_spans(spark, d):
+    c = _event_candidates(spark, d)
+    plans = c.where("master_score > 50")
+    out = selection.attach_resolved_spans(c.select("video_id", "candidate_id"), plans)
+    return out.select("video_id", "candidate_id", round_to(F.col("resolved_start")).alias("resolved_start"), round_to(F.col("resolved_end")).alias("resolved_end"))
+
+
+def q_flag_needs_verification(spark, d):
+    """Sentences of the documents as refined one-part candidates."""
+    segs = document_segments(spark, d)
+    part = F.struct("start_s", "end_s", F.col("text").alias("start_words"), *[F.lit(None).cast("string").alias(c) for c in NO_ANCHORS[1:]])
+    refined = segs.select("video_id", F.col("seg_id").cast("string").alias("candidate_id"), F.array(part).alias("segments"))
+    again = refined.where(F.pmod(F.col("candidate_id").cast("int"), F.lit(5)) == 0).withColumn("segments", F.concat("segments", "segments"))
+    out = candidates.flag_needs_verification(refined, again, 5.0)
+    return out.select("video_id", "candidate_id", "verify_reason")
+
+
+def q_merge_window_outputs(spark, d):
+    """Windows of the documents, each with a candidate per fourth segment, gathered per document."""
+    segs = cut_lineage(document_segments(spark, d))
+    wins = windows.transcript_windows(segs, 120.0, 24.0)
+    parsed = wins.groupBy("video_id", "window").agg(
+        F.array_sort(F.collect_list(F.when(F.pmod("seg_id", F.lit(4)) == 0, F.struct("seg_id")))).alias("candidates"), F.expr("cast(array() as array<string>)").alias("chapters"), F.lit("s").alias("summary"),
+    )
+    bounds = windows.window_bounds(windows.last_end(segs), 120.0, 24.0)
+    out, _, _ = candidates.merge_window_outputs(parsed, bounds)
+    return out.select("video_id", "candidate_id", F.col("source_window").cast("bigint").alias("source_window"), "source_window_start", "source_window_end", F.col("candidate.seg_id").alias("seg_id"))
+
+
 QUERIES = {
+    "apply_compression": q_apply_compression,
+    "attach_resolved_spans": q_attach_resolved_spans,
+    "flag_needs_verification": q_flag_needs_verification,
+    "merge_window_outputs": q_merge_window_outputs,
     "select_clips": q_select_clips,
     "candidate_duration": q_candidate_duration,
     "fix_segment_overlaps": q_fix_segment_overlaps,
@@ -413,4 +458,14 @@ ORACLES = {
     "clause_end_before": f"""WITH {WORDS},{SLICES}
  SELECT c.video_id, c.candidate_id AS clip_id, {r3("coalesce(max(w.end_s), any_value(c.end_s))")} AS clause_end
  FROM slice c LEFT JOIN wrd w ON w.video_id = c.video_id AND w.end_s > c.start_s AND w.end_s <= c.end_s AND regexp_matches(w.word, '[.,;:—–-]$') GROUP BY 1, 2""",
+    "apply_compression": f"""WITH {SPANS} SELECT video_id, CAST(candidate_id AS VARCHAR) AS candidate_id, {r3('start_s')} AS start_s, CASE WHEN candidate_id % 2 = 0 AND end_s - start_s > 45.0 THEN {r3('(start_s + end_s) / 2')} ELSE {r3('end_s')} END AS end_s,
+ CASE WHEN candidate_id % 2 = 0 AND end_s - start_s > 45.0 THEN 'cut' END AS compression_note FROM span""",
+    "attach_resolved_spans": f"WITH {SPANS} SELECT video_id, CAST(candidate_id AS VARCHAR) AS candidate_id, CASE WHEN score > 50 THEN {r3('start_s')} END AS resolved_start, CASE WHEN score > 50 THEN {r3('end_s')} END AS resolved_end FROM span",
+    "flag_needs_verification": f"""WITH {SEGMENTS}, o AS (SELECT *, lower(regexp_replace(text, '^[^A-Za-z0-9]+', '')) AS low FROM seg)
+ SELECT video_id, CAST(seg_id AS VARCHAR) AS candidate_id, CASE WHEN seg_id % 5 = 0 THEN 'fewer_parts' WHEN end_s - start_s < 3.5 THEN 'too_short' WHEN regexp_extract(low, '^\\S+') IN ({sql_list(REFINED_WEAK_OPENERS)}) THEN 'weak_opener'
+  WHEN {" OR ".join("starts_with(low, '" + p.replace("'", "''") + "')" for p in SOFT_OPENERS)} THEN 'soft_opener' END AS verify_reason FROM o""",
+    "merge_window_outputs": f"""WITH {SEGMENTS}, tl AS (SELECT video_id, arg_max(end_s, seg_id) AS total FROM seg GROUP BY 1),
+ win AS (SELECT video_id, k, k * 96.0::DOUBLE AS a, least(total, k * 96.0::DOUBLE + 120.0) AS b, total FROM tl, unnest(range(0, CASE WHEN total <= 120.0 THEN 1 ELSE CAST(ceil((total - 120.0) / 96.0) AS BIGINT) + 1 END)) AS u(k)),
+ h AS (SELECT win.*, seg_id, row_number() OVER (PARTITION BY win.video_id, k ORDER BY seg_id) AS i FROM win JOIN seg ON seg.video_id = win.video_id AND seg_id % 4 = 0 AND (total <= 120.0 OR (end_s > a AND start_s < b)))
+ SELECT video_id, 'w' || CASE WHEN k < 9 THEN '0' ELSE '' END || CAST(k + 1 AS VARCHAR) || '_c' || CASE WHEN i < 10 THEN '0' ELSE '' END || CAST(i AS VARCHAR) AS candidate_id, k + 1 AS source_window, {r3('a')} AS source_window_start, {r3('b')} AS source_window_end, seg_id FROM h""",
 }

@@ -247,7 +247,7 @@ def q_trim_empty_edges(spark, d):
         F.transform(around, lambda k: F.rint(F.col("start_s") * 25).cast("bigint") + k), F.transform(around, lambda k: F.rint(F.col("end_s") * 25).cast("bigint") - k),
     ))).alias("frame")).distinct().withColumn("faces", F.pmod("frame", F.lit(3)).cast("int"))
     out = scenes.trim_empty_edges(s, frames)
-    return out.select("video_id", "seg_index", round_to(F.col("start_trim")).alias("start_trim"), round_to(F.col("end_trim")).alias("end_trim"), F.round("output_end", 1).alias("output_end"))
+    return out.select("video_id", "seg_index", round_to(F.col("start_trim")).alias("start_trim"), round_to(F.col("end_trim")).alias("end_trim"), round_to(F.col("output_end")).alias("output_end"))
 
 
 def q_pad_segments(spark, d):
@@ -277,7 +277,7 @@ def event_targets(spark, d):
 def q_resample_track(spark, d):
     k = event_targets(spark, d).select("video_id", "seg_index", "t_rel", F.col("x").alias("crop_x"), F.col("y").alias("crop_y"), F.when(F.col("speaker") == "error", 0.1).otherwise(0.9).alias("confidence"))
     r = tracks.resample_track(k, 2.0)
-    return r.select("video_id", "t_rel", F.round("crop_x", 2).alias("crop_x"), F.round("crop_y", 2).alias("crop_y"))
+    return r.select("video_id", "t_rel", round_to(F.col("crop_x")).alias("crop_x"), round_to(F.col("crop_y")).alias("crop_y"))
 
 
 def q_smooth_track(spark, d):
@@ -429,4 +429,37 @@ ORACLES = {
   FROM part WHERE (p_size = 0 OR p_size * 10 BETWEEN 60 AND 480) AND trunc(p_retailprice * 330) >= 300000),
  b AS (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY view_count DESC, track_id) AS r FROM f)
  SELECT track_id, title, view_count, title_key FROM b WHERE r = 1 ORDER BY view_count DESC, track_id LIMIT 25""",
+    "template_votes": f"""WITH {SPANS}, turn AS (SELECT * FROM span WHERE speaker <> 'view'), pt AS (SELECT video_id, candidate_id AS id, candidate_id % 4 AS template_id, (start_s + end_s) / 2.0 AS t FROM span),
+ edge AS (SELECT video_id, start_s AS e, speaker FROM turn UNION ALL SELECT video_id, end_s, speaker FROM turn),
+ a AS (SELECT pt.video_id, id, any_value(template_id) AS template_id, arg_max(CASE WHEN start_s <= t THEN {{e: end_s, w: speaker}} END, CASE WHEN start_s <= t THEN start_s END) AS lt, arg_min(speaker, start_s) AS fs, any_value(t) AS t FROM pt LEFT JOIN turn USING (video_id) GROUP BY 1, 2),
+ n AS (SELECT pt.video_id, id, arg_min(speaker, abs(e - t)) AS near FROM pt JOIN edge USING (video_id) GROUP BY 1, 2),
+ w AS (SELECT a.video_id, template_id, CASE WHEN fs IS NULL THEN 'UNKNOWN' WHEN lt IS NULL THEN fs WHEN t < lt.e THEN lt.w ELSE near END AS speaker FROM a LEFT JOIN n USING (video_id, id))
+ SELECT video_id, template_id, speaker, CAST(count(*) AS INTEGER) AS votes FROM w WHERE speaker <> 'UNKNOWN' GROUP BY 1, 2, 3""",
+    "split_hidden_cuts": f"""WITH {SPANS}, pr AS (SELECT video_id, candidate_id, start_s, end_s, k, round_even((start_s + (end_s - start_s) * ((k + 1) / 6.0::DOUBLE)) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS t, CASE WHEN (candidate_id + k * k) % 7 / 10.0 >= 0.3 THEN 1 ELSE 0 END AS tag FROM span, unnest(range(0, 5)) AS u(k)),
+ fl AS (SELECT *, lag(tag) OVER v AS pt, lag(t) OVER v AS pp FROM pr WINDOW v AS (PARTITION BY video_id, candidate_id ORDER BY k)),
+ pts AS (SELECT DISTINCT video_id, candidate_id, round_even((pp + t) / 2.0 * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS t FROM fl WHERE pt IS NOT NULL AND pt <> tag AND end_s - start_s >= 4.0),
+ edge AS (SELECT video_id, candidate_id, start_s AS t FROM span UNION ALL SELECT video_id, candidate_id, t FROM pts),
+ pc AS (SELECT e.video_id, e.candidate_id, e.t AS s, coalesce(lead(e.t) OVER v, s.end_s) AS en, row_number() OVER v - 1 AS piece, count(*) OVER (PARTITION BY e.video_id, e.candidate_id) AS n FROM edge e JOIN span s USING (video_id, candidate_id) WINDOW v AS (PARTITION BY e.video_id, e.candidate_id ORDER BY e.t))
+ SELECT video_id, candidate_id AS seg_index, CAST(piece AS INTEGER) AS piece, {r3('s')} AS start_s, {r3('en')} AS end_s FROM pc WHERE n = 1 OR en - s >= 0.20""",
+    "trim_empty_edges": f"""WITH {SPANS}, o AS (SELECT video_id, candidate_id, start_s, end_s, k, start_s + k * 0.04::DOUBLE AS ts, end_s - (k + 1) * 0.04::DOUBLE AS te FROM span, unnest(range(0, 3)) AS u(k)),
+ c AS (SELECT video_id, candidate_id, any_value(start_s) AS s, any_value(end_s) AS e,
+   coalesce(min(CASE WHEN ts >= end_s OR CAST(round_even(ts * 25.0::DOUBLE, 0) AS BIGINT) % 3 <> 0 THEN k END), 3) AS sf, coalesce(min(CASE WHEN te <= start_s OR CAST(round_even(te * 25.0::DOUBLE, 0) AS BIGINT) % 3 <> 0 THEN k END), 3) AS ef FROM o GROUP BY 1, 2),
+ r AS (SELECT *, CASE WHEN (e - ef * 0.04::DOUBLE) - (s + sf * 0.04::DOUBLE) > 0.15 THEN s + sf * 0.04::DOUBLE ELSE s END AS rs, CASE WHEN (e - ef * 0.04::DOUBLE) - (s + sf * 0.04::DOUBLE) > 0.15 THEN e - ef * 0.04::DOUBLE ELSE e END AS re FROM c)
+ SELECT video_id, candidate_id AS seg_index, {r3('rs - s')} AS start_trim, {r3('e - re')} AS end_trim, {r3('sum(re - rs) OVER (PARTITION BY video_id ORDER BY candidate_id)')} AS output_end FROM r""",
+    "dwell_gate": f"""WITH RECURSIVE {SPANS}, tk AS (SELECT video_id, start_s AS t, CASE WHEN speaker = 'view' THEN 'UNKNOWN' WHEN speaker IN ('click', 'signup') THEN 'a' ELSE 'b' END AS who FROM span),
+ nu AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, who) AS rn FROM tk),
+ st(video_id, rn, t, now_, cand, since) AS (
+  SELECT video_id, rn, t, who, CAST(NULL AS VARCHAR), 0.0::DOUBLE FROM nu WHERE rn = 1
+  UNION ALL
+  SELECT video_id, rn, t, CASE WHEN w <> now_ AND t - sn >= 20.0 THEN w ELSE now_ END, CASE WHEN w <> now_ AND t - sn < 20.0 THEN w END, sn FROM (
+   SELECT n.video_id, n.rn, n.t, s.now_, CASE WHEN n.who = 'UNKNOWN' THEN s.now_ ELSE n.who END AS w, CASE WHEN coalesce(s.cand = (CASE WHEN n.who = 'UNKNOWN' THEN s.now_ ELSE n.who END), false) THEN s.since ELSE n.t END AS sn
+   FROM st s JOIN nu n ON n.video_id = s.video_id AND n.rn = s.rn + 1))
+ SELECT video_id, {r3('t')} AS t_s, now_ AS committed FROM st""",
+    "resample_track": f"""WITH {SPANS}, kf AS (SELECT video_id, start_s / 10.0::DOUBLE AS t, score AS x, score / 2.0::DOUBLE AS y FROM span WHERE speaker <> 'error'),
+ sp AS (SELECT video_id, max(t) AS z, count(*) AS n FROM kf GROUP BY 1 HAVING count(*) >= 2),
+ g AS (SELECT DISTINCT video_id, t FROM (SELECT video_id, round_even(k * 0.5::DOUBLE * 10000.0, 0) / 10000.0::DOUBLE AS t FROM sp, unnest(range(0, greatest(0, CAST(ceil((z - 1e-6::DOUBLE) / 0.5::DOUBLE) AS BIGINT) - 1) + 1)) AS u(k) UNION ALL SELECT video_id, round_even(z * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE FROM sp)),
+ nb AS (SELECT g.video_id, g.t, arg_max({{t: kf.t, x: kf.x, y: kf.y}}, kf.t) FILTER (WHERE kf.t + 1e-6::DOUBLE < g.t) AS p, arg_min({{t: kf.t, x: kf.x, y: kf.y}}, kf.t) FILTER (WHERE kf.t + 1e-6::DOUBLE >= g.t) AS q FROM g JOIN kf USING (video_id) GROUP BY 1, 2),
+ ip AS (SELECT video_id, t, CASE WHEN p IS NULL THEN q.x WHEN q IS NULL THEN p.x WHEN q.t <= p.t + 1e-6::DOUBLE THEN q.x ELSE p.x + (q.x - p.x) * greatest(0.0, least(1.0, (t - p.t) / (q.t - p.t))) END AS x,
+   CASE WHEN p IS NULL THEN q.y WHEN q IS NULL THEN p.y WHEN q.t <= p.t + 1e-6::DOUBLE THEN q.y ELSE p.y + (q.y - p.y) * greatest(0.0, least(1.0, (t - p.t) / (q.t - p.t))) END AS y FROM nb)
+ SELECT video_id, t AS t_rel, {r3('avg(x) OVER v')} AS crop_x, {r3('avg(y) OVER v')} AS crop_y FROM ip WINDOW v AS (PARTITION BY video_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
 }
