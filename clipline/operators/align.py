@@ -285,7 +285,7 @@ def resolve_candidates(
     spans = resolve_boundaries(parts, words, on, large)
     wanted = parts.groupBy("video_id", "candidate_id").agg(F.count("*").alias("__want"))
     got = spans.groupBy("video_id", "candidate_id").agg(
-        F.count("*").alias("__got"), F.array_sort(F.collect_list(F.struct("part", "start_s", "end_s"))).alias("__spans")
+        F.count("*").alias("__got"), F.sort_array(F.collect_list(F.struct("part", "start_s", "end_s"))).alias("__spans")
     )
     done = wanted.join(got, ["video_id", "candidate_id"]).where("__want = __got").select("video_id", "candidate_id", "__spans")
     shape = lambda x: F.struct(
@@ -346,7 +346,7 @@ def forward_trim_weak_start(
     short = F.col("total_s") - (F.col("start_s") - stand) < 0.8 * min_s
     walk = reached.groupBy("video_id", "clip_id").agg(
         F.min(F.when(short, F.col("word_idx"))).alias("__bad"),
-        F.array_sort(F.collect_list(F.struct("word_idx", "start_s"))).alias("__at"),
+        F.sort_array(F.collect_list(F.struct("word_idx", "start_s"))).alias("__at"),
     )
     taken = F.filter("__at", lambda x: F.col("__bad").isNull() | (x["word_idx"] < F.col("__bad")))
     moved = walk.select("video_id", "clip_id", F.try_element_at(F.transform(taken, lambda x: x["start_s"]), F.lit(-1)).alias("__new"))

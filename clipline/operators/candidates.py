@@ -41,7 +41,7 @@ RAW_CANDIDATE = (
 
 def coalesced_parts(segments: Column, gap_s: float = CONTIGUOUS_S, strict: bool = False) -> Column:
     """Parts sorted by start with parts inside ``gap_s`` of the last one merged; ``strict`` keeps touching parts apart."""
-    spans = F.array_sort(F.transform(segments, lambda p: F.struct(p["start_s"].alias("start_s"), p["end_s"].alias("end_s"))))
+    spans = F.sort_array(F.transform(segments, lambda p: F.struct(p["start_s"].alias("start_s"), p["end_s"].alias("end_s"))))
 
     def step(acc, x):
         last = F.element_at(acc, -1)
@@ -199,7 +199,7 @@ def merge_window_outputs(parsed: DataFrame, bounds: DataFrame) -> tuple[DataFram
     )
     chapters = parsed.select("video_id", "window", F.posexplode("chapters").alias("chapter_no", "chapter"))
     said = parsed.where(blank_to_null(F.col("summary")).isNotNull()).groupBy("video_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", "summary"))), lambda x: x["summary"]), " ").alias("summary")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("window", "summary"))), lambda x: x["summary"]), " ").alias("summary")
     )
     return cands, chapters, said
 
@@ -233,7 +233,7 @@ def candidate_text(
         ("p_start", "p_end"), ("start_s", "end_s"),
     ).where(strip(F.col("text")) != "")
     item = F.struct("part", "seg_id", F.col("text"))
-    said = hit.groupBy("video_id", "candidate_id").agg(F.array_sort(F.collect_list(item)).alias("__t"))
+    said = hit.groupBy("video_id", "candidate_id").agg(F.sort_array(F.collect_list(item)).alias("__t"))
     text = squeeze(F.array_join(F.transform("__t", lambda x: x["text"]), " "))
     said = said.select("video_id", "candidate_id", (F.substring(text, 1, limit) if limit else text).alias(name))
     return candidates.join(said, ["video_id", "candidate_id"], "left").withColumn(name, F.coalesce(name, F.lit("")))
@@ -256,7 +256,7 @@ def word_exact_text(
     said = (
         joined.withColumn("__tok", token).where(F.col("__tok") != "")
         .groupBy("video_id", "candidate_id")
-        .agg(F.array_sort(F.collect_list(F.struct("part", "seg_id", "word_idx", "__tok"))).alias("__t"))
+        .agg(F.sort_array(F.collect_list(F.struct("part", "seg_id", "word_idx", "__tok"))).alias("__t"))
         .select("video_id", "candidate_id", F.array_join(F.transform("__t", lambda x: x["__tok"]), " ").alias(name))
     )
     return plans.join(said, ["video_id", "candidate_id"], "left").withColumn(name, F.coalesce(name, F.lit("")))
@@ -355,8 +355,8 @@ def stitch_extend(candidates: DataFrame, segments: DataFrame, min_s: float, larg
     ).where((F.col("seg_id") > F.col("__last")) | (F.col("seg_id") < F.col("__first")))
     span = F.struct("seg_id", "start_s", "end_s")
     around = near.groupBy("video_id", "candidate_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("seg_id") > F.col("__last"), span))).alias("__after"),
-        F.reverse(F.array_sort(F.collect_list(F.when(F.col("seg_id") < F.col("__first"), span)))).alias("__before"),
+        F.sort_array(F.collect_list(F.when(F.col("seg_id") > F.col("__last"), span))).alias("__after"),
+        F.reverse(F.sort_array(F.collect_list(F.when(F.col("seg_id") < F.col("__first"), span)))).alias("__before"),
     )
     grown = both.join(around, ["video_id", "candidate_id"])
     blank = lambda s, e: F.struct(

@@ -129,7 +129,7 @@ def chunk_captions(words: DataFrame, case: str = "upper") -> DataFrame:
     order. Result: video_id, clip_name, caption_no, line1, line1_start, line2, line2_start, end_s.
     """
     item = F.struct("start_s", "word_idx", word_case(strip(F.col("word")), case).alias("w"), "end_s")
-    clips = words.groupBy("video_id", "clip_name").agg(F.array_sort(F.collect_list(item)).alias("__ws"))
+    clips = words.groupBy("video_id", "clip_name").agg(F.sort_array(F.collect_list(item)).alias("__ws"))
     linked = F.transform("__ws", lambda x, i: F.struct(
         x["w"].alias("w"), x["start_s"].alias("s"), x["end_s"].alias("e"), F.get("__ws", i + 1).alias("n")
     ))
@@ -174,7 +174,7 @@ def srt_cues(captions: DataFrame) -> DataFrame:
 
 def srt_files(captions: DataFrame) -> DataFrame:
     """The subtitle text of each clip."""
-    lines = F.array_sort(F.collect_list(F.struct("caption_no", "cue")))
+    lines = F.sort_array(F.collect_list(F.struct("caption_no", "cue")))
     return srt_cues(captions).groupBy("video_id", "clip_name").agg(F.array_join(F.transform(lines, lambda x: x["cue"]), "\n").alias("srt"))
 
 
@@ -241,7 +241,7 @@ def align_edits(plans: DataFrame, edits: DataFrame, words: DataFrame) -> DataFra
     own = interval_join(
         target.select("video_id", "clip_name", "__a", "__b"), words.select("video_id", "word_idx", "word", "start_s", "end_s"),
         ["video_id"], ("__a", "__b"), ("start_s", "end_s"), closed=True,
-    ).groupBy("video_id", "clip_name").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_s", "end_s"))).alias("old"))
+    ).groupBy("video_id", "clip_name").agg(F.sort_array(F.collect_list(F.struct("word_idx", "word", "start_s", "end_s"))).alias("old"))
     empty = F.expr("cast(array() as array<struct<word_idx:int,word:string,start_s:double,end_s:double>>)")
     rows = target.join(own, ["video_id", "clip_name"], "left").select("video_id", "clip_name", "new_tokens", F.coalesce("old", empty).alias("old"))
     video = dict(rows.dtypes)["video_id"]

@@ -29,7 +29,7 @@ def _item(priority: Sequence[str], row_id: Sequence[str], payload: Sequence[str]
 
 def _settle_small(groups: DataFrame, keys: list[str], conflict: Conflict, ids: Sequence[str]) -> DataFrame:
     """One ordered pass per group, JVM side, with the rows kept so far as the state."""
-    ordered = F.array_sort(F.collect_list("__item"))
+    ordered = F.sort_array(F.collect_list("__item"))
     first = F.slice(F.col("__all"), 1, 0)
     kept = F.aggregate(
         "__all",

@@ -16,7 +16,7 @@ STAGE_WEIGHTS = {
 def settings_fingerprint(settings: Column) -> Column:
     """Short hash of a MAP of settings without the secret ones, independent of their order."""
     open_ = F.map_filter(settings, lambda k, v: ~(F.lower(k).contains("key") | F.lower(k).contains("token") | F.lower(k).contains("secret")))
-    return F.substring(F.sha1(F.to_json(F.array_sort(F.map_entries(open_)))), 1, 16)
+    return F.substring(F.sha1(F.to_json(F.sort_array(F.map_entries(open_)))), 1, 16)
 
 
 def latest_stage(stage_runs: DataFrame, tie: str | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def latest_stage(stage_runs: DataFrame, tie: str | None = None) -> DataFrame:
 
 def stale_stages(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Stages to run again and why. Both (job_id, stage, settings_fp, inputs MAP); previous holds the latest records."""
-    flat = lambda m: F.to_json(F.array_sort(F.map_entries(m)))
+    flat = lambda m: F.to_json(F.sort_array(F.map_entries(m)))
     old = previous.select("job_id", "stage", F.col("settings_fp").alias("__fp"), flat(F.col("inputs")).alias("__in"), F.lit(True).alias("__seen"))
     joined = current.join(old, ["job_id", "stage"], "left")
     reason = (

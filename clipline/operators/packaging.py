@@ -168,7 +168,7 @@ def package_results(
     )
     if words is None:
         return out
-    own = words.groupBy("video_id", "clip_name").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "word"))).alias("words"))
+    own = words.groupBy("video_id", "clip_name").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s", "word"))).alias("words"))
     return out.join(own, ["video_id", "clip_name"], "left")
 
 
@@ -211,5 +211,5 @@ def pick_variant(files: DataFrame, style: Column | None = None) -> DataFrame:
     label = F.when(suffix != "", F.initcap(F.replace(suffix, F.lit("_"), F.lit(" ")))).otherwise(F.lit("Default"))
     return files.groupBy("video_id", "clip_name").agg(
         F.min_by("file", F.struct(rank, age, F.col("file"))).alias("primary_file"),
-        F.array_sort(F.collect_list(F.struct("file", label.alias("label"), suffix.alias("suffix")))).alias("variants"),
+        F.sort_array(F.collect_list(F.struct("file", label.alias("label"), suffix.alias("suffix")))).alias("variants"),
     )

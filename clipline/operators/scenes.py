@@ -34,7 +34,7 @@ def merge_cuts(cuts: DataFrame, gap_s: float = CUT_GAP_S, fallback: Sequence[str
     near = with_ordered(times, ["video_id"], ["t_s"], {"__prev": lag(F.col("t_s"))}, block)
     fresh = F.when(F.col("__prev").isNull() | (F.col("t_s") - F.col("__prev") > gap_s), 1).otherwise(0)
     marked = with_ordered(near.withColumn("__new", fresh), ["video_id"], ["t_s"], {"__upto": sum_before(F.col("__new"))}, block)
-    runs = marked.groupBy("video_id", (F.col("__upto") + F.col("__new")).alias("__run")).agg(F.array_sort(F.collect_list("t_s")).alias("__ts"))
+    runs = marked.groupBy("video_id", (F.col("__upto") + F.col("__new")).alias("__run")).agg(F.sort_array(F.collect_list("t_s")).alias("__ts"))
     none = F.slice("__ts", 1, 0)
     kept = F.aggregate("__ts", none, lambda acc, t: F.when(
         (F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) > gap_s), F.concat(acc, F.array(t))
@@ -102,7 +102,7 @@ def cut_probe_times(start: Column, end: Column, fps: Column) -> Column:
 def window_probe_times(start: Column, end: Column, n: int = 3) -> Column:
     """Evenly spaced probes inside a span: 25, 50 and 75 % for three."""
     at = F.array(*[round_to(start + (end - start) * (i / (n + 1)), 4) for i in range(1, n + 1)])
-    return F.when(end > start, F.array_sort(F.array_distinct(at))).otherwise(F.array().cast("array<double>"))
+    return F.when(end > start, F.sort_array(F.array_distinct(at))).otherwise(F.array().cast("array<double>"))
 
 
 def medoid_hashes(frames: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def medoid_hashes(frames: DataFrame) -> DataFrame:
 
     frames (video_id, scene, frame_no, phash BIGINT): the handful of frames sampled for a scene.
     """
-    hs = F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "phash"))), lambda x: x["phash"])
+    hs = F.transform(F.sort_array(F.collect_list(F.struct("frame_no", "phash"))), lambda x: x["phash"])
     scenes = frames.where(F.col("phash").isNotNull()).groupBy("video_id", "scene").agg(hs.alias("__h"))
     total = F.transform("__h", lambda a, i: F.struct(
         F.aggregate("__h", F.lit(0), lambda s, b: s + hamming_bits(a, b)).alias("d"), i.alias("i"), a.alias("h")
@@ -207,8 +207,8 @@ def probe_scores(probes: DataFrame, templates: DataFrame) -> DataFrame:
     cy_norm, embedding, shirt_hist>>). Videos have few templates, so the join multiplies probes by a handful.
     """
     joined = probes.join(
-        templates.select("video_id", "template_id", F.col("phash").alias("__th"), "n_faces", F.array_sort("slots").alias("slots")), "video_id"
-    ).withColumn("faces", F.array_sort(F.coalesce("faces", F.expr("cast(array() as array<struct<cx:double,cy:double,embedding:array<float>,shirt_hist:array<float>>>)"))))
+        templates.select("video_id", "template_id", F.col("phash").alias("__th"), "n_faces", F.sort_array("slots").alias("slots")), "video_id"
+    ).withColumn("faces", F.sort_array(F.coalesce("faces", F.expr("cast(array() as array<struct<cx:double,cy:double,embedding:array<float>,shirt_hist:array<float>>>)"))))
     count = F.size("faces")
     expected = F.greatest(F.lit(1), F.when(F.col("n_faces") > 0, F.col("n_faces")).when(F.size("slots") > 0, F.size("slots")).otherwise(1))
     hash_d = hamming_bits(F.col("phash"), F.col("__th")) / 64.0
@@ -264,7 +264,7 @@ def classify_windows(segments: DataFrame, scores: DataFrame, radius_s: float = W
     ranked = votes.withColumns({
         "__r": F.row_number().over(order), "__second": F.coalesce(F.lead("vote").over(order), F.lit(0.0)), "__all": F.sum("vote").over(whole),
     })
-    maps = votes.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("template_id", "best")))).alias("scores"))
+    maps = votes.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("template_id", "best")))).alias("scores"))
     top = ranked.where("__r = 1").join(faces, key).join(maps, key)
     conf = _unit(F.col("vote") / F.greatest(F.lit(1e-6), F.col("__all")))
     hidden = (
@@ -305,7 +305,7 @@ def split_hidden_cuts(
         moved = refine_cut(points, frame_diffs, 0.75).withColumnRenamed("cut_s", "t_s")
         points = points.join(moved, ["video_id", "t_s"], "left").select(*key, F.coalesce("refined_s", "t_s").alias("t_s"))
     points = points.withColumn("t_s", round_to(F.col("t_s"), 4)).join(long_.select(*key, "start_s", "end_s"), key).where("t_s > start_s and t_s < end_s")
-    lists = points.groupBy(*key).agg(F.array_sort(F.collect_set("t_s")).alias("__pts"))
+    lists = points.groupBy(*key).agg(F.sort_array(F.collect_set("t_s")).alias("__pts"))
     joined = segments.join(lists, key, "left")
     edges = F.concat(F.array("start_s"), F.coalesce("__pts", F.array().cast("array<double>")), F.array("end_s"))
     rest = [c for c in segments.columns if c not in ("start_s", "end_s")]

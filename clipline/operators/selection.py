@@ -85,8 +85,8 @@ def apply_merges(
     start = F.col("segments")[0]["start_s"]
     grouped = members.groupBy("video_id", "merge_no").agg(
         F.count("*").alias("__n"), F.first("reason").alias("stitch_reason"),
-        F.array_sort(F.flatten(F.collect_list("segments"))).alias("segments"),
-        F.transform(F.array_sort(F.collect_list(F.struct(start.alias("s"), F.col("candidate_id")))), lambda x: x["candidate_id"]).alias("stitched_from"),
+        F.sort_array(F.flatten(F.collect_list("segments"))).alias("segments"),
+        F.transform(F.sort_array(F.collect_list(F.struct(start.alias("s"), F.col("candidate_id")))), lambda x: x["candidate_id"]).alias("stitched_from"),
         F.max_by(
             F.struct(*rest), F.struct("master_score", "virality_score", "hook_score", (-start).alias("s"))
         ).alias("__lead"),
@@ -244,7 +244,7 @@ def plan_fingerprint(plans: DataFrame, min_s: float, max_s: float, length: int =
     line = F.concat(
         "clip_name", F.lit(":"), two(F.col("segments")[0]["start_s"]), F.lit("-"), two(F.element_at("segments", -1)["end_s"])
     )
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("clip_index", line.alias("l")))), lambda x: x["l"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("clip_index", line.alias("l")))), lambda x: x["l"])
     text = F.concat(F.lit(f"d{int(min_s)}-{int(max_s)}|"), F.array_join(lines, "|"))
     return plans.groupBy("video_id").agg(F.substring(F.md5(text), 1, length).alias("fingerprint"))
 

@@ -102,7 +102,7 @@ def mean_vector(df: DataFrame, keys: Sequence[str], vector: str, name: str, norm
     """Element-wise mean per key: one row per element is averaged with map-side combine, so a huge key is no problem."""
     parts = df.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("__i", "__v"))
     means = parts.groupBy(*keys, "__i").agg(F.avg(F.col("__v").cast("double")).alias("__m"))
-    arrays = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__m"))).alias("__a"))
+    arrays = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "__m"))).alias("__a"))
     vec = F.transform("__a", lambda x: x["__m"])
     if normalise == "unit":
         vec = unit(vec)
@@ -249,7 +249,7 @@ def template_votes(items: DataFrame, turns: DataFrame, keep_unknown: bool = Fals
         named = named.where(F.col("speaker") != UNKNOWN)
     counts = named.groupBy("video_id", "template_id", "speaker").agg(F.count("*").alias("votes"))
     return counts.groupBy("video_id", "template_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", F.col("votes").cast("int"))))).alias("speaker_votes")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("speaker", F.col("votes").cast("int"))))).alias("speaker_votes")
     )
 
 

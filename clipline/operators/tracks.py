@@ -27,7 +27,7 @@ def dwell_gate(ticks: DataFrame, dwell_s: float = DWELL_S) -> DataFrame:
     ticks (video_id, seg_index, t_s, speaker); UNKNOWN counts as the committed one. The first tick commits.
     """
     item = F.struct("t_s", "speaker")
-    segs = ticks.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("__ts"))
+    segs = ticks.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("__ts"))
     state = "struct<now:string,next:string,since:double,out:array<struct<t_s:double,committed:string>>>"
     zero = F.struct(
         F.col("__ts")[0]["speaker"].alias("now"), F.lit(None).cast("string").alias("next"), F.lit(0.0).alias("since"),
@@ -83,7 +83,7 @@ def focus_faces(faces: DataFrame, ticks: DataFrame, slots: DataFrame, min_conf:
     joined = joined.withColumns({
         "__emb": F.max(F.col("embedding").isNotNull()).over(whole), "__maxarea": F.max("area").over(whole), "__count": F.count("*").over(whole),
     })
-    slot_items = slots.groupBy("video_id", "template_id").agg(F.array_sort(F.collect_list(F.struct("slot", "speaker", "cx", "cy", "x1", "y1", "x2", "y2", "embedding", "shirt_hist"))).alias("__slots"))
+    slot_items = slots.groupBy("video_id", "template_id").agg(F.sort_array(F.collect_list(F.struct("slot", "speaker", "cx", "cy", "x1", "y1", "x2", "y2", "embedding", "shirt_hist"))).alias("__slots"))
     joined = joined.join(slot_items, ["video_id", "template_id"], "left")
     mine = F.get(F.filter("__slots", lambda s: s["speaker"] == F.col("committed")), F.lit(0))
     diag = F.hypot(F.greatest(F.lit(1.0), mine["x2"] - mine["x1"]), F.greatest(F.lit(1.0), mine["y2"] - mine["y1"]))
@@ -145,7 +145,7 @@ def smooth_track(targets: DataFrame, alpha: float = ALPHA, stable_s: float = STA
         room = (F.greatest(F.lit(0.0), F.col("width") - w), F.greatest(F.lit(0.0), F.col("height") - h))
         targets = targets.withColumns({c: F.when(F.col(c).isNotNull(), clamp_col(F.col(c), F.lit(0.0), r)) for c, r in zip("xy", room)})
     item = F.struct("t_rel", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("confidence").cast("double").alias("confidence"))
-    segs = targets.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("__ts"))
+    segs = targets.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("__ts"))
     row = "struct<t_rel:double,x:double,y:double,confidence:double>"
     state = f"struct<x:double,y:double,out:array<{row}>>"
     none = F.lit(None).cast("double")

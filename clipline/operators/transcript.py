@@ -231,7 +231,7 @@ def _forced_stops(words: DataFrame, clause_gap_s: float, force_words: int) -> Da
     walk = (
         pauses.join(long_, ["video_id", "__grp"])
         .groupBy("video_id", "__grp", "__from")
-        .agg(F.array_sort(F.collect_list(F.col("word_idx").cast("bigint"))).alias("__at"))
+        .agg(F.sort_array(F.collect_list(F.col("word_idx").cast("bigint"))).alias("__at"))
     )
     zero = F.struct(
         (F.col("__from").cast("bigint") - 1).alias("last"), F.expr("cast(array() as array<bigint>)").alias("stops")
@@ -250,7 +250,7 @@ def _forced_stops(words: DataFrame, clause_gap_s: float, force_words: int) -> Da
 def segment_texts(words: DataFrame, word: str = "word") -> DataFrame:
     """Text of each segment rebuilt from its words."""
     w = strip(F.col(word))
-    items = F.array_sort(F.collect_list(F.when(w != "", F.struct(F.col("word_idx"), w.alias("w")))))
+    items = F.sort_array(F.collect_list(F.when(w != "", F.struct(F.col("word_idx"), w.alias("w")))))
     return words.groupBy("video_id", "seg_id").agg(F.array_join(F.transform(items, lambda x: x["w"]), " ").alias("text"))
 
 

@@ -209,7 +209,7 @@ def compact_transcript(
     spans = wins.select("video_id", "rank", "header", F.explode(F.sequence("start_idx", "end_idx")).alias("seg_id"))
     body = spans.join(lined.select("video_id", "seg_id", "line"), ["video_id", "seg_id"])
     blocks = body.groupBy("video_id", "rank", "header").agg(
-        F.concat_ws("\n", F.col("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "line"))), lambda x: x["line"]), "\n")).alias("block")
+        F.concat_ws("\n", F.col("header"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_id", "line"))), lambda x: x["line"]), "\n")).alias("block")
     )
     sized = with_ordered(blocks, ["video_id"], ["rank"], {"__used": running_sum(F.length("block") + 2)})
     over = F.when((F.col("__used") > budget) & (F.col("rank") > 0), 1).otherwise(0)
@@ -236,7 +236,7 @@ def fixed_slices(
         ("slice_start", "slice_end"), ("start_s", "end_s"), width,
     )
     slices = hit.groupBy("video_id", "slot", "slice_start", "slice_end").agg(
-        F.array_sort(F.collect_list(F.struct("seg_id", "start_s", "end_s"))).alias("segments"),
+        F.sort_array(F.collect_list(F.struct("seg_id", "start_s", "end_s"))).alias("segments"),
         F.min_by("text", "seg_id").alias("__first"),
     )
     # one row per slice, a slice every step seconds: few rows per video

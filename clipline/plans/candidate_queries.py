@@ -49,7 +49,7 @@ def event_plans(spark, d):
     spans = event_spans(spark, d)
     placed = with_ordered(spans, ["video_id"], ["start_s", "candidate_id"], {"__i": position()})
     grouped = placed.groupBy("video_id", F.floor(F.col("__i") / 3).alias("ord")).agg(
-        F.array_sort(F.collect_list(F.struct("start_s", "end_s"))).alias("segments"),
+        F.sort_array(F.collect_list(F.struct("start_s", "end_s"))).alias("segments"),
         F.max("score").alias("master_score"), F.min("candidate_id").alias("candidate_id"),
     )
     return grouped.withColumn("segments", candidates.fix_segment_overlaps(F.col("segments")))
@@ -296,7 +296,7 @@ def q_merge_window_outputs(spark, d):
     segs = cut_lineage(document_segments(spark, d))
     wins = windows.transcript_windows(segs, 120.0, 24.0)
     parsed = wins.groupBy("video_id", "window").agg(
-        F.array_sort(F.collect_list(F.when(F.pmod("seg_id", F.lit(4)) == 0, F.struct("seg_id")))).alias("candidates"), F.expr("cast(array() as array<string>)").alias("chapters"), F.lit("s").alias("summary"),
+        F.sort_array(F.collect_list(F.when(F.pmod("seg_id", F.lit(4)) == 0, F.struct("seg_id")))).alias("candidates"), F.expr("cast(array() as array<string>)").alias("chapters"), F.lit("s").alias("summary"),
     )
     bounds = windows.window_bounds(windows.last_end(segs), 120.0, 24.0)
     out, _, _ = candidates.merge_window_outputs(parsed, bounds)

@@ -71,7 +71,7 @@ def q_align_edits(spark, d):
     plans = conversation_plans(segs).select("video_id", "clip_name", F.array(F.struct(F.lit(0.0).alias("start_s"), end.alias("end_s"))).alias("segments"), "transcript_text")
     changed = F.when(F.pmod("word_idx", F.lit(7)) == 3, F.concat("word", F.lit("x"))).when(F.pmod("word_idx", F.lit(11)) != 5, F.col("word"))
     edits = words.withColumn("w", changed).where("w is not null").groupBy("video_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "w"))), lambda x: x["w"]), " ").alias("transcript_text")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "w"))), lambda x: x["w"]), " ").alias("transcript_text")
     ).withColumn("clip_name", F.lit("clip_01"))
     return captions.align_edits(plans, edits, words)
 

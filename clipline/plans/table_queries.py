@@ -239,7 +239,7 @@ def q_candidate_audit(spark, d):
         F.lit("["), F.format_string("%03d", F.col("seg_id") + 1), F.lit("] w01_c"), F.format_string("%02d", F.col("seg_id") + 1), F.lit("\nTitle: by "), F.col("speaker"),
         F.lit("\nscores: hook="), F.pmod("seg_id", F.lit(10)).cast("string"), F.lit(".5, viral=7\nseg_1_start_words: "), F.regexp_replace(F.substring("text", 1, 20), r"[\s:]+", " "), F.lit("\nseg_2_end_words: end\n"), F.lit("-" * 12), F.lit("\n"),
     )
-    docs = s.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", block.alias("b")))), lambda x: x["b"]), "").alias("text"))
+    docs = s.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_id", block.alias("b")))), lambda x: x["b"]), "").alias("text"))
     out = readers.parse_audit(docs)
     return out.select("video_id", "candidate_id", "title", "hook_score", "flow_score", "virality_score", F.size("segments").cast("bigint").alias("n_parts"), F.trim(F.col("segments")[0]["start_words"]).alias("start_words"))
 

@@ -14,7 +14,7 @@ from ..operators.transcript import transcript_line
 def plan_documents(plans: DataFrame) -> DataFrame:
     """The plan of each video as one JSON text; a plan holds the few clips kept per video."""
     row = F.struct("clip_index", *[c for c in plans.columns if c not in ("video_id", "clip_index")])
-    return plans.groupBy("video_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value"))
+    return plans.groupBy("video_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("value"))
 
 
 def write_plan(plans: DataFrame, path: str) -> None:
