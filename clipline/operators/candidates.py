@@ -17,6 +17,7 @@ from ..functions.text import (
     strip, tokens,
 )
 from ..functions.times import minutes_text, parse_frame, parse_seconds
+from ..session import cut_lineage
 from .greedy import select_apart
 from .intervals import asof_nearest, interval_join, islands, nearest_within
 from .ordered import block_if, position, row_block, running_sum, sum_before, time_block, with_ordered
@@ -39,6 +40,11 @@ RAW_CANDIDATE = (
 # ---- parts of one candidate -------------------------------------------------------------------------------------
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def coalesced_parts(segments: Column, gap_s: float = CONTIGUOUS_S, strict: bool = False) -> Column:
     """Parts sorted by start with parts inside ``gap_s`` of the last one merged; ``strict`` keeps touching parts apart."""
     spans = F.sort_array(F.transform(segments, lambda p: F.struct(p["start_s"].alias("start_s"), p["end_s"].alias("end_s"))))
@@ -50,7 +56,7 @@ def coalesced_parts(segments: Column, gap_s: float = CONTIGUOUS_S, strict: bool
         merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))
         return F.when(near, merged).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(F.slice(spans, F.lit(2), F.greatest(F.size(spans), F.lit(1))), F.slice(spans, 1, 1), step)
+    return bound(spans, lambda sp: F.aggregate(F.slice(sp, F.lit(2), F.greatest(F.size(sp), F.lit(1))), F.slice(sp, 1, 1), step))
 
 
 def parts_duration(segments: Column) -> Column:
@@ -334,6 +340,7 @@ def stitch_extend(candidates: DataFrame, segments: DataFrame, min_s: float, larg
         .select("video_id", "candidate_id", "segments", candidate_duration(F.col("segments")).alias("__dur"))
         .withColumns({"__fs": F.col("segments")[0]["start_s"], "__le": F.element_at("segments", -1)["end_s"]})
     )
+    short, axis = cut_lineage(short), cut_lineage(axis)
     first = _edge_segment(short, axis, "__fs", "start_s", earliest=True, large=large)
     last = _edge_segment(short, axis, "__le", "end_s", earliest=False, large=large)
     both = short.join(first.withColumnsRenamed({"seg": "__fi", "close": "__fc", "far": "__ff"}), ["video_id", "candidate_id"])
@@ -366,21 +373,30 @@ def stitch_extend(candidates: DataFrame, segments: DataFrame, min_s: float, larg
     def moved(p, s, e):
         return F.struct(s.alias("start_s"), e.alias("end_s"), *[p[c].alias(c) for c in ("start_words", "start_frame", "end_words", "end_frame")])
 
-    def forward(acc, x):
+    def step(s, more):
+        grown_ = bound(more, lambda m: F.struct(m.alias("parts"), candidate_duration(m).alias("dur")))
+        return F.when(s["dur"] >= min_s, s).otherwise(grown_)
+
+    def forward(s, x):
+        acc = s["parts"]
         last_ = F.element_at(acc, -1)
         touching = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(moved(last_, last_["start_s"], x["end_s"])))
         more = F.when(x["start_s"] <= last_["end_s"] + CONTIGUOUS_S, touching).otherwise(F.concat(acc, F.array(blank(x["start_s"], x["end_s"]))))
-        return F.when(candidate_duration(acc) >= min_s, acc).otherwise(more)
+        return step(s, more)
 
-    def backward(acc, x):
+    def backward(s, x):
+        acc = s["parts"]
         head = F.element_at(acc, 1)
         touching = F.concat(F.array(moved(head, x["start_s"], head["end_s"])), F.slice(acc, F.lit(2), F.greatest(F.size(acc), F.lit(1))))
         more = F.when(x["end_s"] >= head["start_s"] - CONTIGUOUS_S, touching).otherwise(F.concat(F.array(blank(x["start_s"], x["end_s"])), acc))
-        return F.when(candidate_duration(acc) >= min_s, acc).otherwise(more)
-
-    typed = F.col("segments").cast(f"array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in PART.split(','))}>>")
-    grown = grown.withColumn("__new", F.aggregate("__after", typed, forward))
-    grown = grown.withColumn("__new", F.aggregate("__before", F.col("__new"), backward))
+        return step(s, more)
+
+    fields = ", ".join(p.strip().replace(" ", ":", 1) for p in PART.split(","))
+    state = f"struct<parts:array<struct<{fields}>>,dur:double>"
+    start = F.struct(F.col("segments").alias("parts"), F.col("__dur").alias("dur")).cast(state)
+    grown = grown.withColumn("__new", F.aggregate("__after", start, lambda s, x: forward(s, x).cast(state)))
+    grown = grown.withColumn("__new", F.aggregate("__before", F.col("__new"), lambda s, x: backward(s, x).cast(state)))
+    grown = grown.withColumn("__new", F.col("__new.parts"))
     out = candidates.join(grown.select("video_id", "candidate_id", "__new"), ["video_id", "candidate_id"], "left")
     return out.withColumn("segments", F.coalesce("__new", F.col("segments"))).drop("__new")
 
@@ -413,9 +429,10 @@ def filter_and_score(
     good = F.filter(F.col("segments"), lambda p: p["end_s"] > p["start_s"])
     ready = candidates.withColumn("segments", F.when(F.size(good) > 0, good).otherwise(F.col("segments")))
     grown = stitch_extend(ready, segments, min_s, large)
-    timed = grown.withColumn("__dur", candidate_duration(F.col("segments"))).where(
+    # read several times below: the extension is worked out once
+    timed = cut_lineage(grown.withColumn("__dur", candidate_duration(F.col("segments"))).where(
         (F.col("__dur") > 0) & (F.col("__dur") <= max_s + 90.0)
-    )
+    ))
     told = candidate_text(timed, segments, 20000, name="content").withColumn("evidence", F.substring("content", 1, 1800))
     fixed = repair_metadata(told)
     if require_metadata:
