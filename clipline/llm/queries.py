@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_kernel, quality_gam, quality_trees
+from . import language_kernel, quality_gam, quality_trees, secret_links
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_secret_links(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_links.scan(_table(spark, folder, "documents"))
+
+
 def op3_language_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return language_kernel.identify(_table(spark, folder, "documents"))
 
@@ -23,6 +27,6 @@ def op10_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_trees.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_kernel, op9_quality_gam, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op2_secret_links, op3_language_kernel, op9_quality_gam, op10_quality_trees)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_secret_links": secret_links.SQL}
