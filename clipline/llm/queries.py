@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_kernel, quality_gam, quality_trees, secret_links
+from . import language_kernel, quality_gam, quality_trees, secret_links, toxicity_models
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_language_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return language_kernel.identify(_table(spark, folder, "documents"))
 
 
+def op5_toxicity_models(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_models.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     return quality_gam.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -27,6 +31,6 @@ def op10_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_trees.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op3_language_kernel, op9_quality_gam, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op2_secret_links, op3_language_kernel, op5_toxicity_models, op9_quality_gam, op10_quality_trees)}
 
 ORACLES = {"op2_secret_links": secret_links.SQL}
