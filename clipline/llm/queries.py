@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_kernel, quality_gam, quality_trees, secret_links, toxicity_models
+from . import language_kernel, packing_bm25, quality_gam, quality_trees, secret_links, toxicity_models
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_packing_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_bm25.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     return secret_links.scan(_table(spark, folder, "documents"))
 
@@ -31,6 +36,6 @@ def op10_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_trees.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op3_language_kernel, op5_toxicity_models, op9_quality_gam, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_packing_bm25, op2_secret_links, op3_language_kernel, op5_toxicity_models, op9_quality_gam, op10_quality_trees)}
 
 ORACLES = {"op2_secret_links": secret_links.SQL}
