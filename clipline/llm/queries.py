@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_kernel, packing_bm25, quality_gam, quality_trees, secret_links, toxicity_models
+from . import language_kernel, packing_bm25, quality_gam, quality_trees, secret_links, setsketch, toxicity_models
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_language_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return language_kernel.identify(_table(spark, folder, "documents"))
 
 
+def op4_setsketch(spark: SparkSession, folder: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op5_toxicity_models(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_models.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -36,6 +40,6 @@ def op10_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_trees.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing_bm25, op2_secret_links, op3_language_kernel, op5_toxicity_models, op9_quality_gam, op10_quality_trees)}
+QUERIES = {f.__name__: f for f in (op1_packing_bm25, op2_secret_links, op3_language_kernel, op4_setsketch, op5_toxicity_models, op9_quality_gam, op10_quality_trees)}
 
 ORACLES = {"op2_secret_links": secret_links.SQL}
