@@ -114,7 +114,7 @@ def _as_slice(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(unknown: list[str], rounds: int = 100, rate: float = 2.0, decay: float = 1e-4, seed: int = 5) -> dict:
     """Weights, temperature and the least probability of a family; ``unknown`` are paragraphs without licence wording."""
     rng = np.random.default_rng(seed)
-    around = [w for x in unknown for w in x.split()[:40]] or ["text"]
+    around = np.array([w for x in unknown for w in x.split()] or ["text"], object)
     lines, labels = list(unknown) or ["text"], [0] * max(1, len(unknown))
     for k, family in enumerate(TEMPLATES, 1):
         for sentence in TEMPLATES[family]:
