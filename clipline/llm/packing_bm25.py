@@ -16,6 +16,7 @@ than a window fills several; equal scores go to the rest that came first; other
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -42,60 +43,91 @@ _UNSAFE = re.compile(r"\s\s|^\s|\s$")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
+#: Fixed value: the pattern that splits text before byte-level merges.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class _Places(dict):
+    """Numbers for what is asked for, in order of the first asking."""
+
+    def __init__(self, new: list):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = len(self.new)
+        self.new.append(piece)
+        return at
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file, with what was worked out for a word kept up to a bound.
 
     Pre-tokenisation takes a single space together with what follows, so a text may be cut before each single space between two
-    characters that are not white space, and the pieces give the same ids as the whole.
+    characters that are not white space, and the pieces give the same ids as the whole. The vocabulary's own merges are run by the
+    faster of two libraries; a piece that holds a special token's text goes to the other.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.merges = tiktoken.Encoding("merges", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        sizes = np.array([len(g) for g in got], np.int64)
-        flat = np.fromiter((x for g in got for x in g), np.int32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.n + len(got) > len(self.at):
-            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.at[self.n : self.n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(got)] = sizes
-        self.place.update(zip(pieces, range(self.n, self.n + len(got)), strict=True))
-        self.used, self.n = self.used + len(flat), self.n + len(got)
+        self.inner, self.first = _Places([]), _Places([])  # pieces after a space, without it; first pieces of texts
+        self.tables = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+
+    def _ids(self, piece: str) -> list[int]:
+        if any(x in piece for x in self.special):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return self.merges.encode_ordinary(piece)
+
+    def _learn(self, k: int, pieces: list[str]) -> None:
+        at, size, pool = self.tables[k]
+        got = [self._ids(p) for p in pieces[len(at) :]]
+        if got:
+            sizes = np.array([len(g) for g in got], np.int64)
+            flat = np.fromiter(itertools.chain.from_iterable(got), np.int32, int(sizes.sum()))
+            self.tables[k] = (np.concatenate([at, len(pool) + np.cumsum(sizes) - sizes]), np.concatenate([size, sizes]), np.concatenate([pool, flat]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.n > _CACHED:
+        if len(self.inner) + len(self.first) > _CACHED:
             self.clear()
-        pieces, sizes = [], []
+        heads, index, sizes = [], [], []
+        inner, first = self.inner.__getitem__, self.first.__getitem__
         for t in texts:
             if _UNSAFE.search(t):
-                own = _CUTS.split(t)
+                head, *own = _CUTS.split(t)
+                own = [p[1:] for p in own]
             else:
-                own = t.split(" ")
-                own[1:] = [" " + w for w in own[1:]]
-            pieces += own
-            sizes.append(len(own))
-        new = list(dict.fromkeys(p for p in pieces if p not in self.place))
-        if new:
-            self._learn(new)
-        index = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[index]
+                head, *own = t.split(" ")
+            heads.append(first(head))
+            index.extend(map(inner, own))
+            sizes.append(len(own) + 1)
+        self._learn(0, self.first.new)
+        for i in range(len(self.tables[1][0]), len(self.inner.new)):
+            self.inner.new[i] = " " + self.inner.new[i]
+        self._learn(1, self.inner.new)
+        # where the two tables' entries stand in one pool
+        (at0, size0, pool0), (at1, size1, pool1) = self.tables
+        sizes = np.array(sizes, np.int64)
+        opens = np.zeros(int(sizes.sum()), bool)
+        opens[np.cumsum(sizes) - sizes] = True
+        at, size = np.empty(len(opens), np.int64), np.empty(len(opens), np.int64)
+        at[opens], size[opens] = at0[heads], size0[heads]
+        index = np.array(index, np.int64)
+        at[~opens], size[~opens] = at1[index] + len(pool0), size1[index]
         end = np.cumsum(size)
-        flat = self.pool[np.repeat(self.at[index] - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
-        bound = np.concatenate([[0], end])[np.cumsum(sizes)] if sizes else np.zeros(0, np.int64)
-        return np.split(flat, bound[:-1])
+        flat = np.concatenate([pool0, pool1])[np.repeat(at - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+        return np.split(flat, end[np.cumsum(sizes) - 1][:-1]) if len(sizes) else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -183,7 +215,7 @@ class Packer:
 
     def _put(self, rest: dict, size: int) -> None:
         ids = rest["ids"][:size]
-        self.open.append((rest["doc_id"], rest["start"], size, zlib.crc32(ids), rest["tokens"], self.sequence, WINDOW - self.room))
+        self.open.append((rest["doc_id"], rest["start"], size, zlib.crc32(ids), rest["tokens"], WINDOW - self.room))
         self.room -= size
         rest["ids"], rest["start"] = rest["ids"][size:], rest["start"] + size
         if not self.room:
@@ -191,7 +223,7 @@ class Packer:
 
     def close(self) -> None:
         if self.open:
-            self.rows += self.open
+            self.rows += [(*piece[:-1], self.sequence, piece[-1]) for piece in self.open]
             self.open, self.room, self.sequence = [], WINDOW, self.sequence + 1
 
     def fill(self) -> None:
