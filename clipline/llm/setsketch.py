@@ -6,8 +6,10 @@
    it: one pair per member, not all pairs. Sets that differ from one original thus meet the original.
 3. A pair's registers and set sizes give the likelihood estimate of its similarity; what is ``MARGIN`` below the threshold is left out
    (more than five standard errors), the rest is decided on the full sets.
-4. Components of the links. Buckets that still hold several components are gone through again without a leader: members that agree on a
-   second band too, belong to different components and fit in size are compared in pairs. So a link that no leader saw is found as well.
+4. Components of the links. Members of buckets that still hold several components are gone through again without a leader: two sets
+   similar enough share one of their rarest shingles (the first n - ceil(0.8 n) + 1 in an order by frequency), and what stands behind it
+   bounds how many more they can share. Members of different components that pass this exact test are compared in pairs. So a link that
+   no leader saw is found as well, and documents that share only a common passage are not paired.
 
 A pair at similarity s shares none of the 28 bands with probability (1 - s^4)^28: 4e-7 at 0.8.
 
@@ -35,7 +37,7 @@ TOP = 1000
 WIDTH, BANDS = 4, 28
 REGISTERS = WIDTH * BANDS
 MARGIN = 0.2
-SECOND = 12
+COUNTERS = 1 << 20
 BITS = 8_388_593  # size of the bitmap of wanted nodes, a prime near 2 ** 23
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -175,15 +177,53 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
+def _sets_of(nodes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """(node, items): the full sets of (at least) these nodes, each once."""
+    sets = T.map_texts(documents.select("text"), functools.partial(_sets, size=size, wanted=_bitmap(nodes)), "node long, items binary")
+    return cut_lineage(sets.where(F.col("items").isNotNull()).groupBy("node").agg(F.first("items").alias("items")))
+
+
+def _counted(batches):
+    seen = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for items in b.column(0).to_pylist():
+            np.add.at(seen, (_unpacked(items) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    used = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["place", "n"])
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle, by ``COUNTERS`` places that shingles share: an order in which common shingles come late."""
+    got = sets.select("items").mapInArrow(_counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[got["place"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _heads(batches, frequency, percent):
+    """The rarest shingles of each set: of two sets similar enough, the heads share one. With its place in the order and the set's size."""
+    for b in batches:
+        get = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        nodes, shingle, place, size = [], [], [], []
+        for node, items in zip(get["node"].to_pylist(), get["items"].to_pylist(), strict=True):
+            x = _unpacked(items)
+            head = len(x) - -(-percent * len(x) // 100) + 1
+            x = x[np.lexsort((x, frequency[(x % np.uint64(COUNTERS)).astype(np.int64)]))[:head]]
+            nodes.append(np.full(head, node))
+            shingle.append(x.astype(np.int64))
+            place.append(np.arange(head))
+            size.append(np.full(head, len(items) // 6))
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, shingle, place, size)], names=["node", "shingle", "place", "size"])
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     side = {k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"}
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     known = pairs.join(side["a"], "a").join(side["b"], "b").where(fits).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     likely = cut_lineage(known.mapInArrow(_estimates, "a long, b long, estimate double").where(F.col("estimate") >= percent / 100 - MARGIN).select("a", "b"))
-    wanted = _bitmap(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))))
-    sets = T.map_texts(documents.select("text"), functools.partial(_sets, size=size, wanted=wanted), "node long, items binary").where(F.col("items").isNotNull())
-    sets = cut_lineage(sets.groupBy("node").agg(F.first("items").alias("items")))
+    sets = _sets_of(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))), documents, size)
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
     return full.mapInArrow(functools.partial(_confirm, percent=percent), "a long, b long")
 
@@ -199,19 +239,17 @@ def _groups(nodes: DataFrame, documents: DataFrame, size: int, percent: int) ->
     links = cut_lineage(_linked(pairs, nodes, documents, size, percent))
     found = cut_lineage(components(links))
 
-    # buckets with several components: pairs that agree on a second band
-    of = crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # buckets with several components: their members once more, by the rare shingles that similar sets must share
+    of = crowded.select("node", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
-    own = of.join(mixed, "bucket", "left_semi").select("node", "component", "band", "bucket")
-    other = own.select("node", F.col("band").alias("band2"), F.col("bucket").alias("bucket2"))
-    gap = F.pmod(F.col("band2") - F.col("band"), F.lit(BANDS))
-    twice = own.join(other, "node").where((gap >= 1) & (gap <= SECOND)).join(nodes.select("node", "n_shingles"), "node")
-    twice = cut_lineage(twice.select("node", "component", "n_shingles", F.xxhash64("bucket", "bucket2").alias("cell")))
-    several = twice.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("cell")
-    twice = twice.join(several, "cell", "left_semi")
-    x, y = (twice.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"), F.col("n_shingles").alias(f"n_{k}"), "cell") for k in "ab")
+    open_nodes = cut_lineage(of.join(mixed, "bucket", "left_semi").select("node", "component").distinct())
+    sets = _sets_of(open_nodes.select("node"), documents, size)
+    frequency = _frequencies(sets)
+    heads = sets.mapInArrow(functools.partial(_heads, frequency=frequency, percent=percent), "node long, shingle long, place long, size long").join(open_nodes, "node")
+    x, y = (heads.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"), F.col("size").alias(f"n_{k}"), F.col("place").alias(f"at_{k}"), "shingle") for k in "ab")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    rest = x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
+    enough = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    rest = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits & enough).select("a", "b").distinct()
     more = _linked(rest.join(pairs, ["a", "b"], "left_anti"), nodes, documents, size, percent)
     return components(links.union(more))
 
