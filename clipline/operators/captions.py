@@ -203,27 +203,16 @@ def emphasize_words(words: DataFrame, symbols: dict[str, str] | None = None) ->
     return words.withColumn("word", F.when(mark.isNotNull() & ~F.col("word").contains(mark), F.concat("word", F.lit(" "), mark)).otherwise(F.col("word")))
 
 
-def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Times of edited tokens that the original tokens give; the rest stay open."""
+def _matched_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which token of the old text each token of the new one is, if any."""
     for batch in batches:
         out = []
-        for video, clip, new, old in batch[["video_id", "clip_name", "new_tokens", "old"]].itertuples(index=False):
-            new = list(new)
-            start, end = [None] * len(new), [None] * len(new)
-            ops = SequenceMatcher(None, [o["word"] for o in old], new).get_opcodes()
-            for tag, i1, i2, j1, j2 in ops:
-                count = j2 - j1
-                if tag == "equal" or (tag == "replace" and i2 - i1 == count):
-                    for k in range(count):
-                        start[j1 + k], end[j1 + k] = old[i1 + k]["start_s"], old[i1 + k]["end_s"]
-                elif tag == "replace":
-                    lo = old[i1]["start_s"]
-                    width = (old[i2 - 1]["end_s"] - lo) / count
-                    for k in range(count):
-                        start[j1 + k], end[j1 + k] = round(lo + k * width, 3), round(lo + (k + 1) * width, 3)
-            edge = (old[0]["start_s"], old[-1]["end_s"]) if len(old) else (0.0, 10.0)
-            out += [(video, clip, j, w, start[j], end[j], *edge) for j, w in enumerate(new)]
-        yield pd.DataFrame(out, columns=["video_id", "clip_name", "word_idx", "word", "start_s", "end_s", "clip_start", "clip_end"])
+        for video, clip, new, old in batch[["video_id", "clip_name", "new_tokens", "old_words"]].itertuples(index=False):
+            same = {}
+            for block in SequenceMatcher(None, list(old), list(new)).get_matching_blocks():
+                same.update(zip(range(block.b, block.b + block.size), range(block.a, block.a + block.size), strict=True))
+            out += [(video, clip, j, w, same.get(j, -1), len(old)) for j, w in enumerate(new)]
+        yield pd.DataFrame(out, columns=["video_id", "clip_name", "word_idx", "word", "old_no", "n_old"])
 
 
 def align_edits(plans: DataFrame, edits: DataFrame, words: DataFrame) -> DataFrame:
@@ -242,30 +231,39 @@ def align_edits(plans: DataFrame, edits: DataFrame, words: DataFrame) -> DataFra
         target.select("video_id", "clip_name", "__a", "__b"), words.select("video_id", "word_idx", "word", "start_s", "end_s"),
         ["video_id"], ("__a", "__b"), ("start_s", "end_s"), closed=True,
     ).groupBy("video_id", "clip_name").agg(F.sort_array(F.collect_list(F.struct("word_idx", "word", "start_s", "end_s"))).alias("old"))
-    empty = F.expr("cast(array() as array<struct<word_idx:int,word:string,start_s:double,end_s:double>>)")
-    rows = target.join(own, ["video_id", "clip_name"], "left").select("video_id", "clip_name", "new_tokens", F.coalesce("old", empty).alias("old"))
-    video = dict(rows.dtypes)["video_id"]
-    timed = rows.mapInPandas(
-        _diff_batches,
-        f"video_id {video}, clip_name string, word_idx long, word string, start_s double, end_s double, clip_start double, clip_end double",
-    )
     key = ["video_id", "clip_name"]
-    timed = timed.withColumn("__open", F.col("start_s").isNull() | F.isnan("start_s")).withColumns({
-        "start_s": F.when(~F.col("__open"), F.col("start_s")), "end_s": F.when(~F.col("__open"), F.col("end_s")),
-    })
+    rows = target.join(own, key, "left").select(*key, "new_tokens", F.coalesce(F.transform("old", lambda o: o["word"]), F.array().cast("array<string>")).alias("old_words"))
+    video = dict(rows.dtypes)["video_id"]
+    new = rows.mapInPandas(_matched_tokens, f"video_id {video}, clip_name string, word_idx long, word string, old_no long, n_old long")
+    matched = F.col("old_no") >= 0
     linked = with_ordered(
-        timed, key, ["word_idx"],
-        {"__prev": last_seen(F.col("end_s")), "__next": next_seen(F.col("start_s")), "__run": running_sum(F.when(F.col("__open"), 0).otherwise(1))},
+        new, key, ["word_idx"],
+        {"__before": last_seen(F.when(matched, F.col("old_no"))), "__after": next_seen(F.when(matched, F.col("old_no"))), "__run": running_sum(F.when(matched, 1).otherwise(0))},
     )
-    gaps = Window.partitionBy(*key, "__run", "__open")
-    k = F.row_number().over(gaps.orderBy("word_idx")) - 1
-    n = F.count("*").over(gaps)
-    lo, hi = F.coalesce("__prev", "clip_start"), F.coalesce("__next", "clip_end")
-    filled = linked.withColumns({"__k": k, "__n": n, "__lo": lo, "__step": (hi - lo)}).withColumn("__step", F.col("__step") / (F.col("__n") + 1))
-    at = lambda j: round_to(F.col("__lo") + (F.col("__k") + j) * F.col("__step"))
-    return filled.select(
-        *key, "word_idx", "word", F.when(F.col("__open"), at(0)).otherwise(F.col("start_s")).alias("start_s"),
-        F.when(F.col("__open"), at(1)).otherwise(F.col("end_s")).alias("end_s"),
+    # a run of unmatched tokens stands where the old tokens between its matched neighbours stood
+    run = Window.partitionBy(*key, "__run", "__open")
+    placed = linked.withColumn("__open", ~matched).withColumns({
+        "__k": F.row_number().over(run.orderBy("word_idx")) - 1, "__n": F.count("*").over(run),
+        "__low": F.coalesce("__before", F.lit(-1)), "__high": F.coalesce("__after", "n_old"),
+    })
+    gone = F.col("__high") - F.col("__low") - 1
+    one = F.when(matched, F.col("old_no")).when(gone == F.col("__n"), F.col("__low") + 1 + F.col("__k"))
+    placed = placed.withColumns({
+        "__one": one.isNotNull(), "__inserted": ~matched & (gone == 0),
+        "__a": F.coalesce(one, F.when(gone > 0, F.col("__low") + 1).otherwise(F.col("__low"))),
+        "__b": F.coalesce(one, F.when(gone > 0, F.col("__high") - 1).otherwise(F.col("__high"))),
+    })
+    times = own.select(*key, F.posexplode("old").alias("__no", "__o")).select(*key, F.col("__no").cast("bigint").alias("__no"), "__o.start_s", "__o.end_s")
+    side = {c: times.select(*key, F.col("__no").alias(f"__{c}"), F.col("start_s").alias(f"__{c}_start"), F.col("end_s").alias(f"__{c}_end")) for c in "ab"}
+    edges = own.select(*key, F.col("old")[0]["start_s"].alias("__first"), F.element_at("old", -1)["end_s"].alias("__last"))
+    known = placed.join(side["a"], [*key, "__a"], "left").join(side["b"], [*key, "__b"], "left").join(edges, key, "left")
+    low = F.when(F.col("__inserted"), F.coalesce("__a_end", "__first", F.lit(0.0))).otherwise(F.col("__a_start"))
+    high = F.when(F.col("__inserted"), F.coalesce("__b_start", "__last", F.lit(10.0))).otherwise(F.col("__b_end"))
+    step = (high - low) / (F.col("__n") + F.when(F.col("__inserted"), 1).otherwise(0))
+    at = lambda j: round_to(low + (F.col("__k") + j) * step)
+    return known.select(
+        *key, "word_idx", "word", F.when(F.col("__one"), F.col("__a_start")).otherwise(at(0)).alias("start_s"),
+        F.when(F.col("__one"), F.col("__b_end")).otherwise(at(1)).alias("end_s"),
     )
 
 

@@ -218,9 +218,9 @@ def compact_transcript(
 
 
 def fixed_slices(
-    segments: DataFrame, min_s: float, max_s: float, limit: int, overlap_ratio: float = 0.2, shortest_s: float = 10.0
+    segments: DataFrame, min_s: float, max_s: float, limit: int | None, overlap_ratio: float = 0.2, shortest_s: float = 10.0
 ) -> DataFrame:
-    """Evenly spaced fallback slices with the segments each covers; every score is 6."""
+    """Evenly spaced fallback slices with the segments each covers; every score is 6. No ``limit``: all slices."""
     width = max(float(min_s), min(float(max_s), 60.0))
     step = width * (1 - overlap_ratio)
     totals = last_end(segments)
@@ -242,7 +242,7 @@ def fixed_slices(
     # one row per slice, a slice every step seconds: few rows per video
     numbered = with_ordered(slices, ["video_id"], ["slot"], {"__i": position()})
     scores = ("hook_score", "flow_score", "virality_score", "completeness_score", "boundary_score", "meaning_score")
-    return numbered.where(F.col("__i") < limit).select(
+    return (numbered if limit is None else numbered.where(F.col("__i") < limit)).select(
         "video_id",
         F.format_string("w01_c%02d", F.col("__i") + 1).alias("candidate_id"),
         F.concat(F.lit("Key Segment Part "), (F.col("__i") + 1).cast("string")).alias("title"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_to
@@ -76,8 +77,8 @@ def q_snap_end(spark, d):
     return e.select("video_id", "word_idx", "snapped_end", "filler_start", "gap_start")
 
 
-def slices(segs, n=40):
-    s = windows.fixed_slices(segs, 30, 60, n)
+def slices(segs):
+    s = windows.fixed_slices(segs, 30, 60, None)
     return s.select("video_id", "candidate_id", "start_s", "end_s", one_part(F.col("start_s"), F.col("end_s")).alias("segments"))
 
 
@@ -95,7 +96,7 @@ def q_candidate_text(spark, d):
 
 def q_context_lines(spark, d):
     segs = cut_lineage(document_segments(spark, d))
-    out = candidates.context_lines(slices(segs), segs, max_lines=12, max_words=150)
+    out = candidates.context_lines(slices(segs), segs)
     return out.select("video_id", "candidate_id", "line_no", "seg_id", "selected")
 
 
@@ -108,13 +109,13 @@ def q_anchor_summary(spark, d):
 def q_filter_and_score(spark, d):
     """Short spans of the documents lengthened to 30 seconds, scored, with evidence and repaired metadata."""
     segs = cut_lineage(document_segments(spark, d))
-    short = windows.fixed_slices(segs, 10, 12, 40).withColumns({
+    short = windows.fixed_slices(segs, 10, 12, None).withColumns({
         "segments": one_part(F.col("start_s"), F.col("end_s")), "hashtags": F.array(F.lit("#Talk"), F.lit("talk!")), "caption": F.lit(""), "description": F.lit(""),
     })
     out = candidates.filter_and_score(short, segs, 30.0, 60.0, large=ROW_BOUND)
     return out.select(
         "video_id", "candidate_id", round_to(F.col("start_s")).alias("start_s"), round_to(F.col("end_s")).alias("end_s"),
-        "total_duration", "master_score", F.length("evidence").alias("evidence_chars"), F.size("hashtags").alias("n_tags"), "title",
+        "total_duration", "master_score", "evidence", F.array_join("hashtags", " ").alias("tags"), "title",
     )
 
 
@@ -156,14 +157,17 @@ def q_apply_merges(spark, d):
     )
 
 
-def _first_minute_plans(segs):
-    """One plan per document over its first minute, in the shape of a reviewed plan."""
+def _whole_plans(segs):
+    """One plan per document over all of it, a part per minute, in the shape of a reviewed plan."""
     totals = windows.last_end(segs)
-    end = round_to(F.least(F.col("total_s"), F.lit(60.0)))
-    part = F.struct(F.lit(0.0).alias("start_s"), end.alias("end_s"), end.alias("duration_s"))
+    end = round_to(F.col("total_s"))
+    last = F.greatest(F.ceil(end / 60) - 1, F.lit(0)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(
+        (k * 60.0).alias("start_s"), F.least(end, k * 60.0 + 60.0).alias("end_s"), round_to(F.least(end, k * 60.0 + 60.0) - k * 60.0).alias("duration_s"),
+    ))
     return totals.select(
         "video_id", F.lit("clip_01").alias("clip_name"), F.lit(1).alias("clip_index"), F.concat(F.lit("w01_c"), F.col("video_id").cast("string")).alias("candidate_id"),
-        F.array(part).alias("segments"), end.alias("total_duration"), F.lit(False).alias("is_concat"),
+        parts.alias("segments"), end.alias("total_duration"), (last > 0).alias("is_concat"),
         (F.pmod("video_id", F.lit(9)) + 1).cast("double").alias("hook_score"), F.lit(5.0).alias("meaning_score"),
         F.lit(5.0).alias("flow_score"), F.lit(5.0).alias("virality_score"),
     )
@@ -172,16 +176,16 @@ def _first_minute_plans(segs):
 def q_apply_decisions(spark, d):
     segs = document_segments(spark, d)
     decided = label_decisions(spark, d).withColumn("clip_name", F.lit("clip_01"))
-    out = selection.apply_decisions(_first_minute_plans(segs), decided, pseudo_words(segs), large=ROW_BOUND)
-    return out.select("video_id", "clip_name", "adjusted", "total_duration", F.col("segments")[0]["start_s"].alias("start_s"), F.element_at("segments", -1)["end_s"].alias("end_s"))
+    out = selection.apply_decisions(_whole_plans(segs), decided, pseudo_words(segs), large=ROW_BOUND)
+    return out.select("video_id", "clip_name", "adjusted", "total_duration", F.col("segments")[0]["start_s"].alias("start_s"), F.element_at("segments", -1)["end_s"].alias("end_s"), F.size("segments").alias("n_parts"))
 
 
 def q_plan_fingerprint(spark, d):
-    return selection.plan_fingerprint(_first_minute_plans(document_segments(spark, d)), 30, 60)
+    return selection.plan_fingerprint(_whole_plans(document_segments(spark, d)), 30, 60)
 
 
 def q_plan_summary(spark, d):
-    return selection.plan_summary(_first_minute_plans(document_segments(spark, d)))
+    return selection.plan_summary(_whole_plans(document_segments(spark, d)))
 
 
 def q_select_top(spark, d):
@@ -229,7 +233,7 @@ def ranked_candidates(segs, large=ROW_BOUND):
     length = F.col("end_s") - F.col("start_s")
     return both.select(
         "video_id", F.concat(F.lit("w"), F.col("start_idx").cast("string"), F.lit("_"), F.col("end_idx").cast("string")).alias("candidate_id"),
-        F.col("start_idx").cast("bigint").alias("ord"), F.array(part).alias("segments"), F.substring("__st", 1, 60).alias("title"),
+        F.col("start_idx").cast("bigint").alias("ord"), F.array(part).alias("segments"), F.col("__st").alias("title"),
         *[(F.col("score") + i).alias(s) for i, s in enumerate(candidates.SCORES)],
         candidates.master_score(length, 30.0, 60.0, F.col("score") * 6 + 15.0).alias("master_score"),
     )
@@ -242,7 +246,7 @@ def q_select_clips(spark, d):
     cands = cut_lineage(ranked_candidates(segs))
     near = selection.find_short_with_neighbours(cands, 30.0, large=ROW_BOUND).where("next_id is not null and gap_after_s < 10")
     merges = near.select(
-        "video_id", (F.col("start_s") * 1000).cast("bigint").alias("merge_no"), F.array("candidate_id", "next_id").alias("merge_ids"), F.lit("short").alias("reason")
+        "video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("start_s", "candidate_id")).cast("bigint").alias("merge_no"), F.array("candidate_id", "next_id").alias("merge_ids"), F.lit("short").alias("reason")
     )
     decided = label_decisions(spark, d).withColumn("clip_name", F.lit("clip_01"))
     out = select_clips(cands, segs, words, 5, 60.0, merges, decided, large=ROW_BOUND)
@@ -360,7 +364,7 @@ DEDUPE_CONFLICT = "greatest(0, least(k.e, x.end_s) - greatest(k.s, x.start_s)) /
 SLICES = """
  tl AS (SELECT video_id, arg_max(end_s, seg_id) AS total FROM seg GROUP BY video_id),
  slot AS (SELECT video_id, u.k, u.k * 48.0::DOUBLE AS a, least(total, u.k * 48.0::DOUBLE + 60.0) AS b FROM tl, unnest(range(0, CAST(ceil(total / 48.0) AS BIGINT))) AS u(k)),
- slice AS (SELECT video_id, 'w01_c' || CASE WHEN k < 9 THEN '0' ELSE '' END || CAST(k + 1 AS VARCHAR) AS candidate_id, a AS start_s, b AS end_s FROM slot WHERE b - a >= 10 AND k < 40)"""
+ slice AS (SELECT video_id, 'w01_c' || CASE WHEN k < 9 THEN '0' ELSE '' END || CAST(k + 1 AS VARCHAR) AS candidate_id, a AS start_s, b AS end_s FROM slot WHERE b - a >= 10)"""
 SNAP = f"""
  w1 AS (SELECT *, lead(start_s) OVER v AS ns, clean IN ({sql_list(sorted(set(INCOMPLETE_ENDS)))}) AS dangling FROM wrd WINDOW v AS (PARTITION BY video_id ORDER BY word_idx)),
  w2 AS (SELECT *, NOT dangling AND (regexp_matches(word, '[.!?]$') OR coalesce(ns - end_s >= 0.45, false)) AS ok, coalesce(ns - end_s > 2.5, false) AS sil FROM w1),
@@ -431,7 +435,7 @@ ORACLES = {
  hit AS (SELECT c.video_id, c.candidate_id, seg_id, seg.start_s >= c.start_s - 0.1::DOUBLE AND seg.end_s <= c.end_s + 0.1::DOUBLE AS selected, n + 6 AS n
    FROM slice c JOIN seg ON seg.video_id = c.video_id AND seg.end_s >= greatest(0.0, c.start_s - 15.0) AND seg.start_s <= c.end_s + 40.0),
  num AS (SELECT *, row_number() OVER v - 1 AS line_no, sum(n) OVER v AS used FROM hit WINDOW v AS (PARTITION BY video_id, candidate_id ORDER BY seg_id))
- SELECT video_id, candidate_id, line_no, seg_id, selected FROM num WHERE line_no < 12 AND used <= 150""",
+ SELECT video_id, candidate_id, line_no, seg_id, selected FROM num WHERE line_no < 100 AND used <= 2000""",
     "short_with_neighbours": f"""WITH {SPANS},
  nb AS (SELECT *, lag(candidate_id) OVER v AS prev_id, lead(candidate_id) OVER v AS next_id, start_s - lag(end_s) OVER v AS g0, lead(start_s) OVER v - end_s AS g1 FROM span WINDOW v AS (PARTITION BY video_id ORDER BY start_s, candidate_id))
  SELECT video_id, candidate_id, prev_id, next_id, {r3('g0')} AS gap_before_s, {r3('g1')} AS gap_after_s FROM nb WHERE length_s < 15""",
@@ -444,13 +448,13 @@ ORACLES = {
  SELECT video_id, 'merged_' || string_agg(CAST(candidate_id AS VARCHAR), '+' ORDER BY r) AS candidate_id, count(*) AS n_parts, max(CASE WHEN best = 1 THEN score END) AS master_score, max(CASE WHEN best = 1 THEN speaker END) AS title, {r3('min(start_s)')} AS start_s FROM fm GROUP BY video_id, no
  UNION ALL SELECT video_id, CAST(candidate_id AS VARCHAR), 1, score, speaker, {r3('start_s')} FROM span s WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.video_id = s.video_id AND fm.candidate_id = s.candidate_id)""",
     "apply_decisions": f"""WITH {WORDS},
- pl AS (SELECT video_id, {r3('least(arg_max(end_s, seg_id), 60.0)')} AS e FROM seg GROUP BY 1),
+ pl AS (SELECT *, least(e, 60.0) AS e1, CAST(greatest(1, ceil(e / 60.0)) AS INTEGER) AS n FROM (SELECT video_id, {r3('arg_max(end_s, seg_id)')} AS e FROM seg GROUP BY 1)),
  dec AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'discard' WHEN quality = 0 THEN 'adjust' ELSE 'keep' END AS d FROM labels),
  j AS (SELECT pl.*, dec.d, (SELECT arg_min(w.start_s, {{g: abs(w.start_s - 2.0), t: w.start_s}}) FROM wrd w WHERE w.video_id = pl.video_id) AS hit FROM pl LEFT JOIN dec ON dec.doc_id = pl.video_id),
- k AS (SELECT *, CASE WHEN d = 'adjust' THEN CASE WHEN e - hit >= 0.5 THEN {r3('hit')} ELSE 2.0 END ELSE 0.0 END AS s FROM j WHERE NOT (coalesce(d, 'keep') = 'discard' AND video_id % 9 + 1 < 7))
- SELECT video_id, 'clip_01' AS clip_name, coalesce(d = 'adjust', false) AS adjusted, {r3('e - s')} AS total_duration, s AS start_s, e AS end_s FROM k""",
-    "plan_summary": f"""WITH {SEGMENTS}, pl AS (SELECT video_id, {r3('least(arg_max(end_s, seg_id), 60.0)')} AS e FROM seg GROUP BY 1)
- SELECT video_id, CAST(1 AS BIGINT) AS n_clips, {r3('e')} AS total_s, CAST(1 AS BIGINT) AS n_segments, CAST(0 AS BIGINT) AS n_concat, (video_id % 9 + 1)::DOUBLE AS avg_hook, 5.0::DOUBLE AS avg_flow, 5.0::DOUBLE AS avg_virality FROM pl""",
+ k AS (SELECT *, CASE WHEN d = 'adjust' THEN CASE WHEN e1 - hit >= 0.5 THEN {r3('hit')} ELSE 2.0 END ELSE 0.0 END AS s FROM j WHERE NOT (coalesce(d, 'keep') = 'discard' AND video_id % 9 + 1 < 7))
+ SELECT video_id, 'clip_01' AS clip_name, coalesce(d = 'adjust', false) AS adjusted, {r3('e - s')} AS total_duration, s AS start_s, e AS end_s, n AS n_parts FROM k""",
+    "plan_summary": f"""WITH {SEGMENTS}, pl AS (SELECT *, CAST(greatest(1, ceil(e / 60.0)) AS BIGINT) AS n FROM (SELECT video_id, {r3('arg_max(end_s, seg_id)')} AS e FROM seg GROUP BY 1))
+ SELECT video_id, CAST(1 AS BIGINT) AS n_clips, {r3('e')} AS total_s, n AS n_segments, CAST(n > 1 AS BIGINT) AS n_concat, (video_id % 9 + 1)::DOUBLE AS avg_hook, 5.0::DOUBLE AS avg_flow, 5.0::DOUBLE AS avg_virality FROM pl""",
     "select_top": f"""WITH {SPANS}, r AS (SELECT video_id, candidate_id AS ord, score, CAST(row_number() OVER (PARTITION BY video_id ORDER BY score DESC, candidate_id) AS INTEGER) AS clip_index FROM span)
  SELECT *, 'clip_' || lpad(CAST(clip_index AS VARCHAR), 2, '0') AS clip_name FROM r WHERE clip_index <= 5""",
     "select_top_volume": """SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, clip_index FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice,

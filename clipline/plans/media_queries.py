@@ -17,12 +17,12 @@ from .sql import SPANS, TURNS, WORD_ROWS, r3
 
 
 def conversation_plans(segs):
-    """One clip per conversation: its second and third quarter as two touching parts, and the first five seconds again."""
+    """One clip per conversation, all of it: the second quarter, the second half, and the first quarter last."""
     t = last_end(segs)
     part = lambda a, b: F.struct(a.alias("start_s"), b.alias("end_s"), (b - a).alias("duration_s"))
     q = lambda k: round_to(F.col("total_s") * (k / 4.0))
     return t.select(
-        "video_id", F.lit("clip_01").alias("clip_name"), F.array(part(q(1), q(2)), part(q(2), q(3)), part(F.lit(0.0), F.least(F.lit(5.0), q(4)))).alias("segments"),
+        "video_id", F.lit("clip_01").alias("clip_name"), F.array(part(q(1), q(2)), part(q(2), q(4)), part(F.lit(0.0), q(1))).alias("segments"),
         F.round("total_s", 3).alias("total_duration"), F.lit("").alias("transcript_text"),
     )
 
@@ -121,7 +121,7 @@ def q_label_slots(spark, d):
 def q_speaker_prototypes(spark, d):
     v = embedding_vectors(spark, d).withColumn("video_id", F.floor(F.col("vec_id") / 100))
     p = speakers.speaker_prototypes(v)
-    return p.select("video_id", "speaker", *[round_to(F.col("prototype")[i]).alias(f"p{i}") for i in range(4)], F.size("prototype").cast("bigint").alias("dims"))
+    return p.select("video_id", "speaker", F.posexplode("prototype").alias("dim", "v")).select("video_id", "speaker", "dim", round_to(F.col("v")).alias("v"))
 
 
 def vector_faces(spark, d):
@@ -141,7 +141,7 @@ def q_assign_slots(spark, d):
 
 def q_aggregate_slots(spark, d):
     a = speakers.aggregate_slots(speakers.assign_slots(vector_faces(spark, d)))
-    return a.select("video_id", "template_id", "slot", round_to(F.col("cx")).alias("cx"), round_to(F.col("cy")).alias("cy"), round_to(F.col("confidence")).alias("confidence"), "n_obs", round_to(F.col("embedding")[0]).alias("e0"))
+    return a.select("video_id", "template_id", "slot", round_to(F.col("cx")).alias("cx"), round_to(F.col("cy")).alias("cy"), round_to(F.col("confidence")).alias("confidence"), "n_obs", F.posexplode("embedding").alias("dim", "v")).withColumn("v", round_to(F.col("v")))
 
 
 def q_template_geometry(spark, d):
@@ -212,7 +212,7 @@ def q_medoid_hashes(spark, d):
 
 def q_prune_templates(spark, d):
     t = vector_hashes(spark, d).select(
-        "video_id", F.col("scene").alias("template_id"), (F.pmod("scene", F.lit(5)) == 0).alias("canonical"), F.shiftright("phash", 58).alias("phash"), F.pmod("scene", F.lit(40)).cast("double").alias("crop_x"), F.lit(0.0).alias("crop_y"),
+        "video_id", F.col("scene").alias("template_id"), (F.pmod("scene", F.lit(5)) == 0).alias("canonical"), "phash", F.pmod("scene", F.lit(40)).cast("double").alias("crop_x"), F.lit(0.0).alias("crop_y"),
     )
     return scenes.prune_templates(t).select("video_id", "template_id")
 
@@ -372,7 +372,7 @@ LOUD = """
 ORACLES = {
     "localize_words": f"""WITH {TURN_WORDS},
  tl AS (SELECT video_id, arg_max(end_s, seg_id) AS t FROM seg GROUP BY 1),
- part AS (SELECT video_id, 0 AS part, {r3('t * 0.25::DOUBLE')} AS a, {r3('t * 0.5::DOUBLE')} AS b FROM tl UNION ALL SELECT video_id, 1, {r3('t * 0.5::DOUBLE')}, {r3('t * 0.75::DOUBLE')} FROM tl UNION ALL SELECT video_id, 2, 0.0, least(5.0, {r3('t * 1.0::DOUBLE')}) FROM tl),
+ part AS (SELECT video_id, 0 AS part, {r3('t * 0.25::DOUBLE')} AS a, {r3('t * 0.5::DOUBLE')} AS b FROM tl UNION ALL SELECT video_id, 1, {r3('t * 0.5::DOUBLE')}, {r3('t * 1.0::DOUBLE')} FROM tl UNION ALL SELECT video_id, 2, 0.0, {r3('t * 0.25::DOUBLE')} FROM tl),
  base AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY video_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS base FROM part),
  hit AS (SELECT p.video_id, p.part, w.word_idx, w.word, {r3('base + (greatest(w.start_s, a) - a)')} AS s, {r3('base + greatest(least(w.end_s, b) - a, greatest(w.start_s, a) - a + 0.08::DOUBLE)')} AS e
    FROM base p JOIN wrd w ON w.video_id = p.video_id AND w.end_s > a AND w.start_s < b),
@@ -388,7 +388,7 @@ ORACLES = {
     "emphasize_words": f"""WITH {TURN_WORDS} SELECT video_id, word_idx, CASE WHEN word_idx % 5 = 0 THEN ['Money! 💰', 'time ⏱️', 'growth, 🚀', 'idea. 💡'][word_idx // 5 % 4 + 1]
   WHEN clean IN ('money', 'cash') THEN word || ' 💰' ELSE word END AS word FROM wrd""",
     "adjust_ending": f"""WITH {TURNS}, tl AS (SELECT video_id, arg_max(end_s, seg_id) AS t FROM seg GROUP BY 1),
- p AS (SELECT video_id, t, least(5.0, {r3('t * 1.0::DOUBLE')}) AS e, least(5.0, {r3('t * 1.0::DOUBLE')}) + video_id % 5 - 2.0 AS n FROM tl),
+ p AS (SELECT video_id, t, {r3('t * 0.25::DOUBLE')} AS e, {r3('t * 0.25::DOUBLE')} + video_id % 5 - 2.0 AS n FROM tl),
  q AS (SELECT *, CASE WHEN n < 1.0 THEN 'too_early' WHEN t > 0 AND n > t THEN 'past_source' WHEN abs(n - e) >= 0.0005 THEN 'moved' ELSE 'kept' END AS st FROM p)
  SELECT video_id, st AS end_status, CASE WHEN st = 'moved' THEN {r3('n')} ELSE e END AS end_s FROM q""",
     "speaker_totals": f"WITH {SPANS} SELECT video_id, speaker, {r3('sum(end_s - start_s)')} AS seconds FROM span GROUP BY 1, 2",
@@ -401,16 +401,17 @@ ORACLES = {
  cut AS (SELECT rg.video_id, range_id, speaker, greatest(start_s, a) AS s, least(end_s, b) AS e FROM rg JOIN span ON span.video_id = rg.video_id AND start_s < b AND end_s > a)
  SELECT video_id, range_id, speaker, count(*) AS n, {r3('sum(e - s)')} AS seconds FROM cut WHERE e - s > 0.15 GROUP BY 1, 2, 3""",
     "speaker_prototypes": f"""WITH el AS (SELECT vec_id // 100 AS video_id, CAST(label AS VARCHAR) AS speaker, u.i, avg(CAST(u.v AS DOUBLE)) AS m FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, i) GROUP BY 1, 2, 3),
- nn AS (SELECT video_id, speaker, sqrt(sum(m * m)) AS n, count(*) AS dims FROM el GROUP BY 1, 2)
- SELECT el.video_id, el.speaker, {", ".join(f"{r3(f'max(CASE WHEN i = {k + 1} THEN m / n END)')} AS p{k}" for k in range(4))}, any_value(dims) AS dims FROM el JOIN nn USING (video_id, speaker) GROUP BY 1, 2""",
+ nn AS (SELECT video_id, speaker, sqrt(sum(m * m)) AS n FROM el GROUP BY 1, 2)
+ SELECT el.video_id, el.speaker, CAST(i - 1 AS INTEGER) AS dim, {r3('m / n')} AS v FROM el JOIN nn USING (video_id, speaker)""",
     "label_slots": f"""WITH el AS (SELECT vec_id // 100 AS video_id, CAST(label AS VARCHAR) AS speaker, u.i, avg(CAST(u.v AS DOUBLE)) AS m FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, i) GROUP BY 1, 2, 3),
  pr AS (SELECT video_id, speaker, list(m ORDER BY i) AS p FROM el GROUP BY 1, 2),
  sc AS (SELECT vec_id, speaker, list_cosine_similarity(CAST(embedding AS DOUBLE[]), p) AS sim FROM embeddings e JOIN pr ON pr.video_id = e.vec_id // 100)
  SELECT vec_id, CASE WHEN max(sim) >= 0.45 THEN arg_max(speaker, sim) END AS speaker, {r3('max(sim)')} AS similarity FROM sc GROUP BY 1""",
     "assign_slots": f"WITH {FACES} SELECT video_id, face_id, slot FROM slot",
     "aggregate_slots": f"""WITH {FACES}, el AS (SELECT video_id, template_id, slot, u.i, avg(CAST(u.v AS DOUBLE)) AS m FROM slot, unnest(embedding) WITH ORDINALITY AS u(v, i) GROUP BY 1, 2, 3, 4),
- nn AS (SELECT video_id, template_id, slot, max(CASE WHEN i = 1 THEN m END) / sqrt(sum(m * m)) AS e0 FROM el GROUP BY 1, 2, 3)
- SELECT s.video_id, s.template_id, s.slot, {r3('median(cx)')} AS cx, {r3('median(cy)')} AS cy, {r3('avg(conf)')} AS confidence, count(*) AS n_obs, {r3('any_value(e0)')} AS e0 FROM slot s JOIN nn USING (video_id, template_id, slot) GROUP BY 1, 2, 3""",
+ nn AS (SELECT video_id, template_id, slot, sqrt(sum(m * m)) AS n FROM el GROUP BY 1, 2, 3),
+ ag AS (SELECT video_id, template_id, slot, {r3('median(cx)')} AS cx, {r3('median(cy)')} AS cy, {r3('avg(conf)')} AS confidence, count(*) AS n_obs FROM slot GROUP BY 1, 2, 3)
+ SELECT ag.*, CAST(i - 1 AS INTEGER) AS dim, {r3('m / n')} AS v FROM ag JOIN nn USING (video_id, template_id, slot) JOIN el USING (video_id, template_id, slot)""",
     "merge_cuts": f"WITH RECURSIVE {SPANS},{MAIN_CUTS} SELECT video_id, k.t AS t_s FROM keptrow",
     "scene_of": f"""WITH RECURSIVE {SPANS},{MAIN_CUTS}, bd AS (SELECT video_id, k.t AS s, lead(k.t) OVER (PARTITION BY video_id ORDER BY k.t) AS e, row_number() OVER (PARTITION BY video_id ORDER BY k.t) - 1 AS scene FROM keptrow)
  SELECT s.video_id, candidate_id AS point_id, scene FROM span s JOIN bd ON bd.video_id = s.video_id AND e IS NOT NULL AND bd.s <= start_s + 3.0 AND (start_s + 3.0 < e OR (start_s + 3.0 < e + 0.001 AND e = (SELECT max(k.t) FROM keptrow q WHERE q.video_id = s.video_id)))""",

@@ -27,7 +27,7 @@ def document_clips(spark, d):
     docs = table(spark, d, "documents")
     title = strip(F.split("text", r"(?<=[.!?])\s+")[0])
     return docs.select(
-        F.col("doc_id").alias("video_id"), F.lit("clip_01").alias("clip_name"), F.substring(title, 1, 60).alias("title"), F.lit("").alias("reason"), F.col("text").alias("transcript_text"),
+        F.col("doc_id").alias("video_id"), F.lit("clip_01").alias("clip_name"), title.alias("title"), F.lit("").alias("reason"), F.col("text").alias("transcript_text"),
         F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("source")).otherwise(F.lit("")).alias("description"), F.lit("").alias("caption"),
         F.when(F.pmod("doc_id", F.lit(3)) == 0, F.array(F.lit("#one"), F.lit("#two"))).otherwise(F.array().cast("array<string>")).alias("hashtags"),
         F.lit("a, b").alias("youtube_tags"), F.col("lang").alias("hook_phrase"),
@@ -47,7 +47,7 @@ def document_copy(spark, d):
 
 def q_normalize_copy(spark, d):
     out = packaging.normalize_copy(document_clips(spark, d), document_copy(spark, d))
-    return out.select("video_id", "social_title", F.length("social_description").alias("n_chars"), "social_caption", F.array_join("hashtags", " ").alias("tags"), "generic")
+    return out.select("video_id", "social_title", "social_description", "social_caption", F.array_join("hashtags", " ").alias("tags"), "generic")
 
 
 def q_merge_tags(spark, d):
@@ -185,7 +185,7 @@ def document_responses(spark, d):
         F.lit('/10", "description_hashtags": "#a #b #A", // tags\n "segments": [{"start_words": "one two", "start_frame": "'), frame(s, s + 4.0), F.lit('", "end_words": "three", "end_frame": "'), frame(s + 30.0, s + 35.5), F.lit('"},]}'),
     )
     body = F.when(F.pmod("doc_id", F.lit(10)) == 0, F.lit('{"window_summary": "nothing here"}')).otherwise(F.concat(F.lit('{"clips": ['), clip, F.lit("]}")))
-    return docs.select(F.col("source").alias("video_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("Here is the result:\n```json\n"), body, F.lit("\n```\nDone {not json}.")).alias("raw"))
+    return docs.select(F.floor(F.col("doc_id") / 8).alias("video_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("Here is the result:\n```json\n"), body, F.lit("\n```\nDone {not json}.")).alias("raw"))
 
 
 def q_parse_ai_responses(spark, d):
@@ -237,7 +237,7 @@ def q_candidate_audit(spark, d):
     s = conversation_segments(spark, d)
     block = F.concat(
         F.lit("["), F.format_string("%03d", F.col("seg_id") + 1), F.lit("] w01_c"), F.format_string("%02d", F.col("seg_id") + 1), F.lit("\nTitle: by "), F.col("speaker"),
-        F.lit("\nscores: hook="), F.pmod("seg_id", F.lit(10)).cast("string"), F.lit(".5, viral=7\nseg_1_start_words: "), F.regexp_replace(F.substring("text", 1, 20), r"[\s:]+", " "), F.lit("\nseg_2_end_words: end\n"), F.lit("-" * 12), F.lit("\n"),
+        F.lit("\nscores: hook="), F.pmod("seg_id", F.lit(10)).cast("string"), F.lit(".5, viral=7\nseg_1_start_words: "), F.regexp_replace(F.col("text"), r"[\s:]+", " "), F.lit("\nseg_2_end_words: end\n"), F.lit("-" * 12), F.lit("\n"),
     )
     docs = s.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_id", block.alias("b")))), lambda x: x["b"]), "").alias("text"))
     out = readers.parse_audit(docs)
@@ -256,7 +256,7 @@ QUERIES = {
 LATEST = "lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders {where}) WHERE r = 1)"
 HOST = "regexp_extract(url, '://([^/]+)', 1)"
 FILES = f"""f AS (SELECT {HOST} AS video_id, 'clip_' || CAST(page_id % 5 AS VARCHAR) AS clip_name, 'clips/' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 11 = 0 THEN '_branded' ELSE '' END AS path, page_id % 3 = 0 AS cap, page_id FROM pages)"""
-TITLE = r"substr(trim(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1], ' ' || chr(9) || chr(10) || chr(13)), 1, 60)"
+TITLE = r"trim(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1], ' ' || chr(9) || chr(10) || chr(13))"
 
 ORACLES = {
     "topic_tags": f"""WITH w AS (SELECT doc_id, lower(u.x) AS x, u.i FROM documents, unnest(regexp_extract_all({TITLE} || '  ' || text, '[A-Za-z][A-Za-z0-9]{{3,}}')) WITH ORDINALITY AS u(x, i)),
@@ -292,12 +292,12 @@ ORACLES = {
  n AS (SELECT key, call_id, count(*) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM c) SELECT key, call_id, n AS calls_in_window, n > 5 AS over_limit FROM n""",
     "request_rate_stream": """WITH c AS (SELECT CASE WHEN event_type = 'purchase' THEN 'done' ELSE event_type END AS key, epoch_us(ts) // 1800000000 AS h FROM events), w AS (SELECT key, h * 1800 AS s FROM c UNION ALL SELECT key, (h - 1) * 1800 FROM c)
  SELECT key, CAST(s AS BIGINT) AS window_start, count(*) AS calls, count(*) > 5 AS over_limit FROM w GROUP BY 1, 2""",
-    "parse_ai_responses": f"""WITH v AS (SELECT source AS video_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS w, (doc_id % 600)::DOUBLE AS s FROM documents WHERE doc_id % 10 <> 0)
+    "parse_ai_responses": f"""WITH v AS (SELECT doc_id // 8 AS video_id, doc_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS w, (doc_id % 600)::DOUBLE AS s FROM documents WHERE doc_id % 10 <> 0)
  SELECT video_id, 'w' || CASE WHEN w < 10 THEN '0' ELSE '' END || CAST(w AS VARCHAR) || '_c01' AS candidate_id, 'Clip ' || CAST(doc_id AS VARCHAR) AS title, least(10.0::DOUBLE, (doc_id % 13)::DOUBLE) AS hook_score, 5.0::DOUBLE AS flow_score, '#a #b' AS tags, s AS start_s, s + 35.5::DOUBLE AS end_s FROM v""",
-    "best_of": """WITH v AS (SELECT source AS video_id, doc_id // 40 AS task, doc_id AS ord, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS q FROM documents) SELECT video_id, task, ord FROM (SELECT *, row_number() OVER (PARTITION BY video_id, task ORDER BY q DESC, ord) AS r FROM v) WHERE r = 1""",
+    "best_of": """WITH v AS (SELECT doc_id // 8 AS video_id, doc_id // 40 AS task, doc_id AS ord, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS q FROM documents) SELECT video_id, task, ord FROM (SELECT *, row_number() OVER (PARTITION BY video_id, task ORDER BY q DESC, ord) AS r FROM v) WHERE r = 1""",
     "canonical_url": "SELECT page_id, CASE WHEN page_id % 5 = 4 THEN url ELSE 'https://www.youtube.com/watch?v=' || substr(md5(url), 1, 11) END AS canonical FROM pages",
     "diarization": f"WITH {TURNS} SELECT video_id, {r3('start_s')} AS start_s, {r3('end_s')} AS end_s, speaker FROM seg WHERE end_s > start_s",
     "loudness": f"WITH {SPANS} SELECT video_id AS track_id, count(*) AS n, {r3('sum(CASE WHEN speaker = ' + chr(39) + 'error' + chr(39) + ' THEN -120.0 ELSE -score END)')} AS lufs FROM span GROUP BY 1",
     "candidate_audit": r"""SELECT conv_id AS video_id, 'w01_c' || lpad(CAST(turn + 1 AS VARCHAR), 2, '0') AS candidate_id, 'by ' || role AS title, (turn % 10)::DOUBLE + 0.5::DOUBLE AS hook_score, 5.0::DOUBLE AS flow_score, 7.0::DOUBLE AS virality_score, CAST(2 AS BIGINT) AS n_parts,
- trim(regexp_replace(substr(text, 1, 20), '[\s:]+', ' ', 'g')) AS start_words FROM conversations""",
+ trim(regexp_replace(text, '[\s:]+', ' ', 'g')) AS start_words FROM conversations""",
 }

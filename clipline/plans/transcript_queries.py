@@ -59,8 +59,8 @@ def q_format_transcript(spark, d):
 
 def q_compact_transcript(spark, d):
     full, compact = windows.compact_transcript(document_segments(spark, d), budget=4000, full_budget=12000, large=ROW_BOUND)
-    a = full.groupBy("video_id").agg(F.count("*").alias("n"), F.sum(F.length("line") + 1).alias("chars")).withColumn("kind", F.lit("full"))
-    b = compact.groupBy("video_id").agg(F.count("*").alias("n"), F.sum(F.length("block") + 2).alias("chars")).withColumn("kind", F.lit("compact"))
+    a = full.select("video_id", F.col("seg_id").cast("bigint").alias("place"), F.col("line").alias("text"), F.lit("full").alias("kind"))
+    b = compact.select("video_id", F.col("rank").cast("bigint").alias("place"), F.col("block").alias("text"), F.lit("compact").alias("kind"))
     return a.unionByName(b)
 
 
