@@ -12,6 +12,8 @@ length are scanned whole; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ KINDS = {
     "opaque": (4, "S", True, r"[A-Za-z0-9+/_-]{20,}"),
     "endpoint": (5, "E", True, r"[a-z]+://[A-Za-z0-9_.:/?&%@=-]+|[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+:[0-9]+"),
 }
+#: lower-case words of which every match of the kind holds one
+HINTS = {"assign": ("password", "passwd", "secret", "token", "api"), "ident": ("access", "client", "user", "login", "account")}
 WANTS = {"I": ("S",), "S": ("I", "E"), "E": ("S",)}
 REACH = 200
 _SPANS = "array<struct<start:bigint,kind_order:int,kind:string,end:bigint>>"
@@ -62,7 +66,19 @@ def _spans_of(text: Column, kind: str) -> Column:
             .otherwise(acc.found).cast(_SPANS).alias("found"),
         ),
     )
-    return F.when(text.rlike(pattern), placed.found).otherwise(F.array().cast(_SPANS))
+    return F.when(_may_hold(text, kind) & text.rlike(pattern), placed.found).otherwise(F.array().cast(_SPANS))
+
+
+def _may_hold(text: Column, kind: str) -> Column:
+    """A cheap test that every text with a match of the kind passes."""
+    if kind == "endpoint":
+        return text.contains("://") | text.rlike(":[0-9]")
+    if kind == "access":
+        return text.contains("AKIA")
+    if kind in HINTS:
+        low = F.col("low_")
+        return (text.contains(":") | text.contains("=")) & functools.reduce(lambda a, b: a | b, [low.contains(w) for w in HINTS[kind]])
+    return F.lit(True)
 
 
 def _outside(spans: str, covers: Column) -> Column:
@@ -96,7 +112,10 @@ def add_spans(documents: DataFrame, reach: int = REACH) -> DataFrame:
     """Append ``base_`` and ``spans_`` (arrays of start, kind_order, kind, end in order) to the rows of ``documents``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     weak_kinds = [k for k, (_, _, weak, _) in KINDS.items() if weak]
-    found = documents.withColumns({f"{k}_": _spans_of(text, k) for k in KINDS})
+    found = documents.withColumn("low_", F.lower(text))
+    found = found.withColumns({f"{k}_": _spans_of(text, k) for k in KINDS if k != "opaque"}).drop("low_")
+    # a long run is reported beside an identifier or an endpoint only, so it is looked for only where there is one
+    found = found.withColumn("opaque_", F.when(F.size("access_") + F.size("ident_") + F.size("endpoint_") > 0, _spans_of(text, "opaque")).otherwise(F.array().cast(_SPANS)))
     found = found.withColumn("base_", F.array_sort(F.concat("assign_", "access_", "hex_")))
     # a weak part inside a strong one, or a long run inside an address, is no part of its own
     for k in weak_kinds:
