@@ -20,7 +20,7 @@ from ..functions.times import minutes_text, parse_frame, parse_seconds
 from ..session import cut_lineage
 from .greedy import select_apart
 from .intervals import asof_nearest, interval_join, islands, nearest_within
-from .ordered import block_if, position, row_block, running_sum, sum_before, time_block, with_ordered
+from .ordered import block_if, max_before, position, row_block, running_sum, sum_before, time_block, with_ordered
 
 SCORES = ("hook_score", "flow_score", "virality_score", "meaning_score", "completeness_score", "boundary_score")
 OVERLAP_RATIO = 0.5
@@ -326,14 +326,15 @@ def stitch_extend(candidates: DataFrame, segments: DataFrame, min_s: float, larg
     """Lengthen candidates under ``min_s`` with the segments that follow, then with those before.
 
     The end segments are those whose edge lies within half a second (first for the start, last for the end), else
-    the nearest. How far a candidate can reach is known on the axis of spoken seconds: it meets only the segments
+    the nearest. How far a candidate can reach is known on the axis of covered seconds: it meets only the segments
     within its shortfall on that axis, and takes them in order until it is long enough.
     """
     block = block_if(large, segments, ["video_id"], row_block("seg_id"))
-    spoken = F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))
+    # of segments that overlap only what reaches past all before counts
+    ends = with_ordered(segments.select("video_id", "seg_id", "start_s", "end_s"), ["video_id"], ["seg_id"], {"__m": max_before(F.col("end_s"))}, block)
+    covered = F.greatest(F.lit(0.0), F.col("end_s") - F.greatest(F.col("start_s"), F.coalesce("__m", F.col("start_s"))))
     axis = with_ordered(
-        segments.select("video_id", "seg_id", "start_s", "end_s").withColumn("__len", spoken),
-        ["video_id"], ["seg_id"], {"__p0": sum_before(F.col("__len"))}, block,
+        ends.withColumn("__len", covered), ["video_id"], ["seg_id"], {"__p0": sum_before(F.col("__len"))}, block,
     ).withColumn("__p1", F.col("__p0") + F.col("__len"))
     short = (
         candidates.where((F.size("segments") > 0) & (candidate_duration(F.col("segments")) < min_s))
@@ -358,7 +359,7 @@ def stitch_extend(candidates: DataFrame, segments: DataFrame, min_s: float, larg
     })
     near = interval_join(
         reach.select("video_id", "candidate_id", "__first", "__last", "__lo", "__hi"),
-        axis.where("__len > 0"), ["video_id"], ("__lo", "__hi"), ("__p0", "__p1"), closed=True,
+        axis.where("end_s > start_s"), ["video_id"], ("__lo", "__hi"), ("__p0", "__p1"), closed=True,
     ).where((F.col("seg_id") > F.col("__last")) | (F.col("seg_id") < F.col("__first")))
     span = F.struct("seg_id", "start_s", "end_s")
     around = near.groupBy("video_id", "candidate_id").agg(
@@ -426,6 +427,13 @@ def filter_and_score(
     large: bool | None = None,
 ) -> DataFrame:
     """Extend short candidates, drop empty and far too long ones, attach evidence, repair metadata, score."""
+    if "start_s" in candidates.columns and "end_s" in candidates.columns:
+        # no parts, but times of its own: one part
+        bare = (F.coalesce(F.size("segments"), F.lit(0)) <= 0) & (F.col("end_s") > F.col("start_s"))
+        names = [f.name for f in candidates.schema["segments"].dataType.elementType.fields]
+        whole = F.struct(*[F.col(n).alias(n) if n in ("start_s", "end_s") else F.lit(None).alias(n) for n in names])
+        kind = candidates.schema["segments"].dataType.simpleString()
+        candidates = candidates.withColumn("segments", F.when(bare, F.array(whole).cast(kind)).otherwise(F.col("segments")))
     good = F.filter(F.col("segments"), lambda p: p["end_s"] > p["start_s"])
     ready = candidates.withColumn("segments", F.when(F.size(good) > 0, good).otherwise(F.col("segments")))
     grown = stitch_extend(ready, segments, min_s, large)

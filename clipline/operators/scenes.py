@@ -108,10 +108,11 @@ def window_probe_times(start: Column, end: Column, n: int = 3) -> Column:
 def medoid_hashes(frames: DataFrame) -> DataFrame:
     """Per scene the hash with the smallest total distance to the scene's others, the first of equals.
 
-    frames (video_id, scene, frame_no, phash BIGINT): the handful of frames sampled for a scene.
+    frames (video_id, scene, frame_no, phash BIGINT): the handful of frames sampled for a scene. A scene without any
+    hash has the hash NULL.
     """
-    hs = F.transform(F.sort_array(F.collect_list(F.struct("frame_no", "phash"))), lambda x: x["phash"])
-    scenes = frames.where(F.col("phash").isNotNull()).groupBy("video_id", "scene").agg(hs.alias("__h"))
+    seen = F.filter(F.sort_array(F.collect_list(F.struct("frame_no", "phash"))), lambda x: x["phash"].isNotNull())
+    scenes = frames.groupBy("video_id", "scene").agg(F.transform(seen, lambda x: x["phash"]).alias("__h"))
     total = F.transform("__h", lambda a, i: F.struct(
         F.aggregate("__h", F.lit(0), lambda s, b: s + hamming_bits(a, b)).alias("d"), i.alias("i"), a.alias("h")
     ))
@@ -121,15 +122,29 @@ def medoid_hashes(frames: DataFrame) -> DataFrame:
 def cluster_scenes(scenes: DataFrame, limit: int = HASH_LIMIT, small_group: int = 5000) -> DataFrame:
     """Template of each scene: the first leader closer than ``limit``; a scene without one leads.
 
-    scenes (video_id, scene, phash BIGINT). Templates are numbered in order of their leader.
+    scenes (video_id, scene, phash BIGINT). Templates are numbered in order of their leader. A scene without hash
+    leads none and takes template 0. Two hashes that differ in fewer than ``limit`` bits agree on one of ``limit``
+    bands of the 64 bits, so only scenes that share a band are compared.
     """
+    hashed = scenes.where(F.col("phash").isNotNull())
+    bands = hash_bands(F.col("phash"), limit)
     led = greedy_select(
-        scenes, ["video_id"], ["scene"], ["scene"], ["phash"], lambda k, x: hamming_bits(k["phash"], x["phash"]) < limit, None, small_group
+        hashed, ["video_id"], ["scene"], ["scene"], ["phash"], lambda k, x: hamming_bits(k["phash"], x["phash"]) < limit, bands, small_group
     )
     numbered = with_ordered(led, ["video_id"], ["scene"], {"template_id": position()})
-    leaders = numbered.select("video_id", "template_id", F.col("phash").alias("__h"))
-    hit = scenes.join(leaders, "video_id").where(hamming_bits(F.col("phash"), F.col("__h")) < limit)
-    return hit.groupBy("video_id", "scene").agg(F.min("template_id").alias("template_id"))
+    leaders = numbered.select("video_id", "template_id", F.col("phash").alias("__h"), F.explode(bands).alias("__band"))
+    near = hashed.withColumn("__band", F.explode(bands)).join(leaders, ["video_id", "__band"])
+    hit = near.where(hamming_bits(F.col("phash"), F.col("__h")) < limit).groupBy("video_id", "scene").agg(F.min("template_id").alias("template_id"))
+    return scenes.select("video_id", "scene").join(hit, ["video_id", "scene"], "left").withColumn("template_id", F.coalesce("template_id", F.lit(0).cast("bigint")))
+
+
+def hash_bands(phash: Column, n: int) -> Column:
+    """The 64 bits of a hash cut into ``n`` bands, each as one number that names the band too."""
+    edges = [k * 64 // n for k in range(n + 1)]
+    return F.array(*[
+        F.shiftrightunsigned(F.shiftleft(phash, a), 64 - (b - a)) * F.lit(n) + F.lit(k) if n > 1 else F.lit(0).cast("bigint")
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
+    ])
 
 
 def prune_templates(templates: DataFrame, small_group: int = 5000) -> DataFrame:

@@ -104,15 +104,17 @@ def live_windows(segments: DataFrame, width_s: float = WINDOW_S, overlap_s: floa
     """Sliding transcript windows while segments arrive (video_id, seg_id, begin, finish timestamps, text).
 
     A segment names every window of the grid it overlaps (a plain sliding window on its start would miss those that
-    only its tail reaches). Windows count from the epoch of the stream's clock; repeated segments count once.
+    only its tail reaches). Windows count from the epoch of the stream's clock; repeated segments count once. The end
+    of a window is its event time: append mode gives a window once segments ``lateness`` later have come, and its
+    state goes then. ``lateness`` should be no shorter than a window.
     """
     step = float(width_s - overlap_s)
     start = F.unix_micros("begin") / 1e6
     end = F.unix_micros("finish") / 1e6
     low = F.greatest(F.lit(0), F.floor((start - width_s) / step))
     ids = F.filter(F.sequence(low, F.floor(end / step)), lambda k: (end > k * step) & (start < k * step + width_s))
-    once = segments.withWatermark("begin", lateness).dropDuplicates(["video_id", "seg_id", "begin"])
-    spread = once.select("video_id", "seg_id", F.length("text").alias("__n"), "begin", F.explode(ids).alias("k"))
-    # each window is a tumbling window of its own clock: its start as event time, one step wide
-    clock = spread.withColumn("at", F.timestamp_micros((F.col("k") * step * 1e6).cast("bigint")))
-    return clock.groupBy("video_id", "at").agg(F.count("*").alias("n_segments"), F.sum("__n").alias("n_chars"), F.min("seg_id").alias("first_seg"), F.max("seg_id").alias("last_seg")).withColumnRenamed("at", "window_start")
+    spread = segments.select("video_id", "seg_id", F.length("text").alias("__n"), F.explode(ids).alias("k"))
+    clock = spread.withColumn("at", F.timestamp_micros(((F.col("k") * step + width_s) * 1e6).cast("bigint"))).withWatermark("at", lateness)
+    once = clock.dropDuplicates(["video_id", "seg_id", "at"])
+    counted = once.groupBy("video_id", "at").agg(F.count("*").alias("n_segments"), F.sum("__n").alias("n_chars"), F.min("seg_id").alias("first_seg"), F.max("seg_id").alias("last_seg"))
+    return counted.withColumn("window_start", F.timestamp_micros(F.unix_micros("at") - int(width_s * 1e6))).drop("at")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipline.functions.text import INCOMPLETE_ENDS
-from clipline.operators import align, captions, media, scenes, similarity, tracks, transcript, windows
+from clipline.operators import align, candidates, captions, media, scenes, similarity, tracks, transcript, windows
 from clipline.operators.candidates import PART, candidate_duration, normalize_candidates, stitch_extend
 from clipline.operators.greedy import greedy_select
 from clipline.operators.jobs import request_rate
@@ -413,3 +413,44 @@ def test_assign_windows_uses_each_once(spark):
     out = media.assign_windows(clips, wins, spark.createDataFrame([("t", 200.0)], "track_id string, duration_s double")).orderBy("clip_no").collect()
     assert [r.kind for r in out] == ["rise", "rise", "sustain", "sustain", "rise", "rise"]
     assert len({r.offset_s for r in out[:4]}) == 4
+
+
+def test_scenes_without_hash_stay(spark):
+    rng = random.Random(21)
+    rows = [(1, 0, None), (1, 1, 5), (1, 2, 5), (1, 3, -1)] + [(2, i, rng.choice([0, 0, -1, 1 << 40]) ^ sum(1 << rng.randrange(63) for _ in range(3))) for i in range(120)] + [(2, 200, None)]
+    df = spark.createDataFrame(rows, "video_id long, scene long, phash long")
+    want = {}
+    for video in (1, 2):
+        leaders = []
+        for _, scene, h in [r for r in rows if r[0] == video]:
+            far = lambda a: bin((a ^ h) & (2**64 - 1)).count("1")
+            hit = None if h is None else next((k for k, a in enumerate(leaders) if far(a) < 12), None)
+            if h is not None and hit is None:
+                leaders.append(h)
+                hit = len(leaders) - 1
+            want[video, scene] = hit or 0
+    for small in (5000, 3):
+        got = {(r.video_id, r.scene): r.template_id for r in scenes.cluster_scenes(df, 12, small).collect()}
+        assert got == want
+    frames = spark.createDataFrame([(1, 0, 0, None), (1, 1, 0, 7), (1, 1, 1, None)], "video_id long, scene long, frame_no long, phash long")
+    assert {r.scene: r.phash for r in scenes.medoid_hashes(frames).collect()} == {0: None, 1: 7}
+
+
+def test_extension_over_overlapping_segments(spark):
+    segs = [(1, 0, 0.0, 10.0, "a"), (1, 1, 10.0, 20.0, "b"), (1, 2, 10.0, 20.1, "c"), (1, 3, 10.0, 20.2, "d"), (1, 4, 20.2, 30.0, "e"), (1, 5, 30.0, 40.0, "f")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("start_words", "start_frame", "end_words", "end_frame")]
+    df = spark.createDataFrame([(1, "c", 0.0, 10.0)], "video_id long, candidate_id string, s double, e double")
+    df = df.select("video_id", "candidate_id", F.array(F.struct(F.col("s").alias("start_s"), F.col("e").alias("end_s"), *none)).alias("segments"))
+    out = stitch_extend(df, spark.createDataFrame(segs, "video_id long, seg_id int, start_s double, end_s double, text string"), 38.0).first()
+    assert [(p.start_s, p.end_s) for p in out.segments] == [(0.0, 40.0)]
+
+
+def test_candidate_with_times_of_its_own(spark):
+    segs = spark.createDataFrame([(1, i, 10.0 * i, 10.0 * i + 10, f"Part {i}.") for i in range(8)], "video_id long, seg_id int, start_s double, end_s double, text string")
+    part = "array<struct<start_s:double,end_s:double,start_words:string,start_frame:string,end_words:string,end_frame:string>>"
+    df = spark.createDataFrame([(1, "a", 10.0, 50.0), (1, "b", 30.0, 30.0)], "video_id long, candidate_id string, start_s double, end_s double").withColumns({
+        "segments": F.array().cast(part), "title": F.lit("t"), "caption": F.lit(""), "description": F.lit(""), "hook_text": F.lit(""), "hashtags": F.array(F.lit("#a")),
+        **{c: F.lit(6.0) for c in ("hook_score", "flow_score", "virality_score", "completeness_score", "boundary_score", "meaning_score")},
+    })
+    out = candidates.filter_and_score(df, segs, 30.0, 60.0).collect()
+    assert [(r.candidate_id, r.start_s, r.end_s, r.total_duration) for r in out] == [("a", 10.0, 50.0, 40.0)]

@@ -51,6 +51,20 @@ def test_live_windows(spark):
     assert {int(k.timestamp()): v for k, v in got.items()} == want
 
 
+def test_live_windows_close_in_append_mode(spark):
+    """A window comes out once later segments have passed its end by the lateness; the open ones stay inside."""
+    rows = [(1, i, T0 + dt.timedelta(seconds=7 * i), T0 + dt.timedelta(seconds=7 * i + 9), "abc") for i in range(60)]
+    schema = "video_id long, seg_id int, begin timestamp, finish timestamp, text string"
+    stream, _ = start(spark, rows + rows[:3], schema)
+    got = run(spark, s.live_windows(stream, 60.0, 20.0, "60 seconds"), "append").collect()
+    last = max(r[2].timestamp() for r in rows)
+    assert got and len(got) == len({r.window_start for r in got})
+    for r in got:
+        k = r.window_start.timestamp()
+        inside = [x[1] for x in rows if x[3].timestamp() > k and x[2].timestamp() < k + 60]
+        assert k + 60 < last + 60 and (r.n_segments, r.first_seg, r.last_seg) == (len(inside), min(inside), max(inside))
+
+
 def test_heartbeat_updates(spark):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
