@@ -365,6 +365,11 @@ SLICES = """
  tl AS (SELECT video_id, arg_max(end_s, seg_id) AS total FROM seg GROUP BY video_id),
  slot AS (SELECT video_id, u.k, u.k * 48.0::DOUBLE AS a, least(total, u.k * 48.0::DOUBLE + 60.0) AS b FROM tl, unnest(range(0, CAST(ceil(total / 48.0) AS BIGINT))) AS u(k)),
  slice AS (SELECT video_id, 'w01_c' || CASE WHEN k < 9 THEN '0' ELSE '' END || CAST(k + 1 AS VARCHAR) AS candidate_id, a AS start_s, b AS end_s FROM slot WHERE b - a >= 10)"""
+NEAR_EDGES = """
+ sn AS (SELECT c.video_id, c.candidate_id,
+   coalesce((SELECT arg_min(start_s, {d: abs(seg.start_s - c.start_s), t: seg.start_s}) FROM seg WHERE seg.video_id = c.video_id AND abs(seg.start_s - c.start_s) < 3.0), c.start_s) AS a,
+   coalesce((SELECT arg_min(end_s, {d: abs(seg.end_s - c.end_s), t: seg.end_s}) FROM seg WHERE seg.video_id = c.video_id AND abs(seg.end_s - c.end_s) < 3.0), c.end_s) AS b FROM slice c)"""
+FRAME = f"'[' || {stamp('g.start_s')} || ' -> ' || {stamp('g.end_s')} || ']'"
 SNAP = f"""
  w1 AS (SELECT *, lead(start_s) OVER v AS ns, clean IN ({sql_list(sorted(set(INCOMPLETE_ENDS)))}) AS dangling FROM wrd WINDOW v AS (PARTITION BY video_id ORDER BY word_idx)),
  w2 AS (SELECT *, NOT dangling AND (regexp_matches(word, '[.!?]$') OR coalesce(ns - end_s >= 0.45, false)) AS ok, coalesce(ns - end_s > 2.5, false) AS sil FROM w1),
@@ -425,10 +430,17 @@ ORACLES = {
    JOIN seg ON seg.video_id = c.video_id AND seg.end_s > c.start_s AND seg.start_s < c.end_s
    JOIN wrd w ON w.video_id = seg.video_id AND w.seg_id = seg.seg_id AND (w.start_s + w.end_s) / 2 BETWEEN c.start_s - 0.05::DOUBLE AND c.end_s + 0.05::DOUBLE)
  SELECT c.video_id, c.candidate_id, coalesce(string_agg(word, ' ' ORDER BY word_idx), '') AS transcript_text FROM slice c LEFT JOIN hit USING (video_id, candidate_id) GROUP BY 1, 2""",
-    "candidate_text": f"""WITH {SEGMENTS},{SLICES},
- sn AS (SELECT c.video_id, c.candidate_id,
-   coalesce((SELECT arg_min(start_s, {{d: abs(seg.start_s - c.start_s), t: seg.start_s}}) FROM seg WHERE seg.video_id = c.video_id AND abs(seg.start_s - c.start_s) < 3.0), c.start_s) AS a,
-   coalesce((SELECT arg_min(end_s, {{d: abs(seg.end_s - c.end_s), t: seg.end_s}}) FROM seg WHERE seg.video_id = c.video_id AND abs(seg.end_s - c.end_s) < 3.0), c.end_s) AS b FROM slice c)
+    "plan_fingerprint": f"""WITH {SEGMENTS}, pl AS (SELECT video_id, (CAST(round({r3('arg_max(end_s, seg_id)')} * 1000) AS BIGINT) + 5) // 10 AS c FROM seg GROUP BY 1)
+ SELECT video_id, substr(md5('d30-60|clip_01:0.00-' || CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0')), 1, 12) AS fingerprint FROM pl""",
+    "anchor_summary": f"""WITH {SEGMENTS},{SLICES},{NEAR_EDGES},
+ ev AS (SELECT sn.video_id, sn.candidate_id, list_filter(regexp_split_to_array(coalesce(string_agg(text, ' ' ORDER BY seg_id), ''), '\\s+'), lambda w: w <> '') AS t
+   FROM sn LEFT JOIN seg ON seg.video_id = sn.video_id AND seg.end_s > a AND seg.start_s < b AND a < b GROUP BY 1, 2),
+ fr AS (SELECT c.video_id, c.candidate_id,
+   max_by({FRAME}, CASE WHEN c.start_s BETWEEN g.start_s - 0.5 AND greatest(g.end_s, g.start_s + 0.5) THEN seg_id END) AS f0, max_by({FRAME}, CASE WHEN c.end_s BETWEEN g.start_s - 0.5 AND greatest(g.end_s, g.start_s + 0.5) THEN seg_id END) AS f1
+   FROM slice c JOIN seg g ON g.video_id = c.video_id AND (c.start_s BETWEEN g.start_s - 0.5 AND greatest(g.end_s, g.start_s + 0.5) OR c.end_s BETWEEN g.start_s - 0.5 AND greatest(g.end_s, g.start_s + 0.5)) GROUP BY 1, 2)
+ SELECT video_id, candidate_id, array_to_string(t[1:5], ' ') AS start_anchor, array_to_string(t[greatest(1, len(t) - 4):len(t)], ' ') AS end_anchor,
+  coalesce(f0, '[00:00.00 -> 00:00.00]') AS start_frame, coalesce(f1, '[00:00.00 -> 00:00.00]') AS end_frame FROM ev LEFT JOIN fr USING (video_id, candidate_id)""",
+    "candidate_text": f"""WITH {SEGMENTS},{SLICES},{NEAR_EDGES}
  SELECT sn.video_id, sn.candidate_id, substr(trim(regexp_replace(coalesce(string_agg(text, ' ' ORDER BY seg_id), ''), '\\s+', ' ', 'g')), 1, 1800) AS evidence
  FROM sn LEFT JOIN seg ON seg.video_id = sn.video_id AND seg.end_s > a AND seg.start_s < b AND a < b GROUP BY 1, 2""",
     "context_lines": f"""WITH {SEGMENTS},{SLICES},

@@ -351,6 +351,33 @@ QUERIES = {
 
 TURN_WORDS = TURNS + "," + WORD_ROWS
 
+HASHES = """
+ hsh AS (SELECT vec_id // 100 AS video_id, vec_id AS scene, CAST(CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END AS BIGINT) AS h
+  FROM (SELECT vec_id, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT)), lambda a, b: a * 2 + b) AS u FROM embeddings))"""
+
+
+def caption_word_sql(word: str) -> str:
+    """Upper case without sentence punctuation; marks between digits are set aside while the others go."""
+    marks = {".": 1, ",": 2, ":": 3}
+    out = f"regexp_replace({word}, '[-‐‑‒–—―−]', ' ', 'g')"
+    for mark, code in marks.items():
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(\\p{{Nd}})[{mark}](\\p{{Nd}})', '\\1' || chr({code}) || '\\2', 'g')"
+    out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\s$%+&#@/''’*\\x01\\x02\\x03]', '', 'g')"
+    for mark, code in marks.items():
+        out = f"replace({out}, chr({code}), '{mark}')"
+    return f"upper(replace(trim(regexp_replace({out}, '\\s+', ' ', 'g')), 'ß', 'SS'))"
+
+
+LOCAL = f"""
+ tl AS (SELECT video_id, arg_max(end_s, seg_id) AS t FROM seg GROUP BY 1),
+ part AS (SELECT video_id, 0 AS part, {r3('t * 0.25::DOUBLE')} AS a, {r3('t * 0.5::DOUBLE')} AS b FROM tl UNION ALL SELECT video_id, 1, {r3('t * 0.5::DOUBLE')}, {r3('t * 1.0::DOUBLE')} FROM tl UNION ALL SELECT video_id, 2, 0.0, {r3('t * 0.25::DOUBLE')} FROM tl),
+ base AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY video_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS base FROM part),
+ hit AS (SELECT p.video_id, p.part, w.word_idx, w.word, {r3('base + (greatest(w.start_s, a) - a)')} AS s, {r3('base + greatest(least(w.end_s, b) - a, greatest(w.start_s, a) - a + 0.08::DOUBLE)')} AS e
+   FROM base p JOIN wrd w ON w.video_id = p.video_id AND w.end_s > a AND w.start_s < b),
+ one AS (SELECT *, row_number() OVER (PARTITION BY video_id, lower(word), round_even(s * 100.0::DOUBLE, 0) ORDER BY s, part, word_idx) AS r FROM hit),
+ loc AS (SELECT video_id, 'clip_01' AS clip_name, CAST(part AS INTEGER) AS part, word_idx, word, s AS start_s, e AS end_s FROM one WHERE r = 1)"""
+
 FACES = """
  face AS (SELECT vec_id // 300 AS video_id, CAST(vec_id // 6 AS DOUBLE) AS t_s, vec_id AS face_id, (CAST(embedding[1] AS DOUBLE) + 1.0) * 400.0::DOUBLE AS cx, (CAST(embedding[2] AS DOUBLE) + 1.0) * 300.0::DOUBLE AS cy,
    abs(CAST(embedding[3] AS DOUBLE)) AS conf, CAST((vec_id // 6) % 4 AS INTEGER) AS template_id, embedding FROM embeddings),
@@ -370,14 +397,27 @@ LOUD = """
    round_even((CASE WHEN l > f + 3.0 AND p > -25.0 THEN (l - f) * len * (1.0 + (p + 20.0) / 100.0) ELSE (100.0 + m) * (len / 10.0) END) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS score, p FROM st WHERE p >= -40.0)"""
 
 ORACLES = {
-    "localize_words": f"""WITH {TURN_WORDS},
- tl AS (SELECT video_id, arg_max(end_s, seg_id) AS t FROM seg GROUP BY 1),
- part AS (SELECT video_id, 0 AS part, {r3('t * 0.25::DOUBLE')} AS a, {r3('t * 0.5::DOUBLE')} AS b FROM tl UNION ALL SELECT video_id, 1, {r3('t * 0.5::DOUBLE')}, {r3('t * 1.0::DOUBLE')} FROM tl UNION ALL SELECT video_id, 2, 0.0, {r3('t * 0.25::DOUBLE')} FROM tl),
- base AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY video_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS base FROM part),
- hit AS (SELECT p.video_id, p.part, w.word_idx, w.word, {r3('base + (greatest(w.start_s, a) - a)')} AS s, {r3('base + greatest(least(w.end_s, b) - a, greatest(w.start_s, a) - a + 0.08::DOUBLE)')} AS e
-   FROM base p JOIN wrd w ON w.video_id = p.video_id AND w.end_s > a AND w.start_s < b),
- one AS (SELECT *, row_number() OVER (PARTITION BY video_id, lower(word), round_even(s * 100.0::DOUBLE, 0) ORDER BY s, part, word_idx) AS r FROM hit)
- SELECT video_id, 'clip_01' AS clip_name, CAST(part AS INTEGER) AS part, word_idx, word, s AS start_s, e AS end_s FROM one WHERE r = 1""",
+    "localize_words": f"""WITH {TURN_WORDS},{LOCAL} SELECT * FROM loc""",
+    "chunk_captions": f"""WITH RECURSIVE {TURN_WORDS},{LOCAL},
+ cw AS (SELECT *, {caption_word_sql("word")} AS w FROM loc),
+ nu AS (SELECT video_id, w, start_s AS s, end_s AS e, row_number() OVER v AS rn, lead(w) OVER v AS nw, lead(start_s) OVER v AS ns, lead(end_s) OVER v AS ne
+   FROM cw WINDOW v AS (PARTITION BY video_id ORDER BY start_s, word_idx, w, end_s)),
+ al AS (SELECT *, length(w) > {captions.LINE_CHARS} OR (coalesce(nw, '') <> '' AND length(w) + 1 + length(coalesce(nw, '')) > {captions.PAIR_CHARS}) AS alone FROM nu),
+ st(video_id, rn, skip, opens) AS (
+  SELECT video_id, CAST(0 AS BIGINT), false, false FROM (SELECT DISTINCT video_id FROM al)
+  UNION ALL
+  SELECT a.video_id, a.rn, NOT (st.skip OR a.w = '' OR a.alone) AND coalesce(a.nw, '') <> '', NOT st.skip AND a.w <> '' FROM st JOIN al a ON a.video_id = st.video_id AND a.rn = st.rn + 1),
+ cp AS (SELECT al.*, NOT alone AND nw IS NOT NULL AS has FROM st JOIN al USING (video_id, rn) WHERE opens),
+ tm AS (SELECT *, greatest(ns, s + {captions.REVEAL_GAP_S}::DOUBLE) AS s2 FROM cp)
+ SELECT video_id, 'clip_01' AS clip_name, CAST(row_number() OVER (PARTITION BY video_id ORDER BY rn) AS INTEGER) AS caption_no, w AS line1, s AS line1_start, CASE WHEN has THEN nw ELSE '' END AS line2, CASE WHEN has THEN s2 END AS line2_start,
+  {r3(f"greatest(CASE WHEN has THEN greatest(ne, s2 + {captions.MIN_SECOND_S}::DOUBLE) ELSE e END, s + {captions.MIN_CAPTION_S}::DOUBLE)")} AS end_s FROM tm""",
+    "cluster_scenes": f"""WITH RECURSIVE {HASHES},{greedy_sql("hsh", "scene", "{s: x.scene, h: x.h}", "CAST([] AS STRUCT(s BIGINT, h BIGINT)[])", "bit_count(xor(k.h, x.h)) < 24")}
+ SELECT h.video_id, h.scene, CAST(list_position(list_transform(f.kept, lambda k: bit_count(xor(k.h, h.h)) < 24), true) - 1 AS BIGINT) AS template_id FROM hsh h JOIN final f USING (video_id)""",
+    "medoid_hashes": f"""WITH {HASHES}, f AS (SELECT video_id, scene // 4 AS sc, scene AS i, h FROM hsh),
+ d AS (SELECT a.video_id, a.sc, a.i, a.h, sum(bit_count(xor(a.h, b.h))) AS d FROM f a JOIN f b ON b.video_id = a.video_id AND b.sc = a.sc GROUP BY 1, 2, 3, 4)
+ SELECT video_id, sc AS scene, arg_min(h, {{d: d, i: i}}) AS phash FROM d GROUP BY 1, 2""",
+    "prune_templates": f"""WITH RECURSIVE {HASHES}, tp AS (SELECT video_id, scene, h, CAST(scene % 40 AS DOUBLE) AS x, CASE WHEN scene % 5 = 0 THEN 0 ELSE 1 END AS f FROM hsh),{greedy_sql("tp", "f, scene", "{s: x.scene, h: x.h, x: x.x}", "CAST([] AS STRUCT(s BIGINT, h BIGINT, x DOUBLE)[])", f"bit_count(xor(k.h, x.h)) <= {scenes.SAME_HASH} AND abs(k.x - x.x) <= {scenes.SAME_CROP_PX}")}
+ SELECT video_id, k.s AS template_id FROM keptrow""",
     "srt": f"""WITH {TURNS}, ms AS (SELECT *, CAST(round_even(start_s * 1000, 0) AS BIGINT) AS a, CAST(round_even(end_s * 1000, 0) AS BIGINT) AS b FROM seg)
  SELECT video_id, 'clip_01' AS clip_name, seg_id + 1 AS caption_no, CAST(seg_id + 1 AS VARCHAR) || chr(10) ||
   lpad(CAST(a // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(a // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST(a % 1000 AS VARCHAR), 3, '0') || ' --> ' ||
