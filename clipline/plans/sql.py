@@ -61,7 +61,7 @@ SPANS = """
 span AS (
   SELECT user_id AS video_id, event_id AS candidate_id, start_s, length_s, start_s + length_s AS end_s, value AS score, event_type AS speaker, ts
   FROM (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6::DOUBLE / 1200.0::DOUBLE AS start_s,
-               least(greatest(value, 5.0::DOUBLE), 90.0::DOUBLE) AS length_s
+               greatest(value, 5.0::DOUBLE) AS length_s
         FROM events)
 )"""
 

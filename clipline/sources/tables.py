@@ -46,7 +46,7 @@ def event_spans(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("video_id"),
         F.col("event_id").alias("candidate_id"),
         (F.timestamp_diff("MICROSECOND", F.col("__t0"), F.col("ts")) / F.lit(1e6) / F.lit(1200.0)).alias("start_s"),
-        F.least(F.greatest("value", F.lit(5.0)), F.lit(90.0)).alias("length_s"),
+        F.greatest("value", F.lit(5.0)).alias("length_s"),
         F.col("value").alias("score"),
         F.col("event_type").alias("speaker"),
         "ts",
