@@ -4,7 +4,7 @@ Every document becomes token ids and an end-of-document id. Its full windows sta
 a shard: the next ``shard`` rests of the task's input. Over a shard an inverted index with BM25 weights is built. The first unused rest
 seeds a window; the index returns its unused neighbours, best first, which fill the window greedily; the best one left is cut where the
 window is full, and what is cut off seeds the next window. Only the last window of a task can stay short, so padding is at most one
-window per input partition.
+window per input partition. The ids of a word are worked out once and kept, up to a bound.
 
 At scale: document frequencies of hashed words (``TERMS`` buckets, so at most that many numbers reach the driver) are counted over all
 documents first. Packing itself is one pass without a shuffle; a task holds one shard of rests, at most ``shard`` windows of ids. A lost
