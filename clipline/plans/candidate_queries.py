@@ -295,6 +295,18 @@ def q_flag_needs_verification(spark, d):
     return out.select("video_id", "candidate_id", "verify_reason")
 
 
+def q_accept_verified(spark, d):
+    """The same sentences; every second comes back five seconds longer with plain opening words."""
+    segs = document_segments(spark, d)
+    rest = [F.lit(None).cast("string").alias(c) for c in NO_ANCHORS[1:]]
+    refined = segs.select("video_id", F.col("seg_id").cast("string").alias("candidate_id"), F.array(F.struct("start_s", "end_s", F.col("text").alias("start_words"), *rest)).alias("segments"))
+    again = refined.where(F.pmod(F.col("candidate_id").cast("int"), F.lit(5)) == 0).withColumn("segments", F.concat("segments", "segments"))
+    longer = F.struct("start_s", (F.col("end_s") + 5.0).alias("end_s"), F.lit("Plain words open").alias("start_words"), *rest)
+    verified = segs.where("seg_id % 2 = 0").select("video_id", F.col("seg_id").cast("string").alias("candidate_id"), F.array(longer).alias("segments"))
+    out = candidates.accept_verified(refined, again, verified, 5.0)
+    return out.select("video_id", "candidate_id", "verify_reason", round_to(F.col("segments")[0]["end_s"]).alias("end_s"))
+
+
 def q_merge_window_outputs(spark, d):
     """Windows of the documents, each with a candidate per fourth segment, gathered per document."""
     segs = cut_lineage(document_segments(spark, d))
@@ -311,6 +323,7 @@ QUERIES = {
     "apply_compression": q_apply_compression,
     "attach_resolved_spans": q_attach_resolved_spans,
     "flag_needs_verification": q_flag_needs_verification,
+    "accept_verified": q_accept_verified,
     "merge_window_outputs": q_merge_window_outputs,
     "select_clips": q_select_clips,
     "candidate_duration": q_candidate_duration,
@@ -477,6 +490,10 @@ ORACLES = {
     "apply_compression": f"""WITH {SPANS} SELECT video_id, CAST(candidate_id AS VARCHAR) AS candidate_id, {r3('start_s')} AS start_s, CASE WHEN candidate_id % 2 = 0 AND end_s - start_s > 45.0 THEN {r3('(start_s + end_s) / 2')} ELSE {r3('end_s')} END AS end_s,
  CASE WHEN candidate_id % 2 = 0 AND end_s - start_s > 45.0 THEN 'cut' END AS compression_note FROM span""",
     "attach_resolved_spans": f"WITH {SPANS} SELECT video_id, CAST(candidate_id AS VARCHAR) AS candidate_id, CASE WHEN score > 50 THEN {r3('start_s')} END AS resolved_start, CASE WHEN score > 50 THEN {r3('end_s')} END AS resolved_end FROM span",
+    "accept_verified": f"""WITH {SEGMENTS}, o AS (SELECT *, lower(regexp_replace(text, '^[^A-Za-z0-9]+', '')) AS low FROM seg),
+ fl AS (SELECT video_id, CAST(seg_id AS VARCHAR) AS candidate_id, CASE WHEN seg_id % 5 = 0 THEN 'fewer_parts' WHEN end_s - start_s < 3.5 THEN 'too_short' WHEN regexp_extract(low, '^\\S+') IN ({sql_list(REFINED_WEAK_OPENERS)}) THEN 'weak_opener'
+  WHEN {" OR ".join("starts_with(low, '" + p.replace("'", "''") + "')" for p in SOFT_OPENERS)} THEN 'soft_opener' END AS verify_reason, seg_id, end_s FROM o)
+ SELECT video_id, candidate_id, verify_reason, {r3('CASE WHEN verify_reason IS NOT NULL AND seg_id % 2 = 0 AND seg_id % 5 <> 0 THEN end_s + 5.0::DOUBLE ELSE end_s END')} AS end_s FROM fl""",
     "flag_needs_verification": f"""WITH {SEGMENTS}, o AS (SELECT *, lower(regexp_replace(text, '^[^A-Za-z0-9]+', '')) AS low FROM seg)
  SELECT video_id, CAST(seg_id AS VARCHAR) AS candidate_id, CASE WHEN seg_id % 5 = 0 THEN 'fewer_parts' WHEN end_s - start_s < 3.5 THEN 'too_short' WHEN regexp_extract(low, '^\\S+') IN ({sql_list(REFINED_WEAK_OPENERS)}) THEN 'weak_opener'
   WHEN {" OR ".join("starts_with(low, '" + p.replace("'", "''") + "')" for p in SOFT_OPENERS)} THEN 'soft_opener' END AS verify_reason FROM o""",

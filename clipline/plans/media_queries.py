@@ -205,6 +205,14 @@ def q_cluster_scenes(spark, d):
     return scenes.cluster_scenes(vector_hashes(spark, d), 24)
 
 
+def q_remap_scenes(spark, d):
+    """Scenes of twenty templates a video, of which every third stays; some name templates that never were."""
+    h = vector_hashes(spark, d).withColumn("template_id", F.pmod("scene", F.lit(100)))
+    t = h.where("template_id < 20").select("video_id", "template_id", "phash")
+    active = t.where("template_id % 3 = 0").select("video_id", "template_id", F.col("template_id").alias("ord"))
+    return scenes.remap_scenes(h.select("video_id", "scene", F.pmod("scene", F.lit(25)).alias("template_id")), t, active)
+
+
 def q_medoid_hashes(spark, d):
     f = vector_hashes(spark, d).select("video_id", F.floor(F.col("scene") / 4).alias("scene"), F.col("scene").alias("frame_no"), "phash")
     return scenes.medoid_hashes(f)
@@ -342,7 +350,7 @@ QUERIES = {
     "align_edits": q_align_edits, "adjust_ending": q_adjust_ending, "speaker_totals": q_speaker_totals, "active_speaker_at": q_active_speaker_at,
     "slice_timeline": q_slice_timeline, "label_slots": q_label_slots, "speaker_prototypes": q_speaker_prototypes, "assign_slots": q_assign_slots,
     "aggregate_slots": q_aggregate_slots, "template_geometry": q_template_geometry, "map_speakers": q_map_speakers, "template_votes": q_template_votes,
-    "merge_cuts": q_merge_cuts, "scene_of": q_scene_of, "refine_cut": q_refine_cut, "sample_times": q_sample_times, "medoid_hashes": q_medoid_hashes,
+    "merge_cuts": q_merge_cuts, "scene_of": q_scene_of, "refine_cut": q_refine_cut, "sample_times": q_sample_times, "remap_scenes": q_remap_scenes, "medoid_hashes": q_medoid_hashes,
     "cluster_scenes": q_cluster_scenes, "prune_templates": q_prune_templates, "classify_windows": q_classify_windows, "trim_empty_edges": q_trim_empty_edges,
     "pad_segments": q_pad_segments, "split_hidden_cuts": q_split_hidden_cuts, "resample_track": q_resample_track, "smooth_track": q_smooth_track,
     "dwell_gate": q_dwell_gate, "focus_track": q_focus_track, "energy_windows": q_energy_windows, "distinct_windows": q_distinct_windows,
@@ -413,6 +421,11 @@ ORACLES = {
   {r3(f"greatest(CASE WHEN has THEN greatest(ne, s2 + {captions.MIN_SECOND_S}::DOUBLE) ELSE e END, s + {captions.MIN_CAPTION_S}::DOUBLE)")} AS end_s FROM tm""",
     "cluster_scenes": f"""WITH RECURSIVE {HASHES},{greedy_sql("hsh", "scene", "{s: x.scene, h: x.h}", "CAST([] AS STRUCT(s BIGINT, h BIGINT)[])", "bit_count(xor(k.h, x.h)) < 24")}
  SELECT h.video_id, h.scene, CAST(list_position(list_transform(f.kept, lambda k: bit_count(xor(k.h, h.h)) < 24), true) - 1 AS BIGINT) AS template_id FROM hsh h JOIN final f USING (video_id)""",
+    "remap_scenes": f"""WITH {HASHES}, t AS (SELECT video_id, scene % 100 AS tid, h FROM hsh WHERE scene % 100 < 20), act AS (SELECT * FROM t WHERE tid % 3 = 0),
+ nr AS (SELECT t.video_id, t.tid, arg_min(a.tid, {{d: bit_count(xor(t.h, a.h)), o: a.tid}}) AS near FROM t JOIN act a ON a.video_id = t.video_id WHERE t.tid % 3 <> 0 GROUP BY 1, 2),
+ fs AS (SELECT video_id, min(tid) AS first_id FROM act GROUP BY 1)
+ SELECT h.video_id, scene, CASE WHEN scene % 25 >= 20 THEN coalesce(first_id, scene % 25) ELSE coalesce(near, scene % 25) END AS template_id
+ FROM hsh h LEFT JOIN nr ON nr.video_id = h.video_id AND nr.tid = scene % 25 LEFT JOIN fs ON fs.video_id = h.video_id""",
     "medoid_hashes": f"""WITH {HASHES}, f AS (SELECT video_id, scene // 4 AS sc, scene AS i, h FROM hsh),
  d AS (SELECT a.video_id, a.sc, a.i, a.h, sum(bit_count(xor(a.h, b.h))) AS d FROM f a JOIN f b ON b.video_id = a.video_id AND b.sc = a.sc GROUP BY 1, 2, 3, 4)
  SELECT video_id, sc AS scene, arg_min(h, {{d: d, i: i}}) AS phash FROM d GROUP BY 1, 2""",
