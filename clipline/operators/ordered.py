@@ -1,10 +1,9 @@
 """Ordered columns (previous row, running sum, last seen ...) that stay safe when one key is huge.
 
-A plain window partitioned by video puts a whole video into one task. That is the cheapest plan while every
-video is small: windows, groupings and joins on the video then share one shuffle. When a count shows a key
-past ``LARGE_KEY`` rows, each key is cut into blocks by a column that grows with the order (a row number
-divided by a size, or a time bucket). The window runs inside (key, block); one small row per block carries
-the state from block to block, and is joined back.
+A plain window partitioned by video puts a whole video into one task. So each key is cut into blocks by a column that
+grows with the order (a row number divided by a size, or a time bucket). The window runs inside (key, block); one small
+row per block carries the state from block to block, and is joined back. Only where one input row bounds a key by
+construction, as one document does its words, a caller may say so and get plain windows. Nothing is counted beforehand.
 """
 
 from __future__ import annotations
@@ -18,19 +17,12 @@ from pyspark.sql import functions as F
 WORD_BLOCK = 8192  # rows of a word or segment stream per block
 TIME_BLOCK_S = 3600.0  # seconds per block for time-ordered rows
 
-LARGE_KEY = 2_000_000  # rows of one key beyond which its windows are cut into blocks
-
 _BLOCK = "__block"
 
 
-def has_large_key(df: DataFrame, keys: Sequence[str], limit: int = LARGE_KEY) -> bool:
-    """Whether some key holds more than ``limit`` rows: one count, combined on the map side."""
-    return not df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).isEmpty()
-
-
 def block_if(large: bool | None, df: DataFrame, keys: Sequence[str], block: Column) -> Column | None:
-    """``block`` when keys are large, else None. ``large=None`` counts; pass False where rows bound a key by construction."""
-    return block if (has_large_key(df, keys) if large is None else large) else None
+    """``block``, unless the caller knows that every key is bounded by one input row (``large=False``)."""
+    return None if large is False else block
 
 
 @dataclass(frozen=True)
