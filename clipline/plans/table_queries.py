@@ -301,3 +301,4 @@ ORACLES = {
     "candidate_audit": r"""SELECT conv_id AS video_id, 'w01_c' || lpad(CAST(turn + 1 AS VARCHAR), 2, '0') AS candidate_id, 'by ' || role AS title, (turn % 10)::DOUBLE + 0.5::DOUBLE AS hook_score, 5.0::DOUBLE AS flow_score, 7.0::DOUBLE AS virality_score, CAST(2 AS BIGINT) AS n_parts,
  trim(regexp_replace(text, '[\s:]+', ' ', 'g')) AS start_words FROM conversations""",
 }
+ORACLES["job_status_stream"] = ORACLES["job_status"]

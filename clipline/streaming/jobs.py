@@ -18,10 +18,12 @@ JOB_EVENT = "job_id long, stage string, progress int, message string, ts timesta
 def job_status_stream(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Latest stage, status, progress and message per job; run in update mode.
 
-    State is one row per job; the map side keeps one row per job and batch.
+    State is one row per job; the map side keeps one row per job and batch. Of events at one time the one with the
+    largest ``event_id`` counts, where there is that column.
     """
+    order = F.struct("ts", "event_id") if "event_id" in events.columns else F.col("ts")
     latest = events.withWatermark("ts", lateness).groupBy("job_id").agg(
-        F.max_by(F.struct("stage", "progress", "message"), "ts").alias("__e"), F.max("ts").alias("updated_at")
+        F.max_by(F.struct("stage", "progress", "message"), order).alias("__e"), F.max("ts").alias("updated_at")
     )
     return latest.select("job_id", "__e.stage", job_status(F.col("__e.stage")).alias("status"), "__e.progress", "__e.message", "updated_at")
 
