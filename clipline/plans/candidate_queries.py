@@ -487,6 +487,15 @@ ORACLES = {
     "clause_end_before": f"""WITH {WORDS},{SLICES}
  SELECT c.video_id, c.candidate_id AS clip_id, {r3("coalesce(max(w.end_s), any_value(c.end_s))")} AS clause_end
  FROM slice c LEFT JOIN wrd w ON w.video_id = c.video_id AND w.end_s > c.start_s AND w.end_s <= c.end_s AND regexp_matches(w.word, '[.,;:—–-]$') GROUP BY 1, 2""",
+    "forward_trim_weak_start": f"""WITH {WORDS},{SLICES},
+ wk AS (SELECT *, lower(regexp_replace(word, '^[^A-Za-z0-9]+', '')) IN ({sql_list(WEAK_PLAN_OPENERS)}) AS weak, lead(start_s) OVER v AS ns, lag(start_s) OVER v AS ps FROM wrd WINDOW v AS (PARTITION BY video_id ORDER BY word_idx)),
+ sp AS MATERIALIZED (SELECT *, min(CASE WHEN NOT weak OR ns IS NULL THEN word_idx END) OVER (PARTITION BY video_id ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM wk),
+ opn AS (SELECT c.video_id, c.candidate_id, c.start_s AS p, c.end_s - c.start_s AS tot, min(word_idx) AS i FROM slice c JOIN sp w ON w.video_id = c.video_id AND w.start_s + 0.05::DOUBLE >= c.start_s GROUP BY 1, 2, 3, 4),
+ step AS (SELECT a.video_id, a.candidate_id, w.word_idx AS j, w.start_s AS s, a.tot - (w.start_s - CASE WHEN w.word_idx = a.i + 1 THEN a.p ELSE w.ps END) < 24.0::DOUBLE AS short
+   FROM opn a JOIN sp f ON f.video_id = a.video_id AND f.word_idx = a.i AND f.stop > a.i JOIN sp w ON w.video_id = a.video_id AND w.word_idx BETWEEN a.i + 1 AND f.stop),
+ bd AS (SELECT *, min(CASE WHEN short THEN j END) OVER (PARTITION BY video_id, candidate_id) AS bad FROM step),
+ mv AS (SELECT video_id, candidate_id, arg_max(s, j) AS s FROM bd WHERE bad IS NULL OR j < bad GROUP BY 1, 2)
+ SELECT c.video_id, c.candidate_id AS clip_id, {r3('coalesce(mv.s, c.start_s)')} AS start_s FROM slice c LEFT JOIN mv USING (video_id, candidate_id)""",
     "apply_compression": f"""WITH {SPANS} SELECT video_id, CAST(candidate_id AS VARCHAR) AS candidate_id, {r3('start_s')} AS start_s, CASE WHEN candidate_id % 2 = 0 AND end_s - start_s > 45.0 THEN {r3('(start_s + end_s) / 2')} ELSE {r3('end_s')} END AS end_s,
  CASE WHEN candidate_id % 2 = 0 AND end_s - start_s > 45.0 THEN 'cut' END AS compression_note FROM span""",
     "attach_resolved_spans": f"WITH {SPANS} SELECT video_id, CAST(candidate_id AS VARCHAR) AS candidate_id, CASE WHEN score > 50 THEN {r3('start_s')} END AS resolved_start, CASE WHEN score > 50 THEN {r3('end_s')} END AS resolved_end FROM span",

@@ -294,7 +294,7 @@ def q_smooth_track(spark, d):
         "video_id", "seg_index", "t_rel", F.when(~miss, F.col("x")).alias("x"), F.when(~miss, F.col("y")).alias("y"), F.when(miss, 0.0).otherwise(0.8).alias("confidence")
     )
     out = tracks.smooth_track(t)
-    return out.select("video_id", round_to(F.col("t_rel")).alias("t_rel"), F.round("crop_x", 2).alias("crop_x"), F.round("crop_y", 2).alias("crop_y"))
+    return out.select("video_id", round_to(F.col("t_rel")).alias("t_rel"), round_to(F.col("crop_x")).alias("crop_x"), round_to(F.col("crop_y")).alias("crop_y"))
 
 
 def q_dwell_gate(spark, d):
@@ -509,6 +509,23 @@ ORACLES = {
    SELECT n.video_id, n.rn, n.t, s.now_, CASE WHEN n.who = 'UNKNOWN' THEN s.now_ ELSE n.who END AS w, CASE WHEN coalesce(s.cand = (CASE WHEN n.who = 'UNKNOWN' THEN s.now_ ELSE n.who END), false) THEN s.since ELSE n.t END AS sn
    FROM st s JOIN nu n ON n.video_id = s.video_id AND n.rn = s.rn + 1))
  SELECT video_id, {r3('t')} AS t_s, now_ AS committed FROM st""",
+    "smooth_track": f"""WITH RECURSIVE {SPANS},
+ tg AS (SELECT video_id, start_s / 10.0::DOUBLE AS t, CASE WHEN speaker <> 'error' THEN score END AS x, CASE WHEN speaker <> 'error' THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS c FROM span),
+ nu AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, x NULLS FIRST, c) AS rn FROM tg),
+ st(video_id, rn, t, v, c, sx, sy) AS (
+  SELECT video_id, rn, t, x, c, x, x / 2.0::DOUBLE FROM nu WHERE rn = 1
+  UNION ALL
+  SELECT n.video_id, n.rn, n.t, n.x, n.c, CASE WHEN n.x IS NULL THEN s.sx WHEN s.sx IS NULL THEN n.x ELSE {tracks.ALPHA}::DOUBLE * n.x + {1.0 - tracks.ALPHA}::DOUBLE * s.sx END,
+   CASE WHEN n.x IS NULL THEN s.sy WHEN s.sy IS NULL THEN n.x / 2.0::DOUBLE ELSE {tracks.ALPHA}::DOUBLE * (n.x / 2.0::DOUBLE) + {1.0 - tracks.ALPHA}::DOUBLE * s.sy END
+  FROM st s JOIN nu n ON n.video_id = s.video_id AND n.rn = s.rn + 1),
+ hd AS (SELECT video_id, t, CASE WHEN v IS NOT NULL THEN c ELSE 0.0 END AS c,
+   coalesce(first_value(CASE WHEN v IS NOT NULL THEN {{x: sx, y: sy}} END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+    last_value(CASE WHEN v IS NOT NULL THEN {{x: sx, y: sy}} END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p FROM st),
+ fl AS (SELECT video_id, t, c, coalesce(p.x, 0.0) AS cx, coalesce(p.y, 0.0) AS cy FROM hd),
+ an AS (SELECT video_id, coalesce(min({{t: t, x: cx, y: cy}}) FILTER (c > {tracks.MIN_CONFIDENCE} AND t >= {tracks.STABLE_START_S} - 1e-4), min({{t: t, x: cx, y: cy}}) FILTER (c > {tracks.MIN_CONFIDENCE})) AS a, bool_or(abs(t) <= 1e-4) AS has0 FROM fl GROUP BY 1),
+ mv AS (SELECT fl.video_id, CASE WHEN abs(t) <= 1e-4 THEN 0.0 ELSE t END AS t, CASE WHEN a IS NOT NULL AND t <= greatest(0.0, a.t) + 1e-4 THEN a.x ELSE cx END AS x, CASE WHEN a IS NOT NULL AND t <= greatest(0.0, a.t) + 1e-4 THEN a.y ELSE cy END AS y FROM fl JOIN an USING (video_id)
+  UNION ALL SELECT video_id, 0.0, a.x, a.y FROM an WHERE a IS NOT NULL AND NOT has0)
+ SELECT video_id, {r3('t')} AS t_rel, {r3('x')} AS crop_x, {r3('y')} AS crop_y FROM mv""",
     "resample_track": f"""WITH {SPANS}, kf AS (SELECT video_id, start_s / 10.0::DOUBLE AS t, score AS x, score / 2.0::DOUBLE AS y FROM span WHERE speaker <> 'error'),
  sp AS (SELECT video_id, max(t) AS z, count(*) AS n FROM kf GROUP BY 1 HAVING count(*) >= 2),
  g AS (SELECT DISTINCT video_id, t FROM (SELECT video_id, round_even(k * 0.5::DOUBLE * 10000.0, 0) / 10000.0::DOUBLE AS t FROM sp, unnest(range(0, greatest(0, CAST(ceil((z - 1e-6::DOUBLE) / 0.5::DOUBLE) AS BIGINT) - 1) + 1)) AS u(k) UNION ALL SELECT video_id, round_even(z * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE FROM sp)),
