@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
+def cut_and_release(df: DataFrame) -> DataFrame:
+    """``cut_lineage``, and let go of what led to it: Spark deletes the shuffle files of a plan once the driver has collected its garbage."""
+    out = cut_lineage(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -26,7 +37,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     current = cut_lineage(edges.where(F.col("a") != F.col("b")).distinct())
     size, mark = None, None
     for _ in range(most):
-        current = cut_lineage(_small_star(_large_star(current)).where(F.col("a") != F.col("b")).distinct())
+        current = cut_and_release(_small_star(_large_star(current)).where(F.col("a") != F.col("b")).distinct())
         row = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if (row.n, row.h) == (size, mark):
             break

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import texts as T
-from .components import components
+from .components import components, cut_and_release
 
 BASE = 1.02
 RATE = 20.0
@@ -180,7 +180,7 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
 def _sets_of(nodes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
     """(node, items): the full sets of (at least) these nodes, each once."""
     sets = T.map_texts(documents.select("text"), functools.partial(_sets, size=size, wanted=_bitmap(nodes)), "node long, items binary")
-    return cut_lineage(sets.where(F.col("items").isNotNull()).groupBy("node").agg(F.first("items").alias("items")))
+    return cut_and_release(sets.where(F.col("items").isNotNull()).groupBy("node").agg(F.first("items").alias("items")))
 
 
 def _counted(batches):
@@ -222,7 +222,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int,
     side = {k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"}
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     known = pairs.join(side["a"], "a").join(side["b"], "b").where(fits).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    likely = cut_lineage(known.mapInArrow(_estimates, "a long, b long, estimate double").where(F.col("estimate") >= percent / 100 - MARGIN).select("a", "b"))
+    likely = cut_and_release(known.mapInArrow(_estimates, "a long, b long, estimate double").where(F.col("estimate") >= percent / 100 - MARGIN).select("a", "b"))
     sets = _sets_of(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))), documents, size)
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
     return full.mapInArrow(functools.partial(_confirm, percent=percent), "a long, b long")
@@ -232,17 +232,17 @@ def _groups(nodes: DataFrame, documents: DataFrame, size: int, percent: int) ->
     """(node, component) of all nodes that link with another."""
     bands = nodes.select("node", "sketch").mapInArrow(_bands, "node long, band int, bucket long")
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    crowded = cut_lineage(bands.join(shared, "bucket"))
+    crowded = cut_and_release(bands.join(shared, "bucket"))
     weight = crowded.groupBy("node").agg(F.sum("members").alias("weight"))
     led = crowded.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("lead")).select("bucket", F.col("lead.node").alias("b"))
     pairs = crowded.join(led, "bucket").where(F.col("node") != F.col("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = cut_lineage(_linked(pairs, nodes, documents, size, percent))
-    found = cut_lineage(components(links))
+    links = cut_and_release(_linked(pairs, nodes, documents, size, percent))
+    found = cut_and_release(components(links))
 
     # buckets with several components: their members once more, by the rare shingles that similar sets must share
     of = crowded.select("node", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
-    open_nodes = cut_lineage(of.join(mixed, "bucket", "left_semi").select("node", "component").distinct())
+    open_nodes = cut_and_release(of.join(mixed, "bucket", "left_semi").select("node", "component").distinct())
     sets = _sets_of(open_nodes.select("node"), documents, size)
     frequency = _frequencies(sets)
     heads = sets.mapInArrow(functools.partial(_heads, frequency=frequency, percent=percent), "node long, shingle long, place long, size long").join(open_nodes, "node")
@@ -250,8 +250,14 @@ def _groups(nodes: DataFrame, documents: DataFrame, size: int, percent: int) ->
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     enough = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
     rest = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits & enough).select("a", "b").distinct()
-    more = _linked(rest.join(pairs, ["a", "b"], "left_anti"), nodes, documents, size, percent)
-    return components(links.union(more))
+    more = cut_and_release(_linked(rest.join(pairs, ["a", "b"], "left_anti"), nodes, documents, size, percent))
+    if more.isEmpty():
+        return found
+    # the new links join whole components, so only components are gone through again
+    name = {k: open_nodes.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab"}
+    between = components(more.join(name["a"], "a").join(name["b"], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    alone = open_nodes.join(found, "node", "left_anti").select("node", "component")
+    return found.unionByName(alone).join(between.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -266,8 +272,8 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
 def _verdicts(sketched: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     nodes = sketched.where(F.col("n_shingles") > 0).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
-    nodes = cut_lineage(nodes)
-    groups = cut_lineage(_groups(nodes, docs, size, percent))
+    nodes = cut_and_release(nodes)
+    groups = cut_and_release(_groups(nodes, docs, size, percent))
     members = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = members.join(least, "component").select("node", "component_id")
