@@ -137,3 +137,29 @@ def test_licences(spark, sentence, cases, none):
         r, raw = right[1000 + k], dict(docs)[1000 + k].encode()
         assert r.family == f and raw[r.start : r.end].decode() == s
     assert L.scan(none).count() == 0 and not [r for r in L.scan(cases).collect() if r.confirmed]
+
+
+def test_wrapped_embedded_and_reworded_notices(spark, sentence):
+    rng = random.Random(3)
+    wrapped = {
+        "GPL": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+        "BSD": " * Redistribution and use in source and binary\n * forms, with or without modification, are\n * permitted provided that the following\n * conditions are met:",
+        "AGPL": "This program is free software: you can redistribute it and/or modify it\r\nunder the terms of the GNU Affero General Public License as published\r\nby the Free Software Foundation.",
+        "ISC": "// Permission to use, copy, modify, and distribute this software for\n// any purpose with or without fee is hereby granted, provided that the\n// above copyright notice and this permission notice appear in all\n// copies.",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.",
+        "Boost": "Distributed under the Boost\nSoftware License, Version 1.0.",
+        "EPL": "This program and the accompanying materials\nare made available under the terms of the\nEclipse Public License 2.0",
+        "Unlicense": "This is free and unencumbered\nsoftware released into the\npublic domain.",
+        "MIT": "Permission is hereby granted, without charge, to any person obtaining a\ncopy of this software and its associated documentation files",
+    }
+    docs = [(i, "\n".join([sentence(rng, 30), sentence(rng, 12)])) for i in range(120)]
+    docs += [(1000 + k, sentence(rng, 20) + "\n\n" + s + "\n\n" + sentence(rng, 9)) for k, s in enumerate(wrapped.values())]
+    docs += [(2000 + k, sentence(rng, 40) + " " + s.replace("\n", " ") + " " + sentence(rng, 40)) for k, s in enumerate(wrapped.values())]
+    docs += [(3000, "Released under the\nMIT License.\nLicensed under the Apache\nLicense, Version 2.0.")]
+    got = [r for r in L.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.confirmed]
+    own = {(r.doc_id, r.family) for r in got}
+    assert own == {(base + k, f) for base in (1000, 2000) for k, f in enumerate(wrapped)} | {(3000, "MIT"), (3000, "Apache-2.0")} and len(got) == len(own)
+    for r in got:
+        if 1000 <= r.doc_id < 2000:
+            text = dict(docs)[r.doc_id].encode()[r.start : r.end].decode()
+            assert text in wrapped[r.family] and len(text) > len(wrapped[r.family]) / 2
