@@ -3,18 +3,21 @@
 Texts are compared as words: A-Z lower-cased, white space of any length as one space. A test item of m characters may occur in a document
 with up to ``m * percent // 100`` edits. Cut into one piece more than that, at least one piece then occurs exactly, near its place. An
 automaton over all pieces finds their exact hits in one pass over the whole text; around each hit Myers' bit-parallel algorithm gives the
-least edit distance of the item to any stretch of the text, and where it ends.
+least edit distance of the item to any stretch of the text, and where it ends. An item of fewer than ``LEAST`` characters is one piece of
+the same automaton and must occur without edits, between word boundaries.
 
 At scale: items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, a pass over the documents per block; documents are never
 shuffled. Hits of one item on neighbouring diagonals share one verification.
 
-Cases: null and empty documents and items match nothing, nor do items of fewer than ``LEAST`` characters; repeated items count once under
-their smallest id; repeated documents are reported each; a null document id is carried; other columns are not read.
+Cases: null and empty documents and items match nothing, nor do items of fewer than ``LEAST`` characters with no word or a single one, which stand
+in ordinary text (a character of a script without spaces is a word); repeated items count once under their smallest id; repeated documents
+are reported each; a null document id is carried; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,10 @@ PERCENT = 5
 LEAST = 40
 BLOCK_BYTES = 8_000_000
 
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
+_JOINED = re.compile(f"[^\\W_{_UNSPACED}]{{2}}")
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
@@ -72,6 +79,16 @@ def best_match(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def sought(item: str) -> bool:
+    """Whether a normalised item is looked for: one of ``LEAST`` characters, or of two words."""
+    return len(item) >= LEAST or len(_WORD.findall(item)) > 1
+
+
+def on_boundaries(text: str, start: int, end: int) -> bool:
+    """Whether the stretch begins and ends between words, not inside one."""
+    return not (start > 0 and _JOINED.match(text, start - 1) or _JOINED.match(text, end - 1))
+
+
 class Matcher:
     """The automaton over the pieces of a block of items."""
 
@@ -79,7 +96,7 @@ class Matcher:
         import ahocorasick
 
         self.items = items
-        self.budget = [len(t) * percent // 100 for _, t in items]
+        self.budget = [len(t) * percent // 100 if len(t) >= LEAST else 0 for _, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(items):
             for a, b in pieces(len(t), self.budget[k]):
@@ -98,6 +115,11 @@ class Matcher:
         out = []
         for k, starts in near.items():
             item, budget, best = self.items[k][1], self.budget[k], None
+            if len(item) < LEAST:
+                ends = [s + len(item) for s in starts if on_boundaries(text, s, s + len(item))]
+                if ends:
+                    out.append((k, 0, min(ends)))
+                continue
             low = high = None
             for s in [*sorted(starts), None]:
                 if low is not None and (s is None or s > high + 2 * budget + 1):
@@ -131,7 +153,7 @@ def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     out, size, seen = [[]], 0, set()
     for r in rows.toLocalIterator():
         t = normal(r.text)
-        if len(t) < LEAST or t in seen:
+        if not sought(t) or t in seen:
             continue
         seen.add(t)
         if size + len(t) > BLOCK_BYTES and out[-1]:

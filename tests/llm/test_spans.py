@@ -115,6 +115,15 @@ def test_matches_against_brute_force(spark, sentence):
     assert got == want and any(d for d in want.values())
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [(1, "What is 2+2?"), (2, "who wrote  Hamlet"), (3, "日本の首都はどこですか"), (4, "Paris"), (5, "?!"), (6, "an ant"), (7, "name the capital city of Peru")]
+    docs = [(10, "He asks: WHAT is\n2+2? Four."), (11, "(Who wrote\tHamlet)"), (12, "問題：日本の首都はどこですか？東京"), (13, "Paris ?!"), (14, "than anthem, an anteater"), (15, "than ant, an ant"), (16, "name the capitol city of Peru"), (17, "an ant"), (18, None)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.match_end) for r in E.matches(docs, items).collect()}
+    assert got == {(10, 1, 0, 21), (11, 2, 0, 17), (12, 3, 0, 14), (15, 6, 0, 16), (17, 6, 0, 6)}
+    assert {r.doc_id for r in E.keep_clean(docs, items).collect()} == {13, 14, 16, 18}
+
+
 def test_clean_documents_stay(cases, none, spark):
     items = spark.createDataFrame([(1, cases.where("doc_id = 3").first().text[:120])], "item_id long, text string")
     kept = E.keep_clean(cases, items)
