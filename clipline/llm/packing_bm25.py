@@ -2,7 +2,7 @@
 
 Every document becomes token ids and an end-of-document id. Its full windows stand for themselves; its rest, shorter than a window, joins
 a shard: the next ``shard`` rests of the task's input. Over a shard an inverted index with BM25 weights is built. The first unused rest
-seeds a window; the index returns its unused neighbours, best first, which fill the window greedily; the best one left is cut where the
+seeds a window; the index, asked with all its words, returns all unused neighbours, best first, which fill the window greedily; the best one left is cut where the
 window is full, and what is cut off seeds the next window. Only the last window of a task can stay short, so padding is at most one
 window per input partition. The ids of a word are worked out once and kept, up to a bound.
 
@@ -35,8 +35,6 @@ WINDOW = 2048
 END = 1
 TERMS = 1 << 18
 SHARD = 1024
-NEIGHBOURS = 16
-QUERY_TERMS = 48
 K1, B = 1.2, 0.75
 _CACHED = 500_000
 _UNSAFE = re.compile(r"\s\s|^\s|\s$")
@@ -180,13 +178,11 @@ class Shard:
         weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[doc] / statistics["mean_length"]))
         order = np.argsort(term, kind="stable")
         self.term, self.doc, self.weight = term[order], doc[order], weight[order]
-        self.n, self.idf = len(rests), idf
+        self.n = len(rests)
         self.unused = np.ones(self.n, bool)
 
     def neighbours(self, query: np.ndarray) -> np.ndarray:
-        """Unused rests, best first, then by order of arrival; the rarest words of the query ask."""
-        if len(query) > QUERY_TERMS:
-            query = query[np.argpartition(-self.idf[query], QUERY_TERMS)[:QUERY_TERMS]]
+        """Unused rests, best first, then by order of arrival; all words of the query ask."""
         low, high = np.searchsorted(self.term, query), np.searchsorted(self.term, query, "right")
         size = high - low
         at = np.repeat(high - np.cumsum(size), size) + np.arange(int(size.sum()))
@@ -232,6 +228,7 @@ class Packer:
         if not rests:
             return
         index, following, seed = Shard(rests, self.statistics), 0, -1
+        size = np.array([len(r["ids"]) for r in rests])
         while True:
             if seed < 0:
                 while following < index.n and not index.unused[following]:
@@ -248,18 +245,21 @@ class Packer:
             if self.room == WINDOW:
                 continue
             near = index.neighbours(rest["term"])
-            for k in near[:NEIGHBOURS]:
-                if len(rests[k]["ids"]) > self.room:
-                    seed = int(k) if seed < 0 else seed
-                    continue
+            at, seed = 0, -1
+            while at < len(near):
+                fits = size[near[at:]] <= self.room
+                step = int(fits.argmax())
+                if seed < 0 and (step or not fits[0]):
+                    seed = int(near[at])  # the best one that is too long
+                if not fits[step]:
+                    break
+                k = near[at + step]
                 index.unused[k] = False
                 self._put(rests[k], len(rests[k]["ids"]))
+                at += step + 1
                 if self.room == WINDOW:
                     seed = -1
                     break
-            else:
-                if seed < 0 and len(near) > NEIGHBOURS:
-                    seed = int(near[NEIGHBOURS])
 
 
 def pack(documents: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:

@@ -87,6 +87,27 @@ def test_neighbours_by_brute_force():
         assert np.allclose(sorted((s for i, s in enumerate(scores) if i not in (3, 7)), reverse=True), [scores[i] for i in got], rtol=1e-4)
 
 
+def test_all_words_of_a_long_query_ask():
+    """The match by many frequent words beats the one by a few rare words."""
+    idf = np.ones(P.TERMS, np.float32)
+    idf[:50] = 1.1
+    rests = [{"term": np.arange(a, b), "times": np.ones(b - a, np.int64)} for a, b in ((0, 200), (0, 50), (50, 200))]
+    index = P.Shard(rests, {"idf": idf, "mean_length": 130.0})
+    index.unused[0] = False
+    assert index.neighbours(rests[0]["term"]).tolist() == [2, 1]
+
+
+def test_neighbours_beyond_the_first_are_tried():
+    """What fits goes into the window before the best one is cut, however many better ones are too long."""
+    packer = P.Packer({"idf": np.ones(P.TERMS, np.float32), "mean_length": 5.0}, 0)
+    for i, (tokens, words) in enumerate([(1000, 10), *[(1500, 10)] * 30, (300, 1)]):
+        packer.add(i, np.arange(tokens, dtype="<u4"), np.arange(words), np.ones(words, np.int64))
+    packer.fill()
+    packer.close()
+    assert [(r[0], r[2]) for r in packer.rows if r[5] == 0] == [(0, 1000), (31, 300), (1, 748)]
+    assert sum(r[2] for r in packer.rows) == 1000 + 30 * 1500 + 300
+
+
 def test_windows_share_words(spark):
     """Documents of three vocabularies, dealt in turn, meet their own kind in a window."""
     rng = random.Random(7)
