@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_matches, language_kernel, licence_paragraphs, packing_bm25, quality_gam, quality_trees, secret_links, setsketch, source_mix, spelling_variants, suffix_repeats, toxicity_models
+from . import conversation_audit, edit_matches, language_kernel, licence_paragraphs, packing_bm25, quality_gam, quality_trees, secret_links, setsketch, source_mix, spelling_variants, suffix_repeats, toxicity_models
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_trees.quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_conversation_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_audit.audit(_table(spark, folder, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.variants(_table(spark, folder, "documents"))
 
@@ -60,6 +64,6 @@ def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mix(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing_bm25, op2_secret_links, op3_language_kernel, op4_setsketch, op5_toxicity_models, op6_edit_matches, op7_suffix_repeats, op8_licence_paragraphs, op9_quality_gam, op10_quality_trees, op12_spelling_variants, op13_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_packing_bm25, op2_secret_links, op3_language_kernel, op4_setsketch, op5_toxicity_models, op6_edit_matches, op7_suffix_repeats, op8_licence_paragraphs, op9_quality_gam, op10_quality_trees, op11_conversation_audit, op12_spelling_variants, op13_source_mix)}
 
 ORACLES = {"op2_secret_links": secret_links.SQL, "op12_spelling_variants": spelling_variants.SQL, "op13_source_mix": source_mix.SQL}
