@@ -13,7 +13,8 @@ from ..functions.numbers import round_to
 from ..functions.text import strip, tokens
 from ..functions.times import subtitle_stamp
 from .intervals import interval_join
-from .ordered import last_seen, next_seen, running_sum, sum_before, with_ordered
+from .ordered import block_if, last_seen, lead, next_seen, position, row_block, running_sum, sum_before, time_block, with_ordered
+from .scan import since_reset
 
 # Line widths, shortest reveals, the join overlap and the keyword symbols.
 LINE_CHARS = 12
@@ -122,44 +123,32 @@ def localize_edited(plans: DataFrame, edited: DataFrame, manifest: DataFrame | N
     return absolute.unionByName(relative)
 
 
-def chunk_captions(words: DataFrame, case: str = "upper") -> DataFrame:
+def chunk_captions(words: DataFrame, case: str = "upper", large: bool | None = None) -> DataFrame:
     """Pair words into two-line captions; long words and long pairs stand alone.
 
-    Whether a word opens a caption depends on the one before, so the words of a clip (a minute or so) are folded in
-    order. Result: video_id, clip_name, caption_no, line1, line1_start, line2, line2_start, end_s.
+    A word that could open a pair is skipped if the word before it opened one. Words that cannot open a pair are never followed by a
+    skipped word, so whether a word opens a caption is a parity: the number of words since the last of those.
+    Result: video_id, clip_name, caption_no, line1, line1_start, line2, line2_start, end_s.
     """
-    item = F.struct("start_s", "word_idx", word_case(strip(F.col("word")), case).alias("w"), "end_s")
-    clips = words.groupBy("video_id", "clip_name").agg(F.sort_array(F.collect_list(item)).alias("__ws"))
-    linked = F.transform("__ws", lambda x, i: F.struct(
-        x["w"].alias("w"), x["start_s"].alias("s"), x["end_s"].alias("e"), F.get("__ws", i + 1).alias("n")
-    ))
-
-    def caption(x, paired):
-        second = F.greatest(x["n"]["start_s"], x["s"] + REVEAL_GAP_S)
-        end2 = F.greatest(x["n"]["end_s"], second + MIN_SECOND_S)
-        has = paired & x["n"].isNotNull()
-        return F.struct(
-            x["w"].alias("line1"), x["s"].alias("line1_start"), F.when(has, x["n"]["w"]).otherwise(F.lit("")).alias("line2"),
-            F.when(has, second).alias("line2_start"),
-            F.greatest(F.when(has, end2).otherwise(x["e"]), x["s"] + MIN_CAPTION_S).alias("end_s"),
-        )
-
-    kind = "array<struct<line1:string,line1_start:double,line2:string,line2_start:double,end_s:double>>"
-    zero = F.struct(F.lit(False).alias("skip"), F.expr(f"cast(array() as {kind})").alias("out"))
-
-    def step(s, x):
-        nxt = F.coalesce(x["n"]["w"], F.lit(""))
-        alone = (F.length(x["w"]) > LINE_CHARS) | ((nxt != "") & (F.length(x["w"]) + 1 + F.length(nxt) > PAIR_CHARS))
-        keep = lambda skip, out: F.struct(skip.alias("skip"), out.alias("out"))
-        return (
-            F.when(s["skip"] | (x["w"] == ""), keep(F.lit(False), s["out"]))
-            .when(alone, keep(F.lit(False), F.concat(s["out"], F.array(caption(x, F.lit(False))))))
-            .otherwise(keep(nxt != "", F.concat(s["out"], F.array(caption(x, F.lit(True))))))
-        )
-
-    folded = clips.select("video_id", "clip_name", F.aggregate(linked, zero, step)["out"].alias("__c"))
-    return folded.select("video_id", "clip_name", F.posexplode("__c").alias("__i", "__x")).select(
-        "video_id", "clip_name", (F.col("__i") + 1).alias("caption_no"), "__x.*"
+    clip, order = ["video_id", "clip_name"], ["start_s", "word_idx", "w", "end_s"]
+    block = block_if(large, words, clip, time_block("start_s", 600.0))
+    shown = words.select(*clip, "start_s", "word_idx", word_case(strip(F.col("word")), case).alias("w"), "end_s")
+    follower = lead(F.struct("w", "start_s", "end_s"))
+    near = with_ordered(shown, clip, order, {"__n": follower, "__at": position()}, block)
+    second = F.coalesce(F.col("__n.w"), F.lit(""))
+    alone = (F.length("w") > LINE_CHARS) | ((second != "") & (F.length("w") + 1 + F.length(second) > PAIR_CHARS))
+    pairs = near.withColumn("__alone", alone).withColumn("__pairs", (F.col("w") != "") & ~F.col("__alone") & (second != ""))
+    read = with_ordered(pairs, clip, ["__at"], {"__reset": since_reset(~F.col("__pairs"), F.col("__at"))}, None if block is None else row_block("__at"))
+    skipped = (F.col("__at") - 1 - F.coalesce("__reset", F.lit(-1))) % 2 == 1
+    opens = read.where(~skipped & (F.col("w") != ""))
+    has = ~F.col("__alone") & F.col("__n").isNotNull()
+    from_ = F.greatest(F.col("__n.start_s"), F.col("start_s") + REVEAL_GAP_S)
+    end = F.when(has, F.greatest(F.col("__n.end_s"), from_ + MIN_SECOND_S)).otherwise(F.col("end_s"))
+    numbered = with_ordered(opens, clip, ["__at"], {"__no": position()}, None if block is None else row_block("__at"))
+    return numbered.select(
+        *clip, (F.col("__no") + 1).cast("int").alias("caption_no"), F.col("w").alias("line1"), F.col("start_s").alias("line1_start"),
+        F.when(has, F.col("__n.w")).otherwise(F.lit("")).alias("line2"), F.when(has, from_).alias("line2_start"),
+        F.greatest(end, F.col("start_s") + MIN_CAPTION_S).alias("end_s"),
     )
 
 

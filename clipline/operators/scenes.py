@@ -11,6 +11,7 @@ from ..functions.numbers import bhattacharyya, cosine, hamming_bits, round_to
 from .greedy import greedy_select
 from .intervals import interval_join
 from .ordered import block_if, lag, lead, position, row_block, sum_before, time_block, with_ordered
+from .scan import follow
 
 CUT_GAP_S = 0.35
 HASH_LIMIT = 12
@@ -24,7 +25,7 @@ def merge_cuts(cuts: DataFrame, gap_s: float = CUT_GAP_S, fallback: Sequence[str
     """Union of the detectors' cuts, each more than ``gap_s`` after the last one kept.
 
     Fallback detectors count only for videos where the others found nothing. A pause over ``gap_s`` between cuts
-    always starts anew, so only cuts closer than that are read in order, run by run. bounds (video_id, start_s, end_s)
+    always starts anew; inside a run of closer cuts each points at the next that may be kept, and the chain from the first is followed. bounds (video_id, start_s, end_s)
     add the first and last boundary.
     """
     main = cuts.where(~F.col("detector").isin(*fallback))
@@ -34,12 +35,17 @@ def merge_cuts(cuts: DataFrame, gap_s: float = CUT_GAP_S, fallback: Sequence[str
     near = with_ordered(times, ["video_id"], ["t_s"], {"__prev": lag(F.col("t_s"))}, block)
     fresh = F.when(F.col("__prev").isNull() | (F.col("t_s") - F.col("__prev") > gap_s), 1).otherwise(0)
     marked = with_ordered(near.withColumn("__new", fresh), ["video_id"], ["t_s"], {"__upto": sum_before(F.col("__new"))}, block)
-    runs = marked.groupBy("video_id", (F.col("__upto") + F.col("__new")).alias("__run")).agg(F.sort_array(F.collect_list("t_s")).alias("__ts"))
-    none = F.slice("__ts", 1, 0)
-    kept = F.aggregate("__ts", none, lambda acc, t: F.when(
-        (F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) > gap_s), F.concat(acc, F.array(t))
-    ).otherwise(acc))
-    out = runs.select("video_id", F.explode(kept).alias("t_s"))
+    run = ["video_id", "__run"]
+    # most runs are one cut; the chains of the others are followed from cut to cut
+    in_run = marked.select("video_id", (F.col("__upto") + F.col("__new")).alias("__run"), "t_s", "__new")
+    # neighbours in a run are at most a gap apart, so the next cut, if any, is less than two gaps away; near the gap itself times are compared exactly
+    gap_us = int(round(gap_s * 1e6))
+    here = Window.partitionBy(*run).orderBy(F.round(F.col("t_s") * 1e6).cast("bigint"))
+    beside = F.filter(F.collect_list("t_s").over(here.rangeBetween(gap_us - 3, gap_us + 3)), lambda x: x - F.col("t_s") > gap_s)
+    onward = F.min("t_s").over(here.rangeBetween(gap_us + 4, 2 * gap_us + 8))
+    links = in_run.withColumn("next", F.coalesce(F.array_min(beside), onward)).where("next is not null")
+    starts = in_run.where("__new = 1").select(*run, F.col("t_s").alias("at"))
+    out = follow(starts, links.withColumnRenamed("t_s", "at"), run).select("video_id", F.col("at").alias("t_s"))
     if bounds is None:
         return out
     inside = out.join(bounds.select("video_id", "start_s", "end_s"), "video_id").where(F.col("t_s") - F.col("start_s") > gap_s).select("video_id", "t_s")

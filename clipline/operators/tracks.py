@@ -1,6 +1,6 @@
 """Crop tracks: which face leads, a smoothed path, and a regular resampling of it.
 
-State runs along one segment (a shot of seconds to minutes); the folds below hold one segment at a time.
+State runs along one segment (a shot); it is read in blocks of time, so a segment may be of any length.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bhattacharyya, cosine, round_to
-from .ordered import last_seen, next_seen, with_ordered
+from .ordered import block_if, lag, last_seen, next_seen, time_block, with_ordered
+from .scan import decaying_means
 from .speakers import clamp_col, crop_from_face, crop_size
 
 # Dwell, smoothing and matching limits.
@@ -21,31 +22,21 @@ MIN_CONFIDENCE = 0.15
 KEY = ["video_id", "seg_index"]
 
 
-def dwell_gate(ticks: DataFrame, dwell_s: float = DWELL_S) -> DataFrame:
+def dwell_gate(ticks: DataFrame, dwell_s: float = DWELL_S, large: bool | None = None) -> DataFrame:
     """Committed speaker per tick: a change counts once the new speaker has held for ``dwell_s``.
 
-    ticks (video_id, seg_index, t_s, speaker); UNKNOWN counts as the committed one. The first tick commits.
+    ticks (video_id, seg_index, t_s, speaker); UNKNOWN and NULL count as the committed one, but end a run. The first tick commits.
+    A run of one speaker commits at its first tick that is ``dwell_s`` after its start, whoever was committed before, so the speaker of
+    the last such tick holds.
     """
-    item = F.struct("t_s", "speaker")
-    segs = ticks.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("__ts"))
-    state = "struct<now:string,next:string,since:double,out:array<struct<t_s:double,committed:string>>>"
-    zero = F.struct(
-        F.col("__ts")[0]["speaker"].alias("now"), F.lit(None).cast("string").alias("next"), F.lit(0.0).alias("since"),
-        F.expr("cast(array() as array<struct<t_s:double,committed:string>>)").alias("out"),
-    ).cast(state)
-
-    def step(s, x):
-        who = F.when((x["speaker"] == "UNKNOWN") | x["speaker"].isNull(), s["now"]).otherwise(x["speaker"])
-        other = who != s["now"]
-        since = F.when(F.coalesce(s["next"] == who, F.lit(False)), s["since"]).otherwise(x["t_s"])
-        switch = other & (x["t_s"] - since >= dwell_s)
-        now = F.when(switch, who).otherwise(s["now"])
-        return F.struct(
-            now.alias("now"), F.when(other & ~switch, who).alias("next"), F.when(other, since).otherwise(s["since"]).alias("since"),
-            F.concat(s["out"], F.array(F.struct(x["t_s"].alias("t_s"), now.alias("committed")))).alias("out"),
-        ).cast(state)
-
-    return segs.select(*KEY, F.inline(F.aggregate("__ts", zero, step)["out"]))
+    block = block_if(large, ticks, KEY, time_block("t_s", 600.0))
+    order = ["t_s", "speaker"]
+    named = ticks.select(*KEY, "t_s", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"))
+    near = with_ordered(named, KEY, order, {"__before": lag(F.col("speaker"))}, block)
+    first = F.col("__before").isNull()
+    runs = with_ordered(near, KEY, order, {"__since": last_seen(F.when(first | (F.col("__before") != F.col("speaker")), F.col("t_s")))}, block)
+    sure = first | ((F.col("speaker") != "UNKNOWN") & (F.col("t_s") - F.col("__since") >= dwell_s))
+    return with_ordered(runs, KEY, order, {"committed": last_seen(F.when(sure, F.col("speaker")))}, block).select(*KEY, "t_s", "committed")
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -132,10 +123,10 @@ def focus_track(faces: DataFrame, ticks: DataFrame, slots: DataFrame, dwell_s: f
     return joined.select(*tick, "committed", "slot", want("x").alias("x"), want("y").alias("y"), conf.alias("confidence"), "width", "height")
 
 
-def smooth_track(targets: DataFrame, alpha: float = ALPHA, stable_s: float = STABLE_START_S, base: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+def smooth_track(targets: DataFrame, alpha: float = ALPHA, stable_s: float = STABLE_START_S, base: tuple[float, float] = (0.0, 0.0), large: bool | None = None) -> DataFrame:
     """Smoothed crop path per segment.
 
-    targets (video_id, seg_index, t_rel, x, y, confidence), x NULL on a miss, optional width and height to clamp to.
+    targets (video_id, seg_index, t_rel, x, y, confidence), x or y NULL on a miss, optional width and height to clamp to.
     The first target locks and fills what came before; later ones move by ``alpha``; misses hold and take the position
     at which the subject is found again. The start is then set to the first confident position at or after ``stable_s``.
     """
@@ -144,22 +135,15 @@ def smooth_track(targets: DataFrame, alpha: float = ALPHA, stable_s: float = STA
         w, h = crop_size(F.col("width"), F.col("height"))
         room = (F.greatest(F.lit(0.0), F.col("width") - w), F.greatest(F.lit(0.0), F.col("height") - h))
         targets = targets.withColumns({c: F.when(F.col(c).isNotNull(), clamp_col(F.col(c), F.lit(0.0), r)) for c, r in zip("xy", room)})
-    item = F.struct("t_rel", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("confidence").cast("double").alias("confidence"))
-    segs = targets.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("__ts"))
-    row = "struct<t_rel:double,x:double,y:double,confidence:double>"
-    state = f"struct<x:double,y:double,out:array<{row}>>"
+    block = block_if(large, targets, KEY, time_block("t_rel", 600.0))
+    row = [*KEY, "t_rel", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "confidence")]]
+    found = targets.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*row)
+    eased = decaying_means(found, KEY, ["t_rel", "x", "y", "confidence"], ["x", "y"], alpha, block)
     none = F.lit(None).cast("double")
-    zero = F.struct(none.alias("x"), none.alias("y"), F.expr(f"cast(array() as array<{row}>)").alias("out")).cast(state)
-
-    def step(s, v):
-        ease = lambda c: F.when(v[c].isNull(), s[c]).when(s[c].isNull(), v[c]).otherwise(alpha * v[c] + (1.0 - alpha) * s[c])
-        shown = lambda c: F.when(v["x"].isNotNull(), ease(c)).alias(c)
-        out = F.struct(v["t_rel"].alias("t_rel"), shown("x"), shown("y"), F.when(v["x"].isNotNull(), v["confidence"]).otherwise(0.0).alias("confidence"))
-        return F.struct(ease("x").alias("x"), ease("y").alias("y"), F.concat(s["out"], F.array(out)).alias("out")).cast(state)
-
-    path = segs.select(*KEY, F.inline(F.aggregate("__ts", zero, step)["out"]))
+    missed = targets.where(F.col("x").isNull() | F.col("y").isNull()).select(*KEY, "t_rel", none.alias("x"), none.alias("y"), F.lit(0.0).alias("confidence"))
+    path = eased.unionByName(missed)
     spot = F.when(F.col("x").isNotNull(), F.struct("x", "y"))
-    held = with_ordered(path, KEY, ["t_rel"], {"__next": next_seen(spot), "__last": last_seen(spot)})
+    held = with_ordered(path, KEY, ["t_rel", "confidence", "x", "y"], {"__next": next_seen(spot), "__last": last_seen(spot)}, block)
     at = lambda c, b: F.coalesce(F.col(f"__next.{c}"), F.col(f"__last.{c}"), F.lit(b))
     filled = held.select(*KEY, "t_rel", at("x", base[0]).alias("crop_x"), at("y", base[1]).alias("crop_y"), "confidence")
     return _stable_start(filled, stable_s)

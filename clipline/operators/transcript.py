@@ -9,7 +9,8 @@ from ..functions.numbers import round_to
 from ..functions.text import SENTENCE_BREAK, clean_word, strip, tokens
 from ..functions.times import minutes_text
 from ..session import cut_lineage
-from .ordered import block_if, lead, position, row_block, sum_before, with_ordered
+from .ordered import block_if, lead, position, row_block, sum_before, time_block, with_ordered
+from .scan import follow, jumps
 
 SECONDS_PER_WORD = 0.35
 SECONDS_PER_SENTENCE = 2.0
@@ -125,8 +126,8 @@ def chunk_plan(
     """Cuts near every ``chunk_s`` moved to the quietest stretch of the search window.
 
     videos (video_id, duration_s); energy (video_id, frame BIGINT of ``hop_s`` each, power: mean square of it).
-    The next cut counts from the last one, so the cuts of a video form a short chain (one per 20 minutes):
-    every possible cursor (a hop) first gets its best cut, then the chain is followed through a map.
+    The next cut counts from the last one, so the cuts of a video form a chain: every possible cursor (a hop) first gets its best cut,
+    then the chain over the cuts is followed.
     """
     half = int(round(search_s / 2 / hop_s))
     span = int(round(quiet_s / hop_s))
@@ -151,31 +152,18 @@ def chunk_plan(
         "__best", F.min("__q").over(inside.rangeBetween(-half, half - span - 1))
     ).where(F.col("__b") == F.floor(F.col("frame") / block))
     cuts = best.select("video_id", F.col("frame").alias("cursor"), (F.col("__best.f") + span // 2).alias("cut"))
-    # the k-th cursor lies within k * search/2 of k * chunk: only those frames are kept for the chain
+    # a cut stands for all cursors whose search ends at it, so the chain runs over few rows, in proportion to the length
     chunk_f = int(round(chunk_s / hop_s))
-    k = F.floor((F.col("cursor") + chunk_f / 2) / chunk_f)
-    near = cuts.where((k >= 1) & (F.abs(F.col("cursor") - k * chunk_f) <= k * half))
-    hops = near.groupBy("video_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("cursor", "cut"))).alias("cuts"), F.max(k).alias("hops")
-    )
-    planned = videos.join(hops, "video_id", "left")
     limit = F.floor((F.col("duration_s") - tail_s) / hop_s + F.lit(1e-9))
-    at = lambda s: F.try_element_at(F.col("cuts"), s["cursor"])
-    chain = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), F.coalesce("hops", F.lit(1))),
-        F.struct(F.lit(chunk_f).cast("bigint").alias("cursor"), F.expr("cast(array() as array<bigint>)").alias("found")),
-        lambda s, _: F.when(
-            (s["cursor"] < limit) & at(s).isNotNull(),
-            F.struct((at(s) + chunk_f).alias("cursor"), F.concat(s["found"], F.array(at(s))).alias("found")),
-        ).otherwise(s),
-    )["found"]
-    edges = F.concat(
-        F.array(F.lit(0.0)), F.transform(chain, lambda c: round_to(c * hop_s)), F.array(F.col("duration_s").cast("double"))
-    )
-    return (
-        planned.withColumn("__e", edges)
-        .select("video_id", F.posexplode(F.slice("__e", F.lit(1), F.size("__e") - 1)).alias("chunk", "start_s"), "__e")
-        .select("video_id", "chunk", "start_s", F.get("__e", F.col("chunk") + 1).alias("end_s"))
+    open_ = cut_lineage(cuts.join(videos.select("video_id", limit.alias("__limit")), "video_id").where(F.col("cursor") < F.col("__limit")).drop("__limit"))
+    starts = open_.where(F.col("cursor") == chunk_f).select("video_id", F.col("cut").alias("at"))
+    places = open_.select("video_id", F.col("cut").alias("at")).distinct().withColumn("cursor", F.col("at") + chunk_f)
+    links = places.join(open_.withColumnRenamed("cut", "next"), ["video_id", "cursor"]).select("video_id", "at", "next")
+    chain = follow(starts, links, ["video_id"]).select("video_id", round_to(F.col("at") * hop_s).alias("start_s"))
+    begins = videos.select("video_id", F.lit(0.0).alias("start_s")).unionByName(chain)
+    ordered = with_ordered(begins, ["video_id"], ["start_s"], {"chunk": position(), "__next": lead(F.col("start_s"))}, time_block("start_s", 1000 * chunk_s))
+    return ordered.join(videos.select("video_id", F.col("duration_s").cast("double").alias("__end")), "video_id").select(
+        "video_id", F.col("chunk").cast("int").alias("chunk"), "start_s", F.coalesce("__next", "__end").alias("end_s")
     )
 
 
@@ -207,7 +195,7 @@ def restore_punctuation(
     marked = cut_lineage(
         with_ordered(marked, ["video_id"], ["word_idx"], {"__grp": sum_before(F.col("__hard"))}, block).drop("__ends", "__n")
     )
-    soft = _forced_stops(marked.where("__open"), clause_gap_s, force_words)
+    soft = _forced_stops(marked.where("__open"), clause_gap_s, force_words, large)
     bare = F.rtrim(F.col("word"))
     joined = marked.join(soft, ["video_id", "word_idx"], "left")
     full = (F.col("__gap") >= sentence_gap_s) | F.col("__next").isNull() | F.coalesce(F.col("__stop"), F.lit(False))
@@ -220,31 +208,22 @@ def restore_punctuation(
     return joined.select(*words.columns, restored.alias("restored"))
 
 
-def _forced_stops(words: DataFrame, clause_gap_s: float, force_words: int) -> DataFrame:
+def _forced_stops(words: DataFrame, clause_gap_s: float, force_words: int, large: bool | None) -> DataFrame:
     """Stops inside a stretch: a pause of ``clause_gap_s`` once ``force_words`` words have passed since the last one.
 
-    Only the pauses can be stops, so the state walks over pauses and uses their distance in words.
+    Only the pauses can be stops: each points at the first pause far enough after it, and the chain from the first is followed.
     """
-    sizes = words.groupBy("video_id", "__grp").agg(F.min("word_idx").alias("__from"), F.count("*").alias("__len"))
+    stretch = ["video_id", "__grp"]
+    sizes = words.groupBy(*stretch).agg(F.min("word_idx").alias("__from"), F.count("*").alias("__len"))
     long_ = sizes.where(F.col("__len") >= force_words)
-    pauses = words.where((F.col("__gap") >= clause_gap_s) & (F.col("__hard") == 0))
-    walk = (
-        pauses.join(long_, ["video_id", "__grp"])
-        .groupBy("video_id", "__grp", "__from")
-        .agg(F.sort_array(F.collect_list(F.col("word_idx").cast("bigint"))).alias("__at"))
-    )
-    zero = F.struct(
-        (F.col("__from").cast("bigint") - 1).alias("last"), F.expr("cast(array() as array<bigint>)").alias("stops")
-    )
-    stops = F.aggregate(
-        "__at",
-        zero,
-        lambda s, i: F.when(
-            i - s["last"] >= force_words,
-            F.struct(i.alias("last"), F.concat(s["stops"], F.array(i)).alias("stops")),
-        ).otherwise(s),
-    )["stops"]
-    return walk.select("video_id", F.explode(stops).alias("word_idx"), F.lit(True).alias("__stop"))
+    place = F.col("word_idx").cast("bigint")
+    pauses = words.where((F.col("__gap") >= clause_gap_s) & (F.col("__hard") == 0)).join(long_, stretch).select(*stretch, place.alias("k"))
+    block = block_if(large, words, stretch, row_block("k"))
+    first = long_.select(*stretch, F.lit(None).cast("bigint").alias("at"), (F.col("__from").cast("bigint") - 1 + force_words).alias("k"))
+    hops = cut_lineage(jumps(pauses, first.unionByName(pauses.select(*stretch, F.col("k").alias("at"), (F.col("k") + force_words).alias("k"))), stretch, block))
+    starts = hops.where("at is null").select(*stretch, F.col("next").alias("at"))
+    stops = follow(starts, hops.where("at is not null"), stretch)
+    return stops.select("video_id", F.col("at").alias("word_idx"), F.lit(True).alias("__stop"))
 
 
 def segment_texts(words: DataFrame, word: str = "word") -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.text import (
 )
 from ..operators import transcript, windows
 from ..operators.ordered import sum_before, with_ordered
-from ..sources.tables import conversation_segments, document_segments, document_words
+from ..sources.tables import conversation_segments, document_segments, document_words, table
 from .sql import SEGMENTS, TURNS, WORDS, r3, stamp
 
 # a document is one row, so the segments and words of its video are bounded by that row
@@ -91,6 +91,23 @@ def q_restore_punctuation(spark, d):
     return out.select("video_id", "word_idx", "restored")
 
 
+def _letters(spark, d):
+    """Words of a document as the frames of a recording: (video_id, frame, power), a long word is a loud one."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)).alias("w"))
+    return docs.select("video_id", F.posexplode("w").alias("frame", "w")).select("video_id", F.col("frame").cast("bigint").alias("frame"), (F.length("w") * F.length("w")).cast("double").alias("power"))
+
+
+def q_chunk_plan(spark, d):
+    """Documents cut about every 120 words where three words are short."""
+    energy = _letters(spark, d)
+    videos = energy.groupBy("video_id").agg(F.count("*").cast("double").alias("duration_s"))
+    return transcript.chunk_plan(videos, energy, 120.0, 20.0, 30.0, 3.0, 1.0)
+
+
+def q_segment_texts(spark, d):
+    return transcript.segment_texts(document_words(spark, d))
+
+
 def q_merge_chunks(spark, d):
     """Conversations of one source chained as the chunks of a longer recording."""
     segs = conversation_segments(spark, d).withColumnRenamed("video_id", "chunk").withColumn("video_id", F.floor(F.col("chunk") / 10))
@@ -113,6 +130,8 @@ QUERIES = {
     "fixed_slices": q_fixed_slices,
     "transcript_summary": q_transcript_summary,
     "restore_punctuation": q_restore_punctuation,
+    "chunk_plan": q_chunk_plan,
+    "segment_texts": q_segment_texts,
     "merge_chunks": q_merge_chunks,
 }
 
@@ -189,4 +208,11 @@ ORACLES = {
  o AS (SELECT v, chunk, coalesce(sum(len) OVER (PARTITION BY v ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l)
  SELECT c.v AS video_id, c.chunk, row_number() OVER (PARTITION BY c.v ORDER BY c.chunk, seg_id) - 1 AS seg_id, round({r3('start_s + off')}, 1) AS start_s, round({r3('end_s + off')}, 1) AS end_s, text
  FROM c JOIN o ON c.v = o.v AND c.chunk = o.chunk""",
+    "chunk_plan": r"""WITH RECURSIVE w AS (SELECT doc_id AS video_id, u.i - 1 AS f, length(u.x) * length(u.x) AS p FROM documents, unnest(regexp_extract_all(text, '[^ \t\n\r]+')) WITH ORDINALITY AS u(x, i)),
+ q AS (SELECT video_id, f, CASE WHEN count(*) OVER n = 3 THEN avg(p) OVER n END AS p FROM w WINDOW n AS (PARTITION BY video_id ORDER BY f ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+ c AS (SELECT video_id, f AS cursor_, (min(CASE WHEN p IS NOT NULL THEN {'p': p, 'f': f} END) OVER (PARTITION BY video_id ORDER BY f ROWS BETWEEN 10 PRECEDING AND 6 FOLLOWING)).f + 1 AS cut, count(*) OVER (PARTITION BY video_id) AS n FROM q),
+ ch AS (SELECT video_id, cut, n FROM c WHERE cursor_ = 120 AND 120 < n - 30 UNION ALL SELECT c.video_id, c.cut, c.n FROM ch JOIN c ON c.video_id = ch.video_id AND c.cursor_ = ch.cut + 120 WHERE c.cursor_ < c.n - 30),
+ e AS (SELECT DISTINCT video_id, 0.0::DOUBLE AS s, n FROM c UNION ALL SELECT video_id, cut::DOUBLE, n FROM ch)
+ SELECT video_id, CAST(row_number() OVER v - 1 AS INTEGER) AS chunk, s AS start_s, coalesce(lead(s) OVER v, n::DOUBLE) AS end_s FROM e WINDOW v AS (PARTITION BY video_id ORDER BY s)""",
+    "segment_texts": f"WITH {WORDS} SELECT video_id, seg_id, coalesce(string_agg(word, ' ' ORDER BY word_idx), '') AS text FROM wrd GROUP BY 1, 2",
 }
