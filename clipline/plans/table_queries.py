@@ -11,11 +11,12 @@ from ..functions.numbers import round_to
 from ..functions.text import FILLER_TAGS, strip
 from ..functions.times import minutes_text
 from ..operators import candidates, jobs, packaging
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import readers, responses
-from ..sources.tables import conversation_segments, event_job_log, event_spans, order_stage_runs, table
+from ..sources.tables import conversation_segments, document_segments, event_job_log, event_spans, order_stage_runs, table
 from ..streaming import jobs as streams
-from .sql import SPANS, TURNS, r3
+from ..streaming.sinks import append_stream, latest, upsert_stream
+from .sql import SEGMENTS, SPANS, TURNS, r3
 from .transcript_queries import sql_list
 
 
@@ -141,15 +142,10 @@ def q_request_rate(spark, d):
 # ---- streams over the given tables ------------------------------------------------------------------------------
 
 
-def _run_stream(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there to a table in memory and return it; the state goes to the checkpoint folder."""
+def _stream_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's table and progress, in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    query = (
-        out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{spark.sparkContext.getCheckpointDir()}/{name}").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex[:12]}"
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -162,14 +158,51 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_job_status_stream(spark, d):
-    return _run_stream(spark, streams.job_status_stream(_event_stream(spark, d)), "complete").drop("updated_at")
+    folder = _stream_folder(spark, "job_status")
+    streams.job_status_stream(_event_stream(spark, d), folder).awaitTermination()
+    return streams.job_status_table(spark, folder).drop("updated_at")
+
+
+def q_stale_jobs_stream(spark, d):
+    """The last word of the heartbeat on each job; beats and seconds depend on the clock and are left out."""
+    folder, conf = _stream_folder(spark, "stale_jobs"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # one batch: with timers waiting, a stream that is to read what is there never finds itself done
+        upsert_stream(streams.stale_jobs_stream(_event_stream(spark, d)), folder, once=True).awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    return latest(spark, folder, ["job_id"]).select("job_id", "stage", "status", "progress", "message", "event_id")
 
 
 def q_request_rate_stream(spark, d):
-    """Calls per event type in hourly windows every half hour."""
-    calls = _event_stream(spark, d).withColumnRenamed("stage", "key")
-    out = _run_stream(spark, streams.request_rate_stream(calls, 3600, 1800, 5), "complete")
-    return out.select("key", F.unix_seconds("window_start").alias("window_start"), "calls", "over_limit")
+    """Calls per event type in hourly windows every half hour; open windows are in the table too, closed ones leave the state."""
+    calls, folder = _event_stream(spark, d).withColumnRenamed("stage", "key"), _stream_folder(spark, "request_rate")
+    upsert_stream(streams.request_rate_stream(calls, 3600, 1800, 5), folder).awaitTermination()
+    return latest(spark, folder, ["key", "window_start"]).select("key", F.unix_seconds("window_start").alias("window_start"), "calls", "over_limit")
+
+
+def q_live_windows(spark, d):
+    """Sentences of the documents as a stream in four parts by time, then a tick far ahead that closes all windows.
+
+    What comes out is cut at the last window of the finished transcript, as the batch form has it.
+    """
+    folder, width, overlap = _stream_folder(spark, "live_windows"), 120.0, 24.0
+    s = cut_lineage(document_segments(spark, d).select("video_id", "seg_id", "start_s", "end_s", "text"))
+    at = lambda c: F.timestamp_micros((F.col(c) * 1e6).cast("bigint"))
+    timed = s.select("video_id", "seg_id", at("start_s").alias("begin"), at("end_s").alias("finish"), "text")
+    edges = [0.0, 60.0, 300.0, 1500.0, float("inf")]
+    for a, b in zip(edges, edges[1:], strict=False):
+        timed.where((s["start_s"] >= a) & (s["start_s"] < b)).write.mode("append").parquet(f"{folder}/in")
+    end = s.agg(F.max("end_s")).first()[0] or 0.0
+    tick = spark.range(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(0).alias("seg_id"), F.lit(end + 1e5).alias("start_s"), F.lit(end + 1e5 + 1).alias("end_s"), F.lit("").alias("text"))
+    tick.select("video_id", "seg_id", at("start_s").alias("begin"), at("end_s").alias("finish"), "text").write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(timed.schema).parquet(f"{folder}/in")
+    append_stream(streams.live_windows(stream, width, overlap, "1 hour"), folder).awaitTermination()
+    total = s.groupBy("video_id").agg(F.max_by("end_s", "seg_id").alias("__total"))
+    out = spark.read.parquet(f"{folder}/table").join(total, "video_id").withColumn("window_start", F.unix_seconds("window_start"))
+    return out.where((F.col("window_start") == 0) | (F.col("window_start") < F.col("__total") - overlap)).drop("__total")
 
 
 # ---- sources ----------------------------------------------------------------------------------------------------
@@ -249,7 +282,7 @@ QUERIES = {
     "package_text": q_package_text, "package_results": q_package_results, "discover_targets": q_discover_targets, "pick_variant": q_pick_variant,
     "latest_stage": q_latest_stage, "stale_stages": q_stale_stages, "pipeline_progress": q_pipeline_progress, "missing_artifacts": q_missing_artifacts,
     "log_tail": q_log_tail, "job_status": q_job_status, "request_rate": q_request_rate, "job_status_stream": q_job_status_stream,
-    "request_rate_stream": q_request_rate_stream, "parse_ai_responses": q_parse_ai_responses, "best_of": q_best_of, "canonical_url": q_canonical_url,
+    "request_rate_stream": q_request_rate_stream, "stale_jobs_stream": q_stale_jobs_stream, "live_windows": q_live_windows, "parse_ai_responses": q_parse_ai_responses, "best_of": q_best_of, "canonical_url": q_canonical_url,
     "diarization": q_diarization, "loudness": q_loudness, "candidate_audit": q_candidate_audit,
 }
 
@@ -302,3 +335,8 @@ ORACLES = {
  trim(regexp_replace(text, '[\s:]+', ' ', 'g')) AS start_words FROM conversations""",
 }
 ORACLES["job_status_stream"] = ORACLES["job_status"]
+ORACLES["stale_jobs_stream"] = ORACLES["job_status"].replace("progress, message FROM\n", "progress, message, event_id FROM\n").replace("props AS message, row", "props AS message, event_id, row")
+ORACLES["live_windows"] = f"""WITH {SEGMENTS},
+ s2 AS (SELECT video_id, seg_id, trunc(start_s * 1000000.0::DOUBLE) / 1000000.0::DOUBLE AS a, trunc(end_s * 1000000.0::DOUBLE) / 1000000.0::DOUBLE AS b, length(text) AS n, arg_max(end_s, seg_id) OVER (PARTITION BY video_id) AS total FROM seg)
+ SELECT video_id, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_chars, min(seg_id) AS first_seg, max(seg_id) AS last_seg, CAST(96 * u.k AS BIGINT) AS window_start
+ FROM s2, unnest(range(0, CAST(floor(b / 96.0) AS BIGINT) + 1)) AS u(k) WHERE b > u.k * 96.0 AND a < u.k * 96.0 + 120.0 AND (u.k = 0 OR u.k * 96.0 < total - 24.0) GROUP BY video_id, u.k"""

@@ -4,10 +4,11 @@ import datetime as dt
 import tempfile
 import uuid
 
-from pyspark.sql import functions as F
+import pytest
 
 from clipline.operators.jobs import latest_status
 from clipline.streaming import jobs as s
+from clipline.streaming import sinks
 
 
 def start(spark, rows, schema):
@@ -27,14 +28,61 @@ def run(spark, df, mode, seconds=None):
 
 
 T0 = dt.datetime(2024, 1, 1)
-ROWS = [(1, "downloading", 5, "a", T0), (1, "analyzing", 30, "b", T0 + dt.timedelta(seconds=50)), (2, "error", 10, "bad", T0 + dt.timedelta(seconds=5)), (3, "review", 60, "r", T0), (1, "transcribing", 20, "late", T0 + dt.timedelta(seconds=20))]
+ROWS = [(1, "downloading", 5, "a", T0, 1), (1, "analyzing", 30, "b", T0 + dt.timedelta(seconds=50), 2), (2, "error", 10, "bad", T0 + dt.timedelta(seconds=5), 3), (3, "review", 60, "r", T0, 4), (1, "transcribing", 20, "late", T0 + dt.timedelta(seconds=20), 5)]
+MORE = [(1, "done", 100, "end", T0 + dt.timedelta(seconds=90), 6), (3, "late", 1, "older", T0 - dt.timedelta(days=400), 7), (4, "downloading", 1, "new", T0, 8), (4, "analyzing", 2, "same time", T0, 9)]
 
 
-def test_job_status_equals_batch(spark):
-    stream, folder = start(spark, ROWS, s.JOB_EVENT)
-    got = sorted(tuple(r) for r in run(spark, s.job_status_stream(stream), "complete").collect())
-    assert got == sorted(tuple(r) for r in latest_status(spark.read.parquet(folder)).collect())
-    assert ("error" in [r[2] for r in got]) and ("paused_for_review" in [r[2] for r in got])
+def add(spark, folder, rows, schema=s.JOB_EVENT):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, old)
+
+
+def test_job_status_equals_batch_and_goes_on_after_a_restart(spark):
+    stream, source = start(spark, ROWS, s.JOB_EVENT)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for more in ([], MORE, []):
+        if more:
+            add(spark, source, more)
+        s.job_status_stream(stream, folder).awaitTermination()
+        got = sorted(tuple(r) for r in s.job_status_table(spark, folder).collect())
+        assert got == sorted(tuple(r) for r in latest_status(spark.read.parquet(source), "event_id").collect())
+    assert {r[0]: r[2] for r in got} == {1: "done", 2: "error", 3: "paused_for_review", 4: "processing"}
+    sinks.compact(spark, folder, f"{folder}-small", ["job_id"], ["ts", "event_id"])
+    assert sorted(tuple(r) for r in s.job_status_table(spark, f"{folder}-small").collect()) == got
+
+
+def test_a_batch_written_twice_counts_once(spark):
+    stream, _ = start(spark, ROWS, s.JOB_EVENT)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    s.job_status_stream(stream, folder).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/table/batch=0").collect()
+    spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{folder}/table/batch=0")
+    assert len(rows) == 3 == s.job_status_table(spark, folder).count()
+
+
+def test_request_rate_over_restarts(spark):
+    calls = [(k, T0 + dt.timedelta(seconds=7 * i)) for i in range(60) for k in "ab"[: 1 + i % 2]]
+    schema, folder = "key string, ts timestamp", tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    stream, source = start(spark, calls[:40], schema)
+    for part in ([], calls[40:]):
+        if part:
+            add(spark, source, part, schema)
+        sinks.upsert_stream(s.request_rate_stream(stream, 60, 30, 3), folder).awaitTermination()
+    got = {(r.key, r.window_start): r.calls for r in sinks.latest(spark, folder, ["key", "window_start"]).collect()}
+    want = {}
+    for k, t in calls:
+        for back in (0, 30):
+            at = T0 + dt.timedelta(seconds=(t - T0).total_seconds() // 30 * 30 - back)
+            want[k, at] = want.get((k, at), 0) + 1
+    assert got == want
 
 
 def test_live_windows(spark):
@@ -65,13 +113,27 @@ def test_live_windows_close_in_append_mode(spark):
         assert k + 60 < last + 60 and (r.n_segments, r.first_seg, r.last_seg) == (len(inside), min(inside), max(inside))
 
 
-def test_heartbeat_updates(spark):
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream, _ = start(spark, ROWS, s.JOB_EVENT)
-        got = {r.job_id: r for r in run(spark, s.stale_jobs_stream(stream), "update", 25).where(~F.col("heartbeat")).collect()}
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    assert got[1].stage == "analyzing" and got[1].status == "processing" and got[1].stale_seconds > 0
-    assert got[2].status == "error" and got[3].status == "paused_for_review"
+def test_heartbeat_goes_on_after_a_restart(spark, rocksdb):
+    """Beats come while a job runs; the restarted stream knows the jobs of the first run, and a finished one is silent."""
+    stream, source = start(spark, ROWS, s.JOB_EVENT)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+    def run_for(seconds):
+        q = sinks.upsert_stream(s.stale_jobs_stream(stream, 1.0), folder, processingTime="1 second")
+        q.awaitTermination(seconds)
+        q.stop()
+        return spark.read.parquet(f"{folder}/table").collect()
+
+    first = run_for(25)
+    told = {r.job_id: r for r in first if not r.heartbeat}
+    assert told[1].stage == "analyzing" and told[1].status == "processing" and told[1].stale_seconds > 0
+    assert told[2].status == "error" and told[3].status == "paused_for_review"
+    assert {r.job_id for r in first if r.heartbeat} == {1, 3}
+    add(spark, source, MORE)
+    seen = max(r.batch for r in first)
+    second = [r for r in run_for(25) if r.batch > seen]
+    told = {r.job_id: r for r in second if not r.heartbeat}
+    assert told[1].status == "done" and told[3].stage == "review" and told[4].message == "same time"
+    done = min(r.batch for r in second if r.job_id == 1 and not r.heartbeat)
+    assert not [r for r in second if r.heartbeat and r.job_id == 1 and r.batch > done]
+    assert {3, 4} <= {r.job_id for r in second if r.heartbeat}
