@@ -4,7 +4,8 @@ Every document becomes token ids and an end-of-document id. Its full windows sta
 a shard: the next ``shard`` rests of the task's input. Over a shard an inverted index with BM25 weights is built. The first unused rest
 seeds a window; the index, asked with all its words, returns all unused neighbours, best first, which fill the window greedily; the best one left is cut where the
 window is full, and what is cut off seeds the next window. Only the last window of a task can stay short, so padding is at most one
-window per input partition. The ids of a word are worked out once and kept, up to a bound.
+window per input partition. The ids of a word are worked out once and kept, up to a bound;
+new words are encoded together and cut apart again.
 
 At scale: document frequencies of hashed words (``TERMS`` buckets, so at most that many numbers reach the driver) are counted over all
 documents first. Packing itself is one pass without a shuffle; a task holds one shard of rests, at most ``shard`` windows of ids. A lost
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 
 import numpy as np
@@ -37,8 +37,6 @@ TERMS = 1 << 18
 SHARD = 1024
 K1, B = 1.2, 0.75
 _CACHED = 500_000
-_UNSAFE = re.compile(r"\s\s|^\s|\s$")
-_CUTS = re.compile(r"(?<=\S)(?= \S)")
 
 
 #: Fixed value: the pattern that splits text before byte-level merges.
@@ -62,7 +60,7 @@ class Encoder:
     """Ids of texts by a byte-level BPE file, with what was worked out for a word kept up to a bound.
 
     Pre-tokenisation takes a single space together with what follows, so a text may be cut before each single space between two
-    characters that are not white space, and the pieces give the same ids as the whole. The vocabulary's own merges are run by the
+    characters that are not white space, and the pieces give the same ids as the whole. Pieces are cut in the bytes of many texts at once. The vocabulary's own merges are run by the
     faster of two libraries; a piece that holds a special token's text goes to the other.
     """
 
@@ -76,56 +74,95 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.bytes_of[i] = len(token)
         self.merges = tiktoken.Encoding("merges", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
     def clear(self) -> None:
-        self.inner, self.first = _Places([]), _Places([])  # pieces after a space, without it; first pieces of texts
-        self.tables = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.number = _Places([])
+        self.at, self.size, self.pool, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Forget the pieces met once since the last time, or all if that is not enough."""
+        kept, pieces = np.flatnonzero(self.uses > 1), self.number.new
+        at, size, pool = self.at, self.size, self.pool
+        self.clear()
+        if len(kept) > _CACHED // 2:
+            return
+        self.number = _Places([pieces[k] for k in kept.tolist()])
+        self.number.update(zip(self.number.new, range(len(kept)), strict=True))
+        self.size, self.uses = size[kept], np.zeros(len(kept), np.int64)
+        end = np.cumsum(self.size)
+        self.at = end - self.size
+        self.pool = pool[np.repeat(at[kept] - self.at, self.size) + np.arange(int(end[-1]) if len(end) else 0)]
 
     def _ids(self, piece: str) -> list[int]:
         if any(x in piece for x in self.special):
             return self.tokenizer.encode(piece, add_special_tokens=False).ids
         return self.merges.encode_ordinary(piece)
 
-    def _learn(self, k: int, pieces: list[str]) -> None:
-        at, size, pool = self.tables[k]
-        got = [self._ids(p) for p in pieces[len(at) :]]
-        if got:
-            sizes = np.array([len(g) for g in got], np.int64)
-            flat = np.fromiter(itertools.chain.from_iterable(got), np.int32, int(sizes.sum()))
-            self.tables[k] = (np.concatenate([at, len(pool) + np.cumsum(sizes) - sizes]), np.concatenate([size, sizes]), np.concatenate([pool, flat]))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.inner) + len(self.first) > _CACHED:
-            self.clear()
-        heads, index, sizes = [], [], []
-        inner, first = self.inner.__getitem__, self.first.__getitem__
-        for t in texts:
-            if _UNSAFE.search(t):
-                head, *own = _CUTS.split(t)
-                own = [p[1:] for p in own]
-            else:
-                head, *own = t.split(" ")
-            heads.append(first(head))
-            index.extend(map(inner, own))
-            sizes.append(len(own) + 1)
-        self._learn(0, self.first.new)
-        for i in range(len(self.tables[1][0]), len(self.inner.new)):
-            self.inner.new[i] = " " + self.inner.new[i]
-        self._learn(1, self.inner.new)
-        # where the two tables' entries stand in one pool
-        (at0, size0, pool0), (at1, size1, pool1) = self.tables
-        sizes = np.array(sizes, np.int64)
-        opens = np.zeros(int(sizes.sum()), bool)
-        opens[np.cumsum(sizes) - sizes] = True
-        at, size = np.empty(len(opens), np.int64), np.empty(len(opens), np.int64)
-        at[opens], size[opens] = at0[heads], size0[heads]
-        index = np.array(index, np.int64)
-        at[~opens], size[~opens] = at1[index] + len(pool0), size1[index]
-        end = np.cumsum(size)
-        flat = np.concatenate([pool0, pool1])[np.repeat(at - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
-        return np.split(flat, end[np.cumsum(sizes) - 1][:-1]) if len(sizes) else []
+    def _learn(self) -> None:
+        """Ids of the new pieces. Those that begin and end as a cut demands are joined and encoded at once: they are cut apart again there."""
+        new = self.number.new[len(self.at) :]
+        if not new:
+            return
+        special = [x for x in self.special if any(x in p for p in new)]
+        joins = np.array([p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and not any(x in p for x in special) for p in new])
+        whole = [p for p, j in zip(new, joins.tolist(), strict=True) if j]
+        ids = np.array(self.merges.encode_ordinary("".join(whole)), np.int32)
+        upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in whole]), "left") + 1
+        sizes = np.zeros(len(new), np.int64)
+        sizes[joins] = np.diff(upto, prepend=0)
+        alone = {k: self._ids(new[k]) for k in np.flatnonzero(~joins).tolist()}
+        for k, got in alone.items():
+            sizes[k] = len(got)
+        end = np.cumsum(sizes)
+        flat, of_whole = np.empty(int(end[-1]), np.int32), np.repeat(joins, sizes)
+        flat[of_whole] = ids
+        for k, got in alone.items():
+            flat[end[k] - sizes[k] : end[k]] = got
+        self.at, self.size, self.pool = np.concatenate([self.at, len(self.pool) + end - sizes]), np.concatenate([self.size, sizes]), np.concatenate([self.pool, flat])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text: all are cut at once, and each distinct piece is looked up once."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        if len(self.number) > _CACHED:
+            self._shrink()
+        out: list[np.ndarray] = []
+        for _, _, raw, offsets in T.slices(texts):
+            marked = np.zeros(len(raw) + 1, bool)
+            marked[offsets], marked[cuts(raw)], marked[-1] = True, True, False
+            begins = np.flatnonzero(marked)
+            pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(raw))), pa.py_buffer(raw.tobytes())).dictionary_encode()
+            number = np.array([self.number[p] for p in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)[pieces.indices.to_numpy()]
+            self._learn()
+            self.uses += np.bincount(number, minlength=len(self.uses))
+            at, size = self.at[number], self.size[number]
+            end = np.cumsum(size)
+            flat = self.pool[np.repeat(at - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+            out += np.split(flat, np.append(0, end)[np.searchsorted(begins, offsets[1:-1])])
+        return out
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+# bytes that open or end a white space character beyond ASCII, and those that come before the last one
+_WIDE_OPENS, _WIDE_ENDS, _WIDE_BEFORE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_WIDE_OPENS[[0xE1, 0xE2, 0xE3]] = True
+_WIDE_ENDS[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_WIDE_BEFORE[[0xC2, 0x80, 0x81, 0x9A]] = True
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Places of single spaces between characters that are not white space. In doubt a space is left out: it need not be cut there."""
+    at = np.flatnonzero(raw == 32)
+    at = at[(at > 0) & (at < len(raw) - 1)]
+    last, next_, before = raw[at - 1], raw[at + 1], raw[np.maximum(at - 2, 0)]
+    blank = _BLANK[last] | _BLANK[next_] | _WIDE_OPENS[next_] | ((next_ == 0xC2) & np.isin(raw[np.minimum(at + 2, len(raw) - 1)], [0x85, 0xA0]))
+    return at[~(blank | (_WIDE_ENDS[last] & _WIDE_BEFORE[before]))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -167,25 +204,28 @@ def corpus_statistics(documents: DataFrame) -> dict:
 
 
 class Shard:
-    """An inverted index over the rests of some documents."""
+    """An inverted index over the rests of some documents. Terms are numbered within the shard, so that a posting list is a slice."""
 
     def __init__(self, rests: list[dict], statistics: dict):
         idf = statistics["idf"]
-        doc = np.repeat(np.arange(len(rests)), [len(r["term"]) for r in rests])
-        term = np.concatenate([r["term"] for r in rests])
+        bound = np.cumsum([0, *(len(r["term"]) for r in rests)])
+        doc = np.repeat(np.arange(len(rests)), np.diff(bound))
         times = np.concatenate([r["times"] for r in rests])
         length = np.array([r["times"].sum() for r in rests])
-        weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[doc] / statistics["mean_length"]))
+        self.known, term = np.unique(np.concatenate([r["term"] for r in rests]), return_inverse=True)
+        weight = idf[self.known][term] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[doc] / statistics["mean_length"]))
         order = np.argsort(term, kind="stable")
-        self.term, self.doc, self.weight = term[order], doc[order], weight[order]
+        self.doc, self.weight = doc[order], weight[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.known)))])
+        self.own = np.split(term, bound[1:-1])
         self.n = len(rests)
         self.unused = np.ones(self.n, bool)
 
     def neighbours(self, query: np.ndarray) -> np.ndarray:
-        """Unused rests, best first, then by order of arrival; all words of the query ask."""
-        low, high = np.searchsorted(self.term, query), np.searchsorted(self.term, query, "right")
-        size = high - low
-        at = np.repeat(high - np.cumsum(size), size) + np.arange(int(size.sum()))
+        """Unused rests, best first, then by order of arrival; all words of the query (terms as the shard numbers them) ask."""
+        low, size = self.begin[query], self.begin[query + 1] - self.begin[query]
+        end = np.cumsum(size)
+        at = np.repeat(low - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         left = np.flatnonzero(self.unused)
         return left[np.argsort(-score[left], kind="stable")]
@@ -237,14 +277,14 @@ class Packer:
                     return
                 seed = following
             index.unused[seed] = False
-            rest = rests[seed]
+            rest, seed_of = rests[seed], seed
             self._put(rest, min(self.room, len(rest["ids"])))
             if len(rest["ids"]):
                 continue  # cut off: it seeds the next window
             seed = -1
             if self.room == WINDOW:
                 continue
-            near = index.neighbours(rest["term"])
+            near = index.neighbours(index.own[seed_of])
             at, seed = 0, -1
             while at < len(near):
                 fits = size[near[at:]] <= self.room
@@ -285,7 +325,7 @@ def pack(documents: DataFrame, tokenizer: str, shard: int = SHARD) -> DataFrame:
             for i, j, raw, offsets in T.slices(column):
                 doc, term, times = terms(raw, offsets)
                 bound = np.searchsorted(doc, np.arange(j - i + 1))
-                encoded = encode(column.slice(i, j - i).to_pylist())
+                encoded = encode(column.slice(i, j - i))
                 for k, doc_id in enumerate(ids.slice(i, j - i).to_pylist()):
                     own = slice(bound[k], bound[k + 1])
                     packer.add(doc_id, np.append(encoded[k], np.int32(END)).astype("<u4"), term[own], times[own])

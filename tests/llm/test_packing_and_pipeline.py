@@ -81,7 +81,7 @@ def test_neighbours_by_brute_force():
         return sum(idf[t] * n * (P.K1 + 1) / (n + P.K1 * (1 - P.B + P.B * length / 30.0)) for t, n in zip(d["term"], d["times"], strict=True) if t in set(q.tolist()))
 
     for k in range(10):
-        got = index.neighbours(rests[k]["term"])
+        got = index.neighbours(index.own[k])
         scores = [score(rests[k]["term"], d) for d in rests]
         assert 3 not in got and len(got) == 58
         assert np.allclose(sorted((s for i, s in enumerate(scores) if i not in (3, 7)), reverse=True), [scores[i] for i in got], rtol=1e-4)
@@ -94,7 +94,7 @@ def test_all_words_of_a_long_query_ask():
     rests = [{"term": np.arange(a, b), "times": np.ones(b - a, np.int64)} for a, b in ((0, 200), (0, 50), (50, 200))]
     index = P.Shard(rests, {"idf": idf, "mean_length": 130.0})
     index.unused[0] = False
-    assert index.neighbours(rests[0]["term"]).tolist() == [2, 1]
+    assert index.neighbours(index.own[0]).tolist() == [2, 1]
 
 
 def test_neighbours_beyond_the_first_are_tried():
