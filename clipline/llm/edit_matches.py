@@ -147,21 +147,28 @@ def _matcher(items: list[tuple[int, str]], percent: int) -> Matcher:
     return _matchers[key]
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The test items, normalised and cut into blocks of bounded size; a benchmark is read by the driver block after block."""
-    rows = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy("item_id", "text")
-    out, size, seen = [[]], 0, set()
-    for r in rows.toLocalIterator():
-        t = normal(r.text)
-        if not sought(t) or t in seen:
-            continue
-        seen.add(t)
-        if size + len(t) > BLOCK_BYTES and out[-1]:
+def _normalised(batches):
+    for b in batches:
+        items = [normal(t) for t in b.column(1).to_pylist()]
+        keep = [k for k, t in enumerate(items) if sought(t)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([items[k] for k in keep], pa.string())], names=["item_id", "item"])
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id): the test items that are looked for, normalised, each once under its smallest id."""
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInArrow(_normalised, "item_id long, item string").groupBy("item").agg(F.min("item_id").alias("item_id"))
+
+
+def blocks_of(benchmark: DataFrame, size: int | None = None) -> list[list[tuple[int, str]]]:
+    """The test items in blocks of about ``size`` characters (``BLOCK_BYTES``); where a block ends changes no result."""
+    limit, out, filled = BLOCK_BYTES if size is None else size, [[]], 0
+    for r in items_of(benchmark).orderBy("item_id", "item").toLocalIterator():
+        if filled + len(r["item"]) > limit and out[-1]:
             out.append([])
-            size = 0
-            seen = {t}
-        out[-1].append((r.item_id, t))
-        size += len(t)
+            filled = 0
+        out[-1].append((r.item_id, r["item"]))
+        filled += len(r["item"])
     return [b for b in out if b]
 
 
@@ -189,13 +196,14 @@ def matches(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     return functools.reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def _contaminated(raw, offsets, items, percent):
+def _contaminated(raw, offsets, items, percent, name):
     matcher, data = _matcher(items, percent), raw.tobytes()
-    return {"contaminated_": np.array([bool(matcher.find(normal(data[a:b].decode()))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])}
+    return {name: np.array([bool(matcher.find(normal(data[a:b].decode()))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])}
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without any match, with their own columns."""
+    name = T.free_name(documents, "contaminated")
     for block in blocks_of(benchmark):
-        documents = T.map_texts(documents, functools.partial(_contaminated, items=block, percent=percent), "contaminated_ boolean", ()).where(~F.col("contaminated_")).drop("contaminated_")
+        documents = T.map_texts(documents, functools.partial(_contaminated, items=block, percent=percent, name=name), f"{name} boolean", ()).where(~F.col(name)).drop(name)
     return documents

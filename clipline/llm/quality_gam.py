@@ -132,5 +132,6 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, mos
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    scored = score_documents(documents, train(documents, labels), "quality_score_", ())
-    return scored.where(F.col("quality_score_") >= threshold).drop("quality_score_")
+    name = T.free_name(documents, "quality_score")
+    scored = score_documents(documents, train(documents, labels), name, ())
+    return scored.where(F.col(name) >= threshold).drop(name)

@@ -143,7 +143,9 @@ def scan(documents: DataFrame, reach: int = REACH) -> DataFrame:
 
 def redact(documents: DataFrame, mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """The documents with every reported span replaced by ``mask``; overlapping spans become one. ``n_chars`` follows the text."""
-    found = add_spans(documents, reach)
+    # columns whose names end as those of this module do wait under other names
+    waiting = {c: f"{c}kept" for c in documents.columns if c.endswith("_")}
+    found = add_spans(documents.withColumnsRenamed(waiting), reach)
     text = F.col("text")
     done = F.aggregate(
         "spans_", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -156,7 +158,7 @@ def redact(documents: DataFrame, mask: str = "[SECRET]", reach: int = REACH) ->
     out = found.withColumn("text", F.when(F.size("spans_") > 0, done).otherwise(text))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    return out.select(*[F.col(waiting.get(c, c)).alias(c) for c in documents.columns])
 
 
 def _sql_spans(kind: str) -> str:

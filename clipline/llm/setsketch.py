@@ -276,7 +276,7 @@ def _verdicts(sketched: DataFrame, docs: DataFrame, size: int, percent: int) ->
     groups = cut_and_release(_groups(nodes, docs, size, percent))
     members = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = members.join(least, "component").select("node", "component_id")
+    ids = members.join(least, "component").select("node", "component", "component_id")
     # a document without shingles is alone: its key is made up, so that such rows spread and match nothing
     rows = sketched.drop("sketch").withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(-F.monotonically_increasing_id()))
     out = rows.join(ids, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
@@ -284,7 +284,23 @@ def _verdicts(sketched: DataFrame, docs: DataFrame, size: int, percent: int) ->
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that remain when one of each group stays: the one with the smallest id. Rows that share an id stay or go together."""
-    verdict = near_duplicates(documents, size, percent).where("kept").select("doc_id")
-    with_id = documents.where(F.col("doc_id").isNotNull()).join(verdict.distinct(), "doc_id", "left_semi")
-    return with_id.unionByName(documents.where(F.col("doc_id").isNull())).select(*documents.columns)
+    """The documents that remain when one of each group stays: the one with the smallest id. Rows that share an id stay or go together.
+
+    Rows without an id go if their group has one; of a group without any id one row stays. Documents without words all stay.
+    """
+    docs = documents.select("doc_id", "text")
+    verdict = cut_lineage(_verdicts(_sketched(docs, size), docs, size, percent).select("doc_id", "n_shingles", "node", "component", "component_id", "kept"))
+    named = verdict.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    with_id = documents.where(F.col("doc_id").isNotNull()).join(named, "doc_id", "left_semi")
+    # a row without an id is found again by the key of its content
+    key, n = T.free_name(documents, "node"), T.free_name(documents, "n_shingles")
+
+    def keyed(raw, offsets):
+        got = _sketches(raw, offsets, size=size)
+        return {n: got["n_shingles"], key: got["node"]}
+
+    nameless = T.map_texts(documents.where(F.col("doc_id").isNull()), keyed, f"`{n}` long, `{key}` long", ())
+    chosen = verdict.where("doc_id is null and component_id is null and n_shingles > 0").groupBy("component").agg(F.min("node").alias(key)).select(key)
+    one_each = nameless.where(F.col(n) > 0).join(chosen, key, "left_semi").dropDuplicates([key])
+    rest = nameless.where(F.col(n) == 0).unionByName(one_each)
+    return with_id.unionByName(rest.drop(key, n)).select(*documents.columns)

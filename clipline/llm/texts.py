@@ -159,6 +159,14 @@ _ARROW = {
 }
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it differ from the columns of ``df``, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % n

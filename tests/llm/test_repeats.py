@@ -166,3 +166,14 @@ def test_multikey_order():
     keys = [rng.integers(0, n, 500).astype(np.uint64) for n in (3, 4, 50)]
     order = R.multikey_order(*keys)
     assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*(k.tolist() for k in keys), strict=True))
+
+
+def test_one_row_stays_of_copies_without_ids(spark, sentence):
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a + " more"), (5, b), (None, b), (None, b), (None, None), (None, ""), (None, ""), (9, c), (None, c + " x"), (7, c)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, node long, n_shingles long").repartition(3)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in N.keep_one(docs).collect()))
+    assert len([t for _, t in kept if t.startswith(a)]) == 1
+    assert [i for i, t in kept if t.startswith((b, c))] == [5, 7]
+    assert len([t for _, t in kept if not t]) == 3 and len(kept) == 6

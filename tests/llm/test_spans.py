@@ -8,6 +8,7 @@ import pytest
 
 from clipline.llm import edit_matches as E
 from clipline.llm import licence_paragraphs as L
+from clipline.llm import quality_gam
 from clipline.llm import secret_links as S
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -172,3 +173,27 @@ def test_wrapped_embedded_and_reworded_notices(spark, sentence):
         if 1000 <= r.doc_id < 2000:
             text = dict(docs)[r.doc_id].encode()[r.start : r.end].decode()
             assert text in wrapped[r.family] and len(text) > len(wrapped[r.family]) / 2
+
+
+def test_blocks_of_items_do_not_matter(spark, monkeypatch):
+    """Items that are equal once normalised count once, under the smallest id, wherever a block ends."""
+    body = "the quick brown fox jumps over the lazy dog and runs far away from it all today"
+    items = [(1, body), (2, "an entirely different question about rivers and the towns on their banks"), (3, body.upper()), (4, body.replace("quick", "quiet"))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"Once {body} and on"), (8, "nothing here")], "doc_id long, text string")
+    got = []
+    for size in (None, 100, 1):
+        monkeypatch.setattr(E, "BLOCK_BYTES", size or 1 << 23)
+        assert len(E.blocks_of(bench)) == {None: 1, 100: 3, 1: 3}[size]
+        got.append(sorted(tuple(r) for r in E.matches(docs, bench).collect()))
+        assert [r.doc_id for r in E.keep_clean(docs, bench).collect()] == [8]
+    assert got[0] == got[1] == got[2] and {r[1] for r in got[0]} == {1, 4}
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    names = ["contaminated", "contaminated_", "quality_score", "quality_score_", "base_", "hex_", "weak_", "key_", "spans_", "low_", "linked_"]
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2 and words", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    bench = spark.createDataFrame([(1, "a question that is nowhere in these few words at all")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for out in (E.keep_clean(docs, bench), quality_gam.keep_good(docs, labels), S.redact(docs)):
+        assert out.columns == docs.columns and [tuple(r)[2:] for r in out.collect()] == [tuple(range(len(names)))]
