@@ -19,7 +19,7 @@ HEADLINE = (
     "select_clips transcript_windows score_segments rank_windows restore_punctuation candidate_duration dedupe_candidates"
     " remove_overlaps align_phrases snap_end word_exact_text candidate_text filter_and_score select_top_volume"
     " localize_words chunk_captions active_speaker_at label_slots merge_cuts energy_windows resample_track"
-    " topic_tags latest_stage request_rate"
+    " topic_tags latest_stage request_rate chunk_plan smooth_track cluster_scenes similarity_dedupe resolve_boundaries align_edits"
 ).split()
 
 
