@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pack_bits
@@ -44,12 +46,36 @@ def canonical_url(url: Column) -> Column:
     return F.when(vid.isNotNull(), F.concat(F.lit("https://www.youtube.com/watch?v="), vid)).otherwise(url)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, segments, words) of nested transcript files, one JSON document each.
+def read_lines(spark: SparkSession, path: str, keys: Sequence[str] = (), schema: str | None = None) -> DataFrame:
+    """Lines of text files with their place: (keys..., line_no BIGINT from 0, value).
 
-    A file is one row, so the word numbering of a video stays inside one row.
+    ``keys`` are partition columns of the path, of the types in ``schema`` (which names ``value`` too) if given; without them the key is ``folder``, the name of the folder a file lies in. The files of a
+    key count as one text in the order of their names, so a log may be cut into parts. A file is read in splits by many tasks: lines are
+    numbered inside their split, whose size ``spark.sql.files.maxPartitionBytes`` bounds, and one row per split carries the counts across.
+    Empty lines count, an empty file has none.
+    """
+    keys = list(keys) or ["folder"]
+    raw = (spark.read.schema(schema) if schema else spark.read).text(path)
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if keys == ["folder"]:
+        raw = raw.select("value", "_metadata").withColumn("folder", file_key(file))
+    # the id rises with the lines of a task, and the lines of a split are in one task
+    lines = raw.select(*keys, file.alias("__file"), start.alias("__split"), F.monotonically_increasing_id().alias("__at"), "value")
+    inside = Window.partitionBy(*keys, "__file", "__split").orderBy("__at")
+    before = Window.partitionBy(*keys).orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy(*keys, "__file", "__split").agg(F.count("*").alias("__n"))
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    placed = lines.withColumn("__i", F.row_number().over(inside) - 1).join(splits, [*keys, "__file", "__split"])
+    return placed.select(*keys, (F.col("__before") + F.col("__i")).cast("bigint").alias("line_no"), "value")
+
+
+def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(header, segments, words) of nested transcripts: one JSON document per file, or per line with ``lines``.
+
+    A transcript is one row, so the word numbering of a video stays inside one row. With ``lines``, large files are split between tasks.
+    Words without letters or digits and words without a start are left out, an end before its start becomes the start.
     """
-    docs = spark.read.schema(TRANSCRIPT).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("__path"))
+    docs = spark.read.schema(TRANSCRIPT).json(path, multiLine=not lines).select("*", F.col("_metadata.file_path").alias("__path"))
     docs = docs.withColumn("video_id", F.coalesce("video_id", file_key(F.col("__path"))))
     header = docs.select(
         "video_id", "language", F.col("transcription_method").alias("method"), F.col("duration").alias("duration_s")
@@ -114,9 +140,8 @@ def parse_job_logs(lines: DataFrame) -> DataFrame:
 
 
 def read_job_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their place in the file: each file is read whole, one job per file."""
-    docs = spark.read.text(path, wholetext=True).select(file_key(F.col("_metadata.file_path")).alias("job_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return parse_job_logs(docs)
+    """Log lines with their place in the job's log; a folder holds the log of one job, whole or in parts."""
+    return parse_job_logs(read_lines(spark, path).withColumnRenamed("folder", "job_id"))
 
 
 def parse_audit(docs: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes_text
-from ..operators.captions import srt_files
+from ..operators.captions import srt_cues
 from ..operators.packaging import package_text
 from ..operators.transcript import transcript_line
 
@@ -17,14 +19,31 @@ def plan_documents(plans: DataFrame) -> DataFrame:
     return plans.groupBy("video_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("value"))
 
 
+def write_lines(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], parts: bool = False) -> None:
+    """A folder per key with its ``value`` lines in order, in one sorted pass over range-partitioned rows; ``read_lines`` numbers them again.
+
+    A key is one file, streamed by one task whatever its size. With ``parts`` the ranges cut through keys as well, so a key with most of the
+    rows becomes several files whose names follow the order. Writing again replaces the folder, a repeated task replaces its files.
+    """
+    by = [*keys, *order] if parts else [*keys]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*keys, *order)
+    placed.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def read_plan(spark: SparkSession, path: str, row: str) -> DataFrame:
+    """Rows of the plans that ``write_plan`` wrote (video_id as text); ``row`` is the schema of a plan's entry."""
+    docs = spark.read.schema("value string, video_id string").text(path, wholetext=True)
+    return docs.select("video_id", F.explode(F.from_json("value", f"array<struct<{row}>>")).alias("__e")).select("video_id", "__e.*")
+
+
 def write_plan(plans: DataFrame, path: str) -> None:
     """One folder per video with its plan document."""
     plan_documents(plans).write.mode("overwrite").partitionBy("video_id").text(path)
 
 
 def write_srt(captions: DataFrame, path: str) -> None:
-    """One subtitle text per clip, in a folder per video and clip."""
-    srt_files(captions).withColumnRenamed("srt", "value").write.mode("overwrite").partitionBy("video_id", "clip_name").text(path)
+    """One subtitle file per clip, in a folder per video and clip; a clip's cues pass as rows, not as one text."""
+    write_lines(srt_cues(captions).withColumnRenamed("cue", "value"), path, ["video_id", "clip_name"], ["caption_no"])
 
 
 def write_packages(plans: DataFrame, path: str) -> None:
@@ -46,6 +65,5 @@ def window_lines(windows: DataFrame) -> DataFrame:
 
 
 def write_transcript_windows(windows: DataFrame, path: str) -> None:
-    """A folder per video and window; each window's lines are sorted inside one task, windows spread over tasks."""
-    rows = window_lines(windows).repartition("video_id", "window").sortWithinPartitions("video_id", "window", "line_no")
-    rows.select("video_id", "window", "value").write.mode("overwrite").partitionBy("video_id", "window").text(path)
+    """One file per video and window, each in a folder of its own."""
+    write_lines(window_lines(windows), path, ["video_id", "window"], ["line_no"])
