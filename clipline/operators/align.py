@@ -25,6 +25,17 @@ LOOKBACK_S = 6.0
 SILENCE_BAIL_S = 2.5
 PAUSE_S = 0.45
 MAX_STEP_BACK = 8
+SHARES = 256
+
+
+def word_shares(freq: DataFrame, shares: int = SHARES) -> DataFrame:
+    """Tokens that make up more than one part in ``shares`` of the counted words, and into how many parts to cut each.
+
+    freq (keys..., __f). At most ``shares`` rows come back whatever the input, with ``shares`` parts and one more for each in all.
+    """
+    total = freq.agg(F.sum("__f")).scalar()
+    parts = F.ceil(F.col("__f") * shares / total)
+    return freq.where(F.col("__f") * shares > total).select(*[c for c in freq.columns if c != "__f"], parts.alias("__salts"))
 
 
 def phrase_matches(
@@ -36,7 +47,8 @@ def phrase_matches(
     n_tokens, ratio. With ``on=[]`` every video is searched.
 
     Of n tokens at least m must match, so any n - m + 1 positions hold a match: only the rarest ones are joined
-    to the words, then every place found is counted in full. Frequent tokens never spread.
+    to the words, then every place found is counted in full. A token that makes up a large share of the words is
+    spread over tasks by ``word_shares``.
     """
     on = list(on)
     toks = clean_tokens(F.col("phrase"))
@@ -44,24 +56,31 @@ def phrase_matches(
     n = F.size("__toks")
     needed = F.element_at(F.filter(F.sequence(F.lit(1), n), lambda k: k / n >= min_ratio), 1)
     phrases = phrases.withColumns({"__n": n, "__probes": n - needed + 1})
-    spread = phrases.select(*on, "anchor_id", "__n", "__probes", F.posexplode("__toks").alias("__pos", "clean"))
-    wanted = spread.select("clean").distinct()
-    freq = words.join(wanted, "clean", "left_semi").groupBy("clean").agg(F.count("*").alias("__f"))
+    spread = phrases.select(*on, "anchor_id", "__toks", "__n", "__probes", F.posexplode("__toks").alias("__pos", "clean"))
+    # counted before the wanted ones are picked, so that what is shuffled is one row per token and task
+    freq = words.groupBy(*on, "clean").agg(F.count("*").alias("__f")).join(spread.select(*on, "clean").distinct(), [*on, "clean"], "left_semi")
     ranked = with_ordered(
-        spread.join(freq, "clean", "left").withColumn("__f", F.coalesce("__f", F.lit(0))),
+        spread.join(freq, [*on, "clean"], "left").withColumn("__f", F.coalesce("__f", F.lit(0))),
         [*on, "anchor_id"], ["__f", "__pos"], {"__rank": position()},
     )
     probes = ranked.where((F.col("__rank") < F.col("__probes")) & (F.col("__f") > 0))
+    heavy = F.broadcast(word_shares(freq))
+    one = F.lit(1).cast("bigint")
+    salted = words.select("video_id", "word_idx", "clean").join(heavy, [*on, "clean"], "left").withColumn(
+        "__salt", F.pmod(F.xxhash64("video_id", "word_idx"), F.coalesce("__salts", one))
+    )
+    copies = probes.select(*on, "anchor_id", "__toks", "__n", "__pos", "clean").join(heavy, [*on, "clean"], "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__salts", one) - 1))
+    )
     places = (
-        words.select("video_id", "word_idx", "clean")
-        .join(probes.select(*on, "anchor_id", "__pos", "clean"), [*on, "clean"])
-        .select("video_id", "anchor_id", (F.col("word_idx") - F.col("__pos")).alias("start_idx"))
+        salted.drop("__salts")
+        .join(copies.drop("__salts"), [*on, "clean", "__salt"])
+        .withColumn("start_idx", F.col("word_idx") - F.col("__pos"))
         .where("start_idx >= 0")
-        .distinct()
+        .groupBy("video_id", "anchor_id", "start_idx", "__n").agg(F.first("__toks").alias("__toks"))
     )
-    all_toks = spread.groupBy(*on, "anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("__pos", "clean"))).alias("__m"), F.first("__n").alias("__n"))
-    checks = places.join(all_toks, [*on, "anchor_id"]).select(
-        "video_id", "anchor_id", "start_idx", "__n", F.explode("__m").alias("__pos", "__want")
+    checks = places.select(
+        "video_id", "anchor_id", "start_idx", "__n", F.posexplode("__toks").alias("__pos", "__want")
     ).withColumn("word_idx", F.col("start_idx") + F.col("__pos"))
     hit = checks.join(words.select("video_id", "word_idx", "clean"), ["video_id", "word_idx"])
     counted = hit.groupBy("video_id", "anchor_id", "start_idx", "__n").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import bhattacharyya, cosine, hamming_bits, round_to
 from .greedy import greedy_select
+from .hashes import nearest_hashes
 from .intervals import interval_join
 from .ordered import block_if, lag, lead, position, row_block, sum_before, time_block, with_ordered
 from .scan import follow
@@ -175,19 +176,19 @@ def prune_templates(templates: DataFrame, small_group: int = 5000) -> DataFrame:
 def remap_scenes(assigned: DataFrame, templates: DataFrame, active: DataFrame) -> DataFrame:
     """Scenes of removed templates go to the remaining template with the nearest hash, the first of equals.
 
-    assigned (video_id, scene, template_id); templates carry phash; active (video_id, template_id, ord).
+    assigned (video_id, scene, template_id); templates carry phash; active (video_id, template_id, ord). Nearest hashes are found by
+    ``nearest_hashes``. A removed template without hash, and a scene of no known template, go to the first remaining one; a remaining
+    template without hash is nearest to none; where nothing remains, scenes keep their template.
     """
     hashes = templates.select("video_id", "template_id", "phash")
     gone = hashes.join(active.select("video_id", "template_id"), ["video_id", "template_id"], "left_anti")
-    left = active.join(hashes, ["video_id", "template_id"]).select("video_id", F.col("template_id").alias("__to"), "ord", F.col("phash").alias("__h"))
-    near = gone.join(left, "video_id").groupBy("video_id", "template_id").agg(
-        F.min_by("__to", F.struct(hamming_bits(F.col("phash"), F.col("__h")), "ord")).alias("__to")
-    )
+    left = active.join(hashes, ["video_id", "template_id"]).select("video_id", F.col("template_id").alias("id"), "ord", "phash")
+    near = nearest_hashes(gone, left, ["video_id"]).select("video_id", "phash", F.col("id").alias("__to"))
     first = active.groupBy("video_id").agg(F.min_by("template_id", "ord").alias("__first"))
-    known = hashes.select("video_id", "template_id").withColumn("__known", F.lit(True))
-    out = assigned.join(near, ["video_id", "template_id"], "left").join(first, "video_id", "left").join(known, ["video_id", "template_id"], "left")
-    target = F.when(F.col("__known").isNull(), F.coalesce("__first", "template_id")).otherwise(F.coalesce("__to", "template_id"))
-    return out.select("video_id", "scene", target.alias("template_id"))
+    moved = gone.join(near, ["video_id", "phash"], "left").select("video_id", "template_id", "__to")
+    stay = active.select("video_id", "template_id", F.col("template_id").alias("__to"))
+    out = assigned.join(moved.unionByName(stay), ["video_id", "template_id"], "left").join(first, "video_id", "left")
+    return out.select("video_id", "scene", F.coalesce("__to", "__first", "template_id").alias("template_id"))
 
 
 # ---- classification ---------------------------------------------------------------------------------------------
