@@ -510,19 +510,21 @@ def refine_merge(
 ) -> DataFrame:
     """Refined candidates per batch of originals, de-duplicated and scored; originals not returned are kept.
 
-    originals carry ``ord``; refined carry the batch they answer, counted from 0.
+    originals carry ``ord``; refined carry the batch they answer, counted from 0, and an ``ord`` unique in it. An answer without id takes that of
+    its batch's only original; in larger batches it stays without one, and stands beside the originals. Ids may repeat between batches:
+    answers are told apart by batch and ``ord``. Answers to batches that do not exist are left out.
     """
     order = with_ordered(originals, ["video_id"], ["ord"], {"__i": position()}, block_if(large, originals, ["video_id"], row_block("ord")))
     batches = order.withColumn("batch", F.floor(F.col("__i") / batch)).drop("__i")
     single = batches.groupBy("video_id", "batch").agg(F.count("*").alias("__n"), F.first("candidate_id").alias("__only"))
     answered = refined.join(single, ["video_id", "batch"]).withColumn(
-        "candidate_id", F.when(F.col("__n") == 1, F.coalesce("candidate_id", "__only")).otherwise(F.col("candidate_id"))
-    ).drop("__n", "__only")
+        "__id", F.when(F.col("__n") == 1, F.coalesce("candidate_id", "__only")).otherwise(F.col("candidate_id"))
+    ).drop("__n", "__only").withColumn("candidate_id", F.concat_ws("/", F.col("batch").cast("string"), F.col("ord").cast("string")))
     unique = dedupe_candidates(
         answered.withColumn("__q", F.coalesce(F.col("master_score"), quality_score()) if "master_score" in answered.columns else quality_score()),
         ["video_id", "batch"], "__q", ["ord", "candidate_id"], large=large,
     ).drop("__q")
-    scored = filter_and_score(unique, segments, min_s, max_s, large=large).withColumn("refined", F.lit(True))
+    scored = filter_and_score(unique, segments, min_s, max_s, large=large).withColumn("candidate_id", F.col("__id")).drop("__id").withColumn("refined", F.lit(True))
     left = batches.join(scored.select("video_id", "batch", "candidate_id"), ["video_id", "batch", "candidate_id"], "left_anti")
     return scored.unionByName(left.withColumn("refined", F.lit(False)), allowMissingColumns=True)
 

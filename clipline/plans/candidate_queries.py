@@ -119,6 +119,23 @@ def q_filter_and_score(spark, d):
     )
 
 
+def q_refine_merge(spark, d):
+    """Slices of the documents in batches of five, and answers to most of them: moved, some much longer, some twice, some without id."""
+    segs = cut_lineage(document_segments(spark, d))
+    flat = {n: F.lit(6.0) for n in candidates.SCORES}
+    texts = {n: F.lit("") for n in ("title", "caption", "description")} | {"hashtags": F.array().cast("array<string>")}
+    own = slices(segs).withColumns({"ord": F.substring("candidate_id", 6, 12).cast("bigint") - 1, "master_score": F.lit(36.0), **flat, **texts})
+    o = F.col("ord")
+    shape = lambda rows, cid, start, end, hook, n: rows.withColumns({
+        "candidate_id": cid, "start_s": start, "end_s": end, "hook_score": hook, "batch": F.floor(o / 5), "ord": n,
+    }).withColumn("segments", one_part(F.col("start_s"), F.col("end_s"))).drop("master_score")
+    long_ = F.when(o % 6 == 2, 200.0).otherwise(0.0)
+    moved = shape(own.where(o % 4 != 3), F.when(o % 5 != 0, F.col("candidate_id")), F.col("start_s") + 1.0, F.col("end_s") + 2.0 * (o % 3) + long_, 5.0 + o % 7, o)
+    again = shape(own.where(o % 5 == 1), F.concat("candidate_id", F.lit("b")), F.col("start_s") + 4.0, F.col("end_s") + 3.0, 4.5 + o % 5, o + 1000000)
+    out = candidates.refine_merge(own, moved.unionByName(again), segs, 8.0, 60.0, large=ROW_BOUND)
+    return out.select("video_id", "batch", "candidate_id", "refined", round_to(F.col("start_s")).alias("start_s"), round_to(F.col("end_s")).alias("end_s"), "master_score")
+
+
 def q_short_with_neighbours(spark, d):
     s = event_spans(spark, d)
     out = selection.neighbours(s.select("video_id", "candidate_id", "start_s", "end_s", "length_s")).where("length_s < 15")
@@ -339,6 +356,7 @@ QUERIES = {
     "context_lines": q_context_lines,
     "anchor_summary": q_anchor_summary,
     "filter_and_score": q_filter_and_score,
+    "refine_merge": q_refine_merge,
     "short_with_neighbours": q_short_with_neighbours,
     "validate_merges": q_validate_merges,
     "apply_merges": q_apply_merges,
@@ -443,6 +461,14 @@ ORACLES = {
    JOIN seg ON seg.video_id = c.video_id AND seg.end_s > c.start_s AND seg.start_s < c.end_s
    JOIN wrd w ON w.video_id = seg.video_id AND w.seg_id = seg.seg_id AND (w.start_s + w.end_s) / 2 BETWEEN c.start_s - 0.05::DOUBLE AND c.end_s + 0.05::DOUBLE)
  SELECT c.video_id, c.candidate_id, coalesce(string_agg(word, ' ' ORDER BY word_idx), '') AS transcript_text FROM slice c LEFT JOIN hit USING (video_id, candidate_id) GROUP BY 1, 2""",
+    "refine_merge": f"""WITH RECURSIVE {SEGMENTS},{SLICES}, og AS (SELECT *, CAST(substr(candidate_id, 6) AS BIGINT) - 1 AS o FROM slice),
+ sz AS (SELECT video_id, o // 5 AS batch, count(*) AS n, any_value(candidate_id) AS sole FROM og GROUP BY 1, 2),
+ an AS (SELECT video_id, o // 5 AS batch, o AS ord, CASE WHEN o % 5 <> 0 THEN candidate_id END AS cid, start_s + 1.0 AS start_s, end_s + 2.0 * (o % 3) + CASE WHEN o % 6 = 2 THEN 200.0 ELSE 0.0 END AS end_s, 35.0::DOUBLE + o % 7 AS q FROM og WHERE o % 4 <> 3
+  UNION ALL SELECT video_id, o // 5, o + 1000000, candidate_id || 'b', start_s + 4.0, end_s + 3.0, 34.5::DOUBLE + o % 5 FROM og WHERE o % 5 = 1),
+ aw AS (SELECT an.video_id * 100000 + batch AS video_id, ord, CASE WHEN n = 1 THEN coalesce(cid, sole) ELSE cid END AS cid, start_s, end_s, q FROM an JOIN sz USING (video_id, batch)),{greedy_sql('aw', 'q DESC, ord', '{s: x.start_s, e: x.end_s, id: x.cid, v: x.q}', 'CAST([] AS STRUCT(s DOUBLE, e DOUBLE, id VARCHAR, v DOUBLE)[])', DEDUPE_CONFLICT)},
+ ok AS (SELECT video_id // 100000 AS video_id, video_id % 100000 AS batch, k.id AS candidate_id, k.s AS s, k.e AS e, k.v AS q, k.e - k.s AS dur FROM keptrow WHERE k.e > k.s AND k.e - k.s <= 150)
+ SELECT video_id, batch, candidate_id, true AS refined, {r3('s')} AS start_s, {r3('e')} AS end_s, {r3('q - CASE WHEN dur < 8 THEN (8.0 - dur) * 0.15::DOUBLE WHEN dur > 60 AND dur - 60 <= 60 THEN (dur - 60) * 0.05::DOUBLE WHEN dur > 60 THEN 3.0 + (dur - 120) * 0.15::DOUBLE ELSE 0 END')} AS master_score FROM ok
+ UNION ALL SELECT video_id, o // 5, candidate_id, false, {r3('start_s')}, {r3('end_s')}, 36.0::DOUBLE FROM og WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.video_id = og.video_id AND ok.batch = og.o // 5 AND ok.candidate_id = og.candidate_id)""",
     "plan_fingerprint": f"""WITH {SEGMENTS}, pl AS (SELECT video_id, (CAST(round({r3('arg_max(end_s, seg_id)')} * 1000) AS BIGINT) + 5) // 10 AS c FROM seg GROUP BY 1)
  SELECT video_id, substr(md5('d30-60|clip_01:0.00-' || CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0')), 1, 12) AS fingerprint FROM pl""",
     "anchor_summary": f"""WITH {SEGMENTS},{SLICES},{NEAR_EDGES},

@@ -454,3 +454,23 @@ def test_candidate_with_times_of_its_own(spark):
     })
     out = candidates.filter_and_score(df, segs, 30.0, 60.0).collect()
     assert [(r.candidate_id, r.start_s, r.end_s, r.total_duration) for r in out] == [("a", 10.0, 50.0, 40.0)]
+
+
+def test_refine_merge_tells_answers_apart(spark):
+    """Ids that repeat between batches, answers without id in batches of one and of two, a batch that is not there, one that stays silent."""
+    part = lambda a, b: [(a, b, None, None, None, None)]
+    six = [6.0] * 6
+    score = ", ".join(f"{s} double" for s in candidates.SCORES)
+    shape = f"video_id int, candidate_id string, ord long, start_s double, end_s double, {score}, segments array<struct<{PART.replace(' double', ':double').replace(' string', ':string')}>>, title string, caption string, description string, hashtags array<string>"
+    row = lambda c, o, a, b: (1, c, o, a, b, *six, part(a, b), "t", "c", "d", [])
+    originals = [row("a", 0, 0.0, 20.0), row("b", 1, 30.0, 50.0), row("c", 2, 60.0, 80.0), row("d", 3, 90.0, 110.0), row("e", 4, 120.0, 140.0)]
+    answers = [(*row("a", 0, 1.0, 21.0), 0), (*row(None, 1, 31.0, 51.0), 0), (*row("a", 0, 61.0, 81.0), 1), (*row("a", 1, 62.0, 82.0), 1), (*row(None, 0, 121.0, 141.0), 2), (*row("z", 0, 0.0, 9.0), 7)]
+    segs = spark.createDataFrame([(1, i, 10.0 * i, 10.0 * i + 10.0, f"words {i}.", None) for i in range(15)], "video_id int, seg_id int, start_s double, end_s double, text string, speaker string")
+    out = candidates.refine_merge(
+        spark.createDataFrame(originals, shape), spark.createDataFrame(answers, shape + ", batch long"), segs, 5.0, 60.0, batch=2, large=False,
+    )
+    got = sorted(((r.batch, r.candidate_id or "", r.refined, r.start_s, r.end_s) for r in out.collect()))
+    assert got == [
+        (0, "", True, 31.0, 51.0), (0, "a", True, 1.0, 21.0), (0, "b", False, 30.0, 50.0), (1, "a", True, 61.0, 81.0),
+        (1, "c", False, 60.0, 80.0), (1, "d", False, 90.0, 110.0), (2, "e", True, 121.0, 141.0),
+    ]
