@@ -135,6 +135,32 @@ def vector_faces(spark, d):
     )
 
 
+def q_prototype_samples(spark, d):
+    """A scene per frame, the templates of the first four frames of a video, the first face's label as who speaks."""
+    f = vector_faces(spark, d).withColumn("at", F.floor(F.col("face_id") / 6))
+    head = f.where(F.pmod("face_id", F.lit(6)) == 0)
+    template = F.pmod("at", F.lit(4))
+    scene = head.select("video_id", F.col("at").alias("scene"), template.alias("template_id"), F.when(template == 1, "SINGLE").otherwise("WIDE").alias("type"), F.col("t_s").alias("start_s"), (F.col("t_s") + 1.0).alias("end_s"))
+    slots = f.where((F.pmod("at", F.lit(50)) < 4) & (F.pmod("face_id", F.lit(6)) < 3)).select(
+        "video_id", template.alias("template_id"), F.pmod("face_id", F.lit(6)).alias("slot"), "x1", "y1", "x2", "y2", (F.col("conf") * 4.0).alias("confidence"), "embedding",
+    )
+    turns = head.select("video_id", F.col("t_s").alias("start_s"), (F.col("t_s") + 1.0).alias("end_s"), F.when(F.pmod("at", F.lit(9)) != 0, F.col("speaker")).otherwise("UNKNOWN").alias("speaker"))
+    out = speakers.prototype_samples(scene, slots, turns)
+    return out.select("video_id", "scene", "speaker", F.posexplode("embedding").alias("dim", "v")).select("video_id", "scene", "speaker", "dim", round_to(F.col("v").cast("double")).alias("v"))
+
+
+def q_manual_prototype_samples(spark, d):
+    """Two hand-written slots a frame, moved by 30 px and half a second, so that the next frame is tried before the own one."""
+    f = vector_faces(spark, d)
+    move = {c: F.col(c) + 30.0 for c in ("x1", "y1", "x2", "y2")}
+    slots = f.where(F.pmod("face_id", F.lit(6)) < 2).withColumns(move).select(
+        "video_id", F.floor(F.col("face_id") / 6).alias("template_id"), F.pmod("face_id", F.lit(6)).alias("slot"), F.when(F.pmod("face_id", F.lit(5)) != 0, F.col("speaker")).alias("speaker"),
+        "x1", "y1", "x2", "y2", (F.col("t_s") + 0.5).alias("canonical_s"),
+    )
+    out = speakers.manual_prototype_samples(slots, f)
+    return out.select("video_id", "template_id", "slot", "speaker", F.posexplode("embedding").alias("dim", "v")).withColumn("v", round_to(F.col("v")))
+
+
 def q_assign_slots(spark, d):
     return speakers.assign_slots(vector_faces(spark, d)).select("video_id", "face_id", "slot")
 
@@ -348,7 +374,7 @@ def q_pick_tracks(spark, d):
 QUERIES = {
     "localize_words": q_localize_words, "chunk_captions": q_chunk_captions, "srt": q_srt, "render_offsets": q_render_offsets, "emphasize_words": q_emphasize_words,
     "align_edits": q_align_edits, "adjust_ending": q_adjust_ending, "speaker_totals": q_speaker_totals, "active_speaker_at": q_active_speaker_at,
-    "slice_timeline": q_slice_timeline, "label_slots": q_label_slots, "speaker_prototypes": q_speaker_prototypes, "assign_slots": q_assign_slots,
+    "slice_timeline": q_slice_timeline, "label_slots": q_label_slots, "prototype_samples": q_prototype_samples, "manual_prototype_samples": q_manual_prototype_samples, "speaker_prototypes": q_speaker_prototypes, "assign_slots": q_assign_slots,
     "aggregate_slots": q_aggregate_slots, "template_geometry": q_template_geometry, "map_speakers": q_map_speakers, "template_votes": q_template_votes,
     "merge_cuts": q_merge_cuts, "scene_of": q_scene_of, "refine_cut": q_refine_cut, "sample_times": q_sample_times, "remap_scenes": q_remap_scenes, "medoid_hashes": q_medoid_hashes,
     "cluster_scenes": q_cluster_scenes, "prune_templates": q_prune_templates, "classify_windows": q_classify_windows, "trim_empty_edges": q_trim_empty_edges,
@@ -359,6 +385,9 @@ QUERIES = {
 
 TURN_WORDS = TURNS + "," + WORD_ROWS
 
+FACE_ROWS = """
+ fc AS (SELECT vec_id // 300 AS video_id, vec_id // 6 AS fr, CAST(vec_id // 6 AS DOUBLE) AS t, vec_id AS face_id, (CAST(embedding[1] AS DOUBLE) + 1.0) * 400.0 AS x, (CAST(embedding[2] AS DOUBLE) + 1.0) * 300.0 AS y,
+  abs(CAST(embedding[3] AS DOUBLE)) AS conf, embedding, CAST(label AS VARCHAR) AS speaker FROM embeddings)"""
 HASHES = """
  hsh AS (SELECT vec_id // 100 AS video_id, vec_id AS scene, CAST(CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END AS BIGINT) AS h
   FROM (SELECT vec_id, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::HUGEINT)), lambda a, b: a * 2 + b) AS u FROM embeddings))"""
@@ -453,6 +482,18 @@ ORACLES = {
     "slice_timeline": f"""WITH {SPANS}, top AS (SELECT video_id, max(end_s) AS m FROM span GROUP BY 1), rg AS (SELECT video_id, k AS range_id, k * 100.0::DOUBLE AS a, k * 100.0::DOUBLE + 80.0 AS b FROM top, unnest(range(0, CAST(floor(m / 100) AS BIGINT) + 1)) AS u(k)),
  cut AS (SELECT rg.video_id, range_id, speaker, greatest(start_s, a) AS s, least(end_s, b) AS e FROM rg JOIN span ON span.video_id = rg.video_id AND start_s < b AND end_s > a)
  SELECT video_id, range_id, speaker, count(*) AS n, {r3('sum(e - s)')} AS seconds FROM cut WHERE e - s > 0.15 GROUP BY 1, 2, 3""",
+    "prototype_samples": f"""WITH {FACE_ROWS}, sl AS (SELECT video_id, fr % 4 AS tid, face_id % 6 AS slot, conf * 4.0 AS c, embedding FROM fc WHERE fr % 50 < 4 AND face_id % 6 < 3),
+ rk AS (SELECT *, row_number() OVER w AS r, c - lead(c) OVER w AS gap, count(*) OVER (PARTITION BY video_id, tid) AS n FROM sl WINDOW w AS (PARTITION BY video_id, tid ORDER BY c * 8000.0 DESC, slot)),
+ hd AS (SELECT video_id, fr, speaker FROM fc WHERE face_id % 6 = 0 AND fr % 9 <> 0)
+ SELECT hd.video_id, fr AS scene, speaker, CAST(u.i - 1 AS INTEGER) AS dim, {r3('u.v')} AS v FROM hd JOIN rk ON rk.video_id = hd.video_id AND rk.tid = hd.fr % 4 AND r = 1 AND (n = 1 OR tid = 1 OR gap >= 0.15::DOUBLE), unnest(embedding) WITH ORDINALITY AS u(v, i)""",
+    "manual_prototype_samples": f"""WITH {FACE_ROWS}, sl AS (SELECT video_id, fr AS tid, face_id % 6 AS slot, speaker, x + 30.0 AS x, y + 30.0 AS y, t FROM fc WHERE face_id % 6 < 2 AND face_id % 5 <> 0),
+ tr AS (SELECT sl.*, u.i AS k, greatest(0.0, t + 0.5::DOUBLE + u.o) AS w FROM sl, unnest([0.0::DOUBLE, 0.5, -0.5, 1.0, -1.0, 1.5, 2.0, -1.5]) WITH ORDINALITY AS u(o, i)),
+ ov AS (SELECT tr.video_id, tid, slot, tr.speaker, k, face_id, embedding, greatest(0.0, 80.0 - abs(tr.x - fc.x)) * greatest(0.0, 100.0 - abs(tr.y - fc.y)) AS i FROM tr JOIN fc ON fc.video_id = tr.video_id AND fc.t = tr.w),
+ bs AS (SELECT video_id, tid, slot, speaker, k, arg_max(embedding, {{u: i / (16000.0::DOUBLE - i), f: -face_id}}) AS e FROM ov WHERE i > 0 GROUP BY 1, 2, 3, 4, 5),
+ us AS (SELECT * FROM (SELECT *, min(k) OVER (PARTITION BY video_id, tid) AS k0 FROM bs) WHERE k = k0),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, speaker ORDER BY tid, slot) AS r FROM us),
+ nm AS (SELECT *, sqrt(list_sum(list_transform(e, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) AS nrm FROM rk WHERE r <= 3)
+ SELECT video_id, tid AS template_id, slot, speaker, CAST(u.i - 1 AS INTEGER) AS dim, {r3('u.v / nrm')} AS v FROM nm, unnest(e) WITH ORDINALITY AS u(v, i)""",
     "speaker_prototypes": f"""WITH el AS (SELECT vec_id // 100 AS video_id, CAST(label AS VARCHAR) AS speaker, u.i, avg(CAST(u.v AS DOUBLE)) AS m FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, i) GROUP BY 1, 2, 3),
  nn AS (SELECT video_id, speaker, sqrt(sum(m * m)) AS n FROM el GROUP BY 1, 2)
  SELECT el.video_id, el.speaker, CAST(i - 1 AS INTEGER) AS dim, {r3('m / n')} AS v FROM el JOIN nn USING (video_id, speaker)""",
