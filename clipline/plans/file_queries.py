@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_to
 from ..operators import captions
 from ..operators.selection import select_top
 from ..operators.transcript import pseudo_words
@@ -14,7 +15,8 @@ from ..operators.windows import transcript_windows
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, writers
 from ..sources.tables import conversation_segments, document_segments, event_spans, table
-from .sql import SEGMENTS, SPANS, TURNS, WORDS, stamp
+from .media_queries import FACE_ROWS, HASHES, vector_faces
+from .sql import SEGMENTS, SPANS, TURNS, WORDS, r3, stamp
 from .transcript_queries import SMALL_OVERLAP, SMALL_WINDOW, STEP
 
 
@@ -43,6 +45,43 @@ def q_read_transcripts(spark, d):
     return words
 
 
+def registry_documents(faces: DataFrame) -> DataFrame:
+    """One registry document per video: a template per frame, every tenth by hand, every seventh disabled; odd videos have no scene map."""
+    frame, place = F.floor(F.col("face_id") / 6), F.pmod("face_id", F.lit(6))
+    slot = F.struct(
+        F.concat(F.lit("slot_"), place.cast("string")).alias("slot_name"), F.array("x1", "y1", "x2", "y2").alias("bbox"), F.array("cx", "cy").alias("center"),
+        F.col("conf").alias("confidence"), F.col("speaker").alias("speaker_label"), place.alias("slot_order"),
+    )
+    bare = lambda items: F.transform(F.sort_array(items), lambda x: x["v"])
+    bits = F.transform("embedding", lambda v: F.when(v > 0, 1).otherwise(0))
+    t = faces.groupBy("video_id", frame.alias("template_id")).agg(
+        F.min_by(bits, "face_id").alias("phash"), bare(F.collect_list(F.struct("face_id", slot.alias("v")))).alias("face_slots"), F.min("cx").alias("__x"),
+    ).select("video_id", "template_id", F.struct(
+        "template_id", "phash", F.array(F.col("template_id") * 2, F.col("template_id") * 2 + 1).alias("segment_indices"), F.when(F.col("template_id") % 3 == 0, "WIDE").alias("type"),
+        F.when(F.col("template_id") % 4 == 0, "frame.jpg").alias("canonical_frame"), "face_slots", F.struct(F.col("__x").alias("x")).alias("crop_anchor"),
+    ).alias("v"))
+    pick = lambda test, v="v": F.collect_list(F.when(test, F.struct("template_id", F.col(v).alias("v"))))
+    own, id_ = F.col("template_id") % 10 == 0, F.col("template_id")
+    docs = t.groupBy("video_id").agg(
+        bare(pick(own)).alias("manual_templates"), bare(pick(~own)).alias("templates"), F.collect_list(F.when(id_ % 7 == 0, id_)).alias("disabled_template_ids"),
+        F.map_from_entries(F.collect_list(F.struct(id_.cast("string"), id_))).alias("__scenes"),
+    )
+    return docs.select(F.to_json(F.struct(
+        F.col("video_id").cast("string").alias("video_id"), "manual_templates", "templates", "disabled_template_ids", F.when(F.col("video_id") % 2 == 0, F.col("__scenes")).alias("scene_to_template"),
+    )).alias("value"))
+
+
+def q_read_templates(spark, d):
+    """Template registries made of the vectors, written as JSON and read again; slots and scenes counted per template."""
+    folder = new_folder(spark, "registries")
+    registry_documents(vector_faces(spark, d)).write.text(folder)
+    back, on = readers.read_templates(spark, folder, lines=True), ["video_id", "template_id"]
+    slots = back["slots"].groupBy(*on).agg(F.count("*").alias("n_slots"), round_to(F.max("cx")).alias("max_cx"), F.max_by("speaker", "slot").alias("last_speaker"))
+    scenes = back["scenes"].groupBy(*on).agg(F.count("*").alias("n_scenes"), F.min("scene").alias("first_scene"))
+    t = back["templates"].select(*on, "ord", "manual", "type", "canonical", "phash", "n_faces", round_to(F.col("crop_x")).alias("crop_x"))
+    return t.join(slots, on, "left").join(scenes, on, "left")
+
+
 def q_read_job_logs(spark, d):
     """The events as logs of one job per event type, in parts by time; each line with its place in the job's log."""
     folder = new_folder(spark, "job_logs")
@@ -80,6 +119,7 @@ def q_write_plan(spark, d):
 
 
 QUERIES = {
+    "read_templates": q_read_templates,
     "read_transcripts": q_read_transcripts, "read_job_logs": q_read_job_logs, "write_transcript_windows": q_write_transcript_windows,
     "write_srt": q_write_srt, "write_plan": q_write_plan,
 }
@@ -90,6 +130,12 @@ def _clock(ms: str) -> str:
 
 
 ORACLES = {
+    "read_templates": f"""WITH {FACE_ROWS}, {HASHES.strip()},
+ tp AS (SELECT video_id, fr, count(*) AS n, min(x) AS cx, max(x) AS mx, arg_max(speaker, face_id) AS sp, min(face_id) AS f0 FROM fc GROUP BY 1, 2),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY fr % 10 <> 0, fr) - 1 AS r FROM tp WHERE fr % 10 = 0 OR fr % 7 <> 0)
+ SELECT CAST(k.video_id AS VARCHAR) AS video_id, CAST(fr AS INTEGER) AS template_id, CAST(r AS INTEGER) AS ord, fr % 10 = 0 AS manual, CASE WHEN fr % 3 = 0 THEN 'WIDE' ELSE 'SINGLE' END AS type, fr % 4 = 0 AS canonical,
+  h AS phash, CAST(n AS INTEGER) AS n_faces, {r3('cx')} AS crop_x, n AS n_slots, {r3('mx')} AS max_cx, sp AS last_speaker, CASE WHEN k.video_id % 2 = 0 THEN 1 WHEN fr % 10 <> 0 THEN 2 END::BIGINT AS n_scenes,
+  CAST(CASE WHEN k.video_id % 2 = 0 THEN fr WHEN fr % 10 <> 0 THEN 2 * fr END AS INTEGER) AS first_scene FROM kept k JOIN hsh ON hsh.scene = f0""",
     "read_transcripts": f"""WITH {WORDS} SELECT CAST(video_id AS VARCHAR) AS video_id, seg_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_s, seg_id, word_idx) - 1 AS INTEGER) AS word_idx,
  word, clean, start_s, CASE WHEN word_idx % 7 = 0 THEN start_s ELSE greatest(start_s, end_s) END AS end_s FROM wrd WHERE clean <> ''""",
     "read_job_logs": """SELECT event_type AS job_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", 'INFO' AS level,

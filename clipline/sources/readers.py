@@ -236,8 +236,9 @@ def registry_tables(docs: DataFrame) -> dict[str, DataFrame]:
     return {"templates": templates, "slots": slots, "prototypes": protos, "scenes": own.unionByName(other), "cuts": cuts}
 
 
-def read_templates(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    docs = spark.read.schema(REGISTRY).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("__path"))
+def read_templates(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """The tables of ``registry_tables`` from registry files: one JSON document per file, or per line with ``lines``."""
+    docs = spark.read.schema(REGISTRY).json(path, multiLine=not lines).select("*", F.col("_metadata.file_path").alias("__path"))
     return registry_tables(docs.withColumn("video_id", F.coalesce("video_id", file_key(F.col("__path")))))
 
 
