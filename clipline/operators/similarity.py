@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -38,50 +38,63 @@ def _ratio_udf(autojunk: bool):
     return ratio
 
 
+def _similar(left: DataFrame, right: DataFrame, keys: list[str], threshold: float, autojunk: bool, inside: bool) -> DataFrame:
+    """Pairs (keys, hi, lo) of ``left`` over ``right`` whose ratio reaches ``threshold``; ``inside``: the better one of each pair first.
+
+    Two texts meet once they share a letter pair of both prefixes; length and common letters are checked before the ratio.
+    """
+    side = lambda df, name, size: df.select(*keys, F.col("__me").alias(name), F.length("__key").alias(size), F.explode("__rare").alias("__g"))
+    near = F.least("__la", "__lb") >= F.greatest("__la", "__lb") * threshold
+    met = side(left, "hi", "__la").join(side(right, "lo", "__lb"), [*keys, "__g"]).where((F.col("hi") < F.col("lo")) & near if inside else near)
+    # texts are joined to distinct pairs only; a ratio is never worked out once per common letter pair
+    texts = lambda df, name, n: df.select(*keys, F.col("__me").alias(name), F.col("__key").alias(f"__t{n}"), F.col("__counts").alias(f"__c{n}"))
+    pairs = met.select(*keys, "hi", "lo").distinct().join(texts(left, "hi", 1), [*keys, "hi"]).join(texts(right, "lo", 2), [*keys, "lo"])
+    shared = F.aggregate(F.zip_with("__c1", "__c2", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pairs = pairs.where(2.0 * shared >= threshold * (F.length("__t1") + F.length("__t2")))
+    return pairs.where(_ratio_udf(autojunk)(F.col("__t1"), F.col("__t2")) >= threshold).select(*keys, "hi", "lo")
+
+
 def dedupe_by_similarity(
     candidates: DataFrame, keys: Sequence[str], text: str, score: str, row_id: Sequence[str], threshold: float = THRESHOLD,
-    autojunk: bool = False,
+    autojunk: bool = False, first_block: int = 64, most_block: int = 512,
 ) -> DataFrame:
     """Drop a row whose ``text`` is at least ``threshold`` similar to a better kept row of the same key.
 
-    Equal texts collapse first, so a crowd of copies costs one aggregation. The others meet through their rarest
-    letter pairs: a similar pair loses at most a share of its letter pairs, so when each text is reduced to its
-    rarest ones past that share, two similar texts still have one in common. Length and common letters are checked
-    before the exact ratio. Texts that are empty are always kept.
+    Equal texts collapse first, so a crowd of copies costs one aggregation. The rest is settled from the best down: the
+    best open texts of each key make a block (``first_block`` of them, doubled each round up to ``most_block``), the
+    block is settled by its own pairs, and only the texts it keeps are held against what is still open. So a text is
+    compared with kept texts and with its own block, never with a crowd of texts that leave: a key of n near copies
+    costs about n comparisons, not n squared. Texts meet through their rarest letter pairs: a similar pair loses at most
+    a share of its letter pairs, so when each text is reduced to its rarest ones past that share, two similar texts
+    still have one in common. Texts that are empty or NULL are always kept.
     """
     keys, ids = list(keys), list(row_id)
     me = F.struct((-F.col(score)).alias("o"), *ids)
     ranked = candidates.select(*keys, *ids, score, F.col(text).alias("__key"))
-    best = ranked.where("__key <> ''").groupBy(*keys, "__key").agg(F.min(me).alias("__me"))
-    best = cut_lineage(best.withColumn("__len", F.length("__key")))
+    best = cut_lineage(ranked.where("__key <> ''").groupBy(*keys, "__key").agg(F.min(me).alias("__me")))
+    size = F.length("__key")
     # unmatched letters on both sides of a pair: at most (1 - t)(a + b), and b is at most a / t
     share = 2 * (1 - threshold) * (1 + 1 / threshold)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__len") - 1)), lambda i: F.substring(F.col("__key"), i, F.lit(2)))
-    spread = best.select(*keys, "__key", "__len", F.explode(F.array_distinct(grams)).alias("__g"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)), lambda i: F.substring(F.col("__key"), i, F.lit(2)))
+    spread = best.select(*keys, "__me", size.alias("__len"), F.explode(F.array_distinct(grams)).alias("__g"))
     freq = spread.groupBy(*keys, "__g").agg(F.count("*").alias("__f"))
-    order = with_ordered(spread.join(freq, [*keys, "__g"]), [*keys, "__key"], ["__f", "__g"], {"__r": position()})
-    prefix = order.where(F.col("__r") <= F.ceil(F.col("__len") * share)).where("__f > 1")
-    a = prefix.select(*keys, "__g", F.col("__key").alias("__ka"), F.col("__len").alias("__la"))
-    b = prefix.select(*keys, "__g", F.col("__key").alias("__kb"), F.col("__len").alias("__lb"))
-    near = (F.col("__ka") < F.col("__kb")) & (F.least("__la", "__lb") >= F.greatest("__la", "__lb") * threshold)
-    pairs = a.join(b, [*keys, "__g"]).where(near).select(*keys, "__ka", "__kb", "__la", "__lb").distinct()
-    shared = F.lit(0)
-    for ch in "abcdefghijklmnopqrstuvwxyz0123456789 ":
-        count = lambda c: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
-        shared = shared + F.least(count(F.col("__ka")), count(F.col("__kb")))
-    pairs = pairs.where(2.0 * shared >= threshold * (F.col("__la") + F.col("__lb")))
-    own = best.select(*keys, "__key", "__me")
-    pairs = pairs.join(own.withColumnsRenamed({"__key": "__ka", "__me": "__ma"}), [*keys, "__ka"]).join(
-        own.withColumnsRenamed({"__key": "__kb", "__me": "__mb"}), [*keys, "__kb"]
-    )
-    first = F.col("__ma") < F.col("__mb")
-    edges = pairs.select(
-        *keys, F.when(first, F.col("__ma")).otherwise(F.col("__mb")).alias("hi"), F.when(first, F.col("__mb")).otherwise(F.col("__ma")).alias("lo"),
-        F.when(first, F.col("__ka")).otherwise(F.col("__kb")).alias("__t1"), F.when(first, F.col("__kb")).otherwise(F.col("__ka")).alias("__t2"),
-    )
-    edges = edges.withColumn("__ratio", _ratio_udf(autojunk)(F.col("__t1"), F.col("__t2"))).where(F.col("__ratio") >= threshold)
-    kept = keep_unbeaten(best.select(*keys, F.col("__me").alias("me")), edges.select(*keys, "hi", "lo"), keys)
-    kept_ids = kept.select(*keys, *[F.col(f"me.{c}").alias(c) for c in ids])
+    ordered = with_ordered(spread.join(freq, [*keys, "__g"]), [*keys, "__me"], ["__f", "__g"], {"__r": position()})
+    rare = ordered.where((F.col("__r") <= F.ceil(F.col("__len") * share)) & (F.col("__f") > 1)).groupBy(*keys, "__me").agg(F.collect_list("__g").alias("__rare"))
+    # a text without a shared letter pair is settled at once
+    count = lambda ch: F.length("__key") - F.length(F.replace(F.col("__key"), F.lit(ch), F.lit("")))
+    counts = F.array(*[count(ch) for ch in "abcdefghijklmnopqrstuvwxyz0123456789 "])
+    still = cut_lineage(best.join(rare, [*keys, "__me"]).withColumn("__counts", counts))
+    kept, block = best.select(*keys, "__me").join(rare, [*keys, "__me"], "left_anti"), first_block
+    down = Window.partitionBy(*keys).orderBy("__me")
+    while not still.isEmpty():
+        top = cut_lineage(still.withColumn("__n", F.row_number().over(down)).where(F.col("__n") <= block).drop("__n"))
+        won = cut_lineage(keep_unbeaten(top.select(*keys, F.col("__me").alias("me")), _similar(top, top, keys, threshold, autojunk, True), keys))
+        won = won.withColumnRenamed("me", "__me")
+        below = still.join(top.select(*keys, "__me"), [*keys, "__me"], "left_anti")
+        lost = _similar(top.join(won, [*keys, "__me"], "left_semi"), below, keys, threshold, autojunk, False)
+        still = cut_lineage(below.join(lost.select(*keys, F.col("lo").alias("__me")), [*keys, "__me"], "left_anti"))
+        kept, block = kept.unionByName(won), min(2 * block, most_block)
+    kept_ids = kept.select(*keys, *[F.col(f"__me.{c}").alias(c) for c in ids])
     empty = ranked.where("__key = '' or __key is null").select(*keys, *ids)
     return candidates.join(kept_ids.unionByName(empty), [*keys, *ids], "left_semi")
 

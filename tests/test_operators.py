@@ -237,7 +237,9 @@ def test_dwell_gate(spark):
             assert got[v, round(t, 3)] == now
 
 
-def test_similarity(spark):
+@pytest.mark.parametrize("first,most", [(64, 512), (2, 4)])
+def test_similarity(spark, first, most):
+    """One round and many rounds of blocks give the rows of a plain best-first loop; empty and NULL texts stay."""
     from difflib import SequenceMatcher
 
     rng = random.Random(12)
@@ -248,9 +250,10 @@ def test_similarity(spark):
             t = list(rng.choice(base))
             for _ in range(rng.randrange(0, 4)):
                 t[rng.randrange(len(t))] = rng.choice("abcxyz")
-            rows.append((v, i, "" if i == 7 else "".join(t), float(rng.randrange(4))))
+            rows.append((v, i, "" if i == 7 else None if i == 8 else "".join(t), float(rng.randrange(4))))
     df = spark.createDataFrame(rows, "v long, i long, key string, score double")
-    got = sorted((r.v, r.i) for r in similarity.dedupe_by_similarity(df, ["v"], "key", "score", ["i"]).collect())
+    kept = similarity.dedupe_by_similarity(df, ["v"], "key", "score", ["i"], first_block=first, most_block=most)
+    got = sorted((r.v, r.i) for r in kept.collect())
     want = []
     for v in range(2):
         kept = []
@@ -264,6 +267,23 @@ def test_similarity(spark):
     assert got == sorted(want)
 
 
+def test_similarity_crowd(spark, monkeypatch):
+    """In a crowd of near copies a text meets its block and the texts kept so far, not the whole crowd."""
+    rng, met, plain = random.Random(4), [], similarity._similar
+    base = "".join(rng.choice("abcdefghij klmnop") for _ in range(120))
+    rows = [(i, base[:p] + rng.choice("qrstuvwxyz") + base[p + 1:], float(i)) for i in range(600) for p in [rng.randrange(5, 115)]]
+    df = spark.createDataFrame(rows, "i long, key string, score double").withColumn("v", F.lit(1))
+
+    def counted(left, right, *rest):
+        met.append(left.count() * right.count())
+        return plain(left, right, *rest)
+
+    monkeypatch.setattr(similarity, "_similar", counted)
+    out = similarity.dedupe_by_similarity(df, ["v"], "key", "score", ["i"], first_block=16)
+    assert [r.i for r in out.collect()] == [599]
+    assert sum(met) <= 16 * 16 + 600
+
+
 @pytest.mark.parametrize("small", [1, 5000])
 def test_greedy_without_cells(spark, small):
     rng = random.Random(5)
