@@ -16,7 +16,7 @@ from ..sources import readers, responses
 from ..sources.tables import conversation_segments, document_segments, event_job_log, event_spans, order_stage_runs, table
 from ..streaming import jobs as streams
 from ..streaming.sinks import append_stream, latest, upsert_stream
-from .sql import SEGMENTS, SPANS, TURNS, r3
+from .sql import SEGMENTS, SPANS, TURNS, WS, r3
 from .transcript_queries import sql_list
 
 
@@ -209,22 +209,33 @@ def q_live_windows(spark, d):
 
 
 def document_responses(spark, d):
-    """Model answers that quote documents: prose, then fenced JSON with comments and a trailing comma, sometimes no clips."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    """Model answers that quote documents: prose, then fenced JSON with a comment and trailing commas.
+
+    A clip per line of the document that is not blank, its words, takeaway and score taken from that line; a document
+    without such lines, and every tenth one, answers with a summary and no clips.
+    """
+    docs = table(spark, d, "documents").select("doc_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), strip), lambda x: x != "").alias("lines"))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
     frame = lambda a, b: F.concat(F.lit("["), minutes_text(a), F.lit(" -> "), minutes_text(b), F.lit("]"))
-    s = F.pmod("doc_id", F.lit(600)).cast("double")
-    clip = F.concat(
-        F.lit('{"youtube_title": "Clip '), F.col("doc_id").cast("string"), F.lit('", "hook_score": "'), F.pmod("doc_id", F.lit(13)).cast("string"),
-        F.lit('/10", "description_hashtags": "#a #b #A", // tags\n "segments": [{"start_words": "one two", "start_frame": "'), frame(s, s + 4.0), F.lit('", "end_words": "three", "end_frame": "'), frame(s + 30.0, s + 35.5), F.lit('"},]}'),
-    )
-    body = F.when(F.pmod("doc_id", F.lit(10)) == 0, F.lit('{"window_summary": "nothing here"}')).otherwise(F.concat(F.lit('{"clips": ['), clip, F.lit("]}")))
+
+    def clip(line, k):
+        s = F.pmod(F.col("doc_id") * 7 + k * 41, F.lit(600)).cast("double")
+        return F.concat(
+            F.lit('{"youtube_title": "Clip '), F.col("doc_id").cast("string"), F.lit('", "hook_score": "'), F.pmod(F.length(line), F.lit(13)).cast("string"),
+            F.lit('/10", "takeaway": '), quoted(line), F.lit(', "description_hashtags": "#a #b #A", // tags\n "segments": [{"start_words": '), quoted(line),
+            F.lit(', "start_frame": "'), frame(s, s + 4.0), F.lit('", "end_words": "three", "end_frame": "'), frame(s + 30.0, s + 35.5), F.lit('"},]}'),
+        )
+
+    clips = F.array_join(F.transform("lines", clip), ",\n")
+    none = (F.pmod("doc_id", F.lit(10)) == 0) | (F.size("lines") == 0)
+    body = F.when(none, F.lit('{"window_summary": "nothing here"}')).otherwise(F.concat(F.lit('{"clips": ['), clips, F.lit(",]}")))
     return docs.select(F.floor(F.col("doc_id") / 8).alias("video_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("Here is the result:\n```json\n"), body, F.lit("\n```\nDone {not json}.")).alias("raw"))
 
 
 def q_parse_ai_responses(spark, d):
     raw, _ = responses.parse_ai_responses(document_responses(spark, d))
     out = candidates.normalize_candidates(raw)
-    return out.select("video_id", "candidate_id", "title", "hook_score", "flow_score", F.array_join("hashtags", " ").alias("tags"), "start_s", "end_s")
+    return out.select("video_id", "candidate_id", "title", "takeaway", "hook_score", "flow_score", F.array_join("hashtags", " ").alias("tags"), "start_s", "end_s")
 
 
 def q_best_of(spark, d):
@@ -291,6 +302,8 @@ HOST = "regexp_extract(url, '://([^/]+)', 1)"
 FILES = f"""f AS (SELECT {HOST} AS video_id, 'clip_' || CAST(page_id % 5 AS VARCHAR) AS clip_name, 'clips/' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 11 = 0 THEN '_branded' ELSE '' END AS path, page_id % 3 = 0 AS cap, page_id FROM pages)"""
 TITLE = r"trim(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1], ' ' || chr(9) || chr(10) || chr(13))"
 
+RESPONSE_LINES = f"""l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {WS})), lambda x: x <> '') AS lines FROM documents)"""
+
 ORACLES = {
     "topic_tags": f"""WITH w AS (SELECT doc_id, lower(u.x) AS x, u.i FROM documents, unnest(regexp_extract_all({TITLE} || '  ' || text, '[A-Za-z][A-Za-z0-9]{{3,}}')) WITH ORDINALITY AS u(x, i)),
  o AS (SELECT doc_id, '#' || substr(x, 1, 24) AS t, min(i) AS i FROM w WHERE x NOT IN ({sql_list(packaging.STOPWORDS)}) GROUP BY 1, 2),
@@ -325,9 +338,13 @@ ORACLES = {
  n AS (SELECT key, call_id, count(*) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM c) SELECT key, call_id, n AS calls_in_window, n > 5 AS over_limit FROM n""",
     "request_rate_stream": """WITH c AS (SELECT CASE WHEN event_type = 'purchase' THEN 'done' ELSE event_type END AS key, epoch_us(ts) // 1800000000 AS h FROM events), w AS (SELECT key, h * 1800 AS s FROM c UNION ALL SELECT key, (h - 1) * 1800 FROM c)
  SELECT key, CAST(s AS BIGINT) AS window_start, count(*) AS calls, count(*) > 5 AS over_limit FROM w GROUP BY 1, 2""",
-    "parse_ai_responses": f"""WITH v AS (SELECT doc_id // 8 AS video_id, doc_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS w, (doc_id % 600)::DOUBLE AS s FROM documents WHERE doc_id % 10 <> 0)
- SELECT video_id, 'w' || CASE WHEN w < 10 THEN '0' ELSE '' END || CAST(w AS VARCHAR) || '_c01' AS candidate_id, 'Clip ' || CAST(doc_id AS VARCHAR) AS title, least(10.0::DOUBLE, (doc_id % 13)::DOUBLE) AS hook_score, 5.0::DOUBLE AS flow_score, '#a #b' AS tags, s AS start_s, s + 35.5::DOUBLE AS end_s FROM v""",
-    "best_of": """WITH v AS (SELECT doc_id // 8 AS video_id, doc_id // 40 AS task, doc_id AS ord, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS q FROM documents) SELECT video_id, task, ord FROM (SELECT *, row_number() OVER (PARTITION BY video_id, task ORDER BY q DESC, ord) AS r FROM v) WHERE r = 1""",
+    "parse_ai_responses": f"""WITH {RESPONSE_LINES},
+ v AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS w, lines FROM l WHERE doc_id % 10 <> 0 AND len(lines) > 0),
+ c AS (SELECT doc_id, w, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM v)
+ SELECT doc_id // 8 AS video_id, 'w' || CASE WHEN w < 10 THEN '0' ELSE '' END || CAST(w AS VARCHAR) || '_c' || CASE WHEN k < 9 THEN '0' ELSE '' END || CAST(k + 1 AS VARCHAR) AS candidate_id,
+  'Clip ' || CAST(doc_id AS VARCHAR) AS title, substr(line, 1, 280) AS takeaway, least(10.0::DOUBLE, (length(line) % 13)::DOUBLE) AS hook_score, 5.0::DOUBLE AS flow_score, '#a #b' AS tags,
+  ((doc_id * 7 + k * 41) % 600)::DOUBLE AS start_s, ((doc_id * 7 + k * 41) % 600)::DOUBLE + 35.5::DOUBLE AS end_s FROM c""",
+    "best_of": f"""WITH {RESPONSE_LINES}, v AS (SELECT doc_id // 8 AS video_id, doc_id // 40 AS task, doc_id AS ord, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE len(lines) END AS q FROM l) SELECT video_id, task, ord FROM (SELECT *, row_number() OVER (PARTITION BY video_id, task ORDER BY q DESC, ord) AS r FROM v) WHERE r = 1""",
     "canonical_url": "SELECT page_id, CASE WHEN page_id % 5 = 4 THEN url ELSE 'https://www.youtube.com/watch?v=' || substr(md5(url), 1, 11) END AS canonical FROM pages",
     "diarization": f"WITH {TURNS} SELECT video_id, {r3('start_s')} AS start_s, {r3('end_s')} AS end_s, speaker FROM seg WHERE end_s > start_s",
     "loudness": f"WITH {SPANS} SELECT video_id AS track_id, count(*) AS n, {r3('sum(CASE WHEN speaker = ' + chr(39) + 'error' + chr(39) + ' THEN -120.0 ELSE -score END)')} AS lufs FROM span GROUP BY 1",
