@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, overlap, round_to
 from .greedy import select_apart
-from .intervals import interval_join
 
 # Lengths, thresholds, and the titles that are never picked.
 LENGTHS_S = (8.0, 12.0, 16.0, 20.0, 24.0)
+CELL_STARTS = 240  # window starts that one group of samples serves
 INTRO_SKIP_S = 10.0
 OUTRO_SKIP_S = 10.0
 MIN_TRACK_S, MAX_TRACK_S = 60, 480
@@ -33,24 +33,35 @@ def energy_windows(
     """Rising or sustained stretches of a track with their score.
 
     loudness (track_id, t_s, lufs), tracks (track_id, duration_s). Windows start every second of the safe zone in
-    five lengths; samples meet them through a bucketed join and are averaged on the map side first.
+    five lengths. Samples are dealt out by track and stretch of ``CELL_STARTS`` window starts; only there does a sample
+    name the windows it lies in, so what is shuffled are samples, never windows.
     """
     end = F.greatest(F.lit(0.0), F.col("duration_s") - outro_s)
     usable = end > intro_s + 8.0
     zone = tracks.select(
         "track_id", F.when(usable, F.lit(float(intro_s))).otherwise(F.lit(0.0)).alias("__a"), F.when(usable, end).otherwise(F.col("duration_s")).alias("__z")
+    ).withColumn("__n", F.ceil(F.col("__z") - 8.0 - F.col("__a")).cast("bigint"))
+    into = F.col("t_s") - F.col("__a")
+    samples = loudness.select("track_id", "t_s", "lufs").join(zone.where("__n > 0"), "track_id").withColumns({
+        "__lo": F.greatest(F.lit(0), F.floor(into - max(LENGTHS_S))).cast("bigint"), "__hi": F.least(F.col("__n") - 1, F.floor(into) + 1).cast("bigint"),
+    }).where("__lo <= __hi").drop("__n")
+    cell = lambda k: F.floor(k / CELL_STARTS)
+    dealt = samples.withColumn("__cell", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__hi")))))
+    # few bytes that become many rows: a fixed number of tasks, else they would be put together by size
+    # and samples in order of time, so that the means of a window do not change with the layout of the input
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "track_id", "__cell").sortWithinPartitions("track_id", "__cell", "t_s", "lufs")
+    first = F.greatest(F.col("__lo"), F.col("__cell") * CELL_STARTS)
+    last = F.least(F.col("__hi"), (F.col("__cell") + 1) * CELL_STARTS - 1)
+    hit = (
+        dealt.withColumn("__k", F.explode(F.sequence(first, last))).withColumn("w_start", F.col("__a") + F.col("__k")).where("w_start <= t_s")
+        .withColumn("length_s", F.explode(F.array(*[F.lit(x) for x in LENGTHS_S])))
+        .withColumn("w_end", F.col("w_start") + F.col("length_s")).where("t_s <= w_end and w_end <= __z")
     )
-    n = F.ceil(F.col("__z") - 8.0 - F.col("__a")).cast("bigint")
-    starts = zone.where(n > 0).select("track_id", "__z", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("__k"), "__a")
-    wins = starts.select(
-        "track_id", "__z", (F.col("__a") + F.col("__k")).alias("w_start"), F.explode(F.array(*[F.lit(x) for x in LENGTHS_S])).alias("length_s")
-    ).withColumn("w_end", F.col("w_start") + F.col("length_s")).where("w_end <= __z").drop("__z")
-    samples = loudness.select("track_id", "t_s", F.col("t_s").alias("__t2"), "lufs")
-    hit = interval_join(wins, samples, ["track_id"], ("w_start", "w_end"), ("t_s", "__t2"), 24.0, closed=True)
     early = F.col("t_s") <= F.col("w_start") + F.col("length_s") * 0.2
     late = F.col("t_s") >= F.col("w_start") + F.col("length_s") * 0.8
     silent = F.lit(-120.0)
-    stats = hit.groupBy("track_id", "w_start", "w_end", "length_s").agg(
+    stats = hit.groupBy("track_id", "__cell", "w_start", "w_end", "length_s").agg(
         F.coalesce(F.avg(F.when(early, F.col("lufs"))), silent).alias("__first"),
         F.coalesce(F.avg(F.when(late, F.col("lufs"))), silent).alias("__last"),
         F.avg("lufs").alias("avg_vol"), F.max("lufs").alias("peak_vol"),
