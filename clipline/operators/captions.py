@@ -184,12 +184,17 @@ def normalize_srt(text: Column) -> Column:
     return F.array_join(F.transform(useful, clean), "\n")
 
 
-def emphasize_words(words: DataFrame, symbols: dict[str, str] | None = None) -> DataFrame:
-    """Append the symbol of a keyword once. The map is a constant of a few entries."""
+def emphasized(word: Column, symbols: dict[str, str] | None = None) -> Column:
+    """The word with the symbol of its keyword behind it, once. The map is a constant of a few entries."""
     table = KEYWORD_SYMBOLS if symbols is None else symbols
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    mark = F.try_element_at(pairs, F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}_]", ""))
-    return words.withColumn("word", F.when(mark.isNotNull() & ~F.col("word").contains(mark), F.concat("word", F.lit(" "), mark)).otherwise(F.col("word")))
+    mark = F.try_element_at(pairs, F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}_]", ""))
+    return F.when(mark.isNotNull() & ~word.contains(mark), F.concat(word, F.lit(" "), mark)).otherwise(word)
+
+
+def emphasize_words(words: DataFrame, symbols: dict[str, str] | None = None) -> DataFrame:
+    """Append the symbol of a keyword once."""
+    return words.withColumn("word", emphasized(F.col("word"), symbols))
 
 
 def _matched_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
