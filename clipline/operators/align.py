@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_to
@@ -159,16 +159,27 @@ def word_edges(words: DataFrame, large: bool | None = None) -> DataFrame:
     """
     keys, order = ["video_id"], ["word_idx"]
     block = block_if(large, words, keys, row_block("word_idx"))
-    base = words.select("video_id", "word_idx", "word", "clean", "start_s", "end_s")
+    # the texts of the words end here: what is sorted and shuffled below is their times and four marks
+    base = words.select(
+        "video_id", "word_idx", "start_s", "end_s", F.col("clean").isin(*sorted(set(INCOMPLETE_ENDS))).alias("__dangling"),
+        F.col("clean").isin(*LEADING_FILLERS).alias("__opener"), F.rtrim("word").rlike(r"[.!?]$").alias("__stop"),
+    )
     near = with_ordered(base, keys, order, {"__ns": lead(F.col("start_s"))}, block)
     gap = F.col("__ns") - F.col("end_s")
     near = near.withColumns({
-        "__dangling": F.col("clean").isin(*sorted(set(INCOMPLETE_ENDS))),
-        "__filler": F.col("clean").isin(*LEADING_FILLERS) & F.col("__ns").isNotNull(),
-        "__break": F.rtrim("word").rlike(r"[.!?]$") | F.coalesce(gap >= PAUSE_S, F.lit(False)),
+        "__filler": F.col("__opener") & F.col("__ns").isNotNull(),
+        "__break": F.col("__stop") | F.coalesce(gap >= PAUSE_S, F.lit(False)),
         "__silent": F.coalesce(gap > SILENCE_BAIL_S, F.lit(False)),
         "__dead": F.coalesce(gap > SILENCE_GAP_S, F.lit(False)),
-    })
+    }).drop("__opener", "__stop")
+    if block is None:
+        # one window over the words of a video instead of three joins of all words on (video, place)
+        w = Window.partitionBy(*keys).orderBy(*order)
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        near = near.withColumns({
+            "__far_end": F.lag("end_s", MAX_STEP_BACK).over(w), "__ahead": F.lead("start_s", MAX_FILLERS).over(w),
+            "__zero_end": F.max(F.when(F.col("word_idx") == 0, F.col("end_s"))).over(upto),
+        })
     here = F.struct("word_idx", "start_s", "end_s")
     complete = F.when(F.col("__break") & ~F.col("__dangling"), here)
     seen = with_ordered(
@@ -183,14 +194,17 @@ def word_edges(words: DataFrame, large: bool | None = None) -> DataFrame:
         },
         block,
     )
-    seen = with_lag(seen, keys, "word_idx", F.col("end_s"), MAX_STEP_BACK, "__far_end", block)
-    ahead = base.select("video_id", (F.col("word_idx") - MAX_FILLERS).alias("word_idx"), F.col("start_s").alias("__far_start"))
     # a run of more than 4 fillers is rare: only its words look 4 words ahead
-    long_run = seen.where(F.col("__next_solid.word_idx") > F.col("word_idx") + MAX_FILLERS).select("video_id", "word_idx")
-    seen = seen.join(ahead.join(long_run, [*keys, *order], "left_semi"), [*keys, *order], "left")
+    runs_on = F.col("__next_solid.word_idx") > F.col("word_idx") + MAX_FILLERS
+    if block is None:
+        seen = seen.withColumn("__far_start", F.when(runs_on, F.col("__ahead")))
+    else:
+        seen = with_lag(seen, keys, "word_idx", F.col("end_s"), MAX_STEP_BACK, "__far_end", block)
+        ahead = base.select("video_id", (F.col("word_idx") - MAX_FILLERS).alias("word_idx"), F.col("start_s").alias("__far_start"))
+        long_run = seen.where(runs_on).select("video_id", "word_idx")
+        seen = seen.join(ahead.join(long_run, [*keys, *order], "left_semi"), [*keys, *order], "left")
+        seen = seen.join(base.where("word_idx = 0").select("video_id", F.col("end_s").alias("__zero_end")), "video_id", "left")
     first_end = F.coalesce("__far_end", F.col("__zero_end"))
-    zero = base.where("word_idx = 0").select("video_id", F.col("end_s").alias("__zero_end"))
-    seen = seen.join(zero, "video_id", "left")
     end = F.col("end_s")
     forward_ok = (
         F.col("__next_ok").isNotNull()
