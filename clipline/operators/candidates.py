@@ -17,7 +17,7 @@ from ..functions.text import (
     strip, tokens,
 )
 from ..functions.times import minutes_text, parse_frame, parse_seconds
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_in_place
 from .greedy import select_apart
 from .intervals import asof_nearest, interval_join, islands, nearest_within
 from .ordered import block_if, max_before, position, row_block, running_sum, sum_before, time_block, with_ordered
@@ -341,7 +341,8 @@ def stitch_extend(candidates: DataFrame, segments: DataFrame, min_s: float, larg
         .select("video_id", "candidate_id", "segments", candidate_duration(F.col("segments")).alias("__dur"))
         .withColumns({"__fs": F.col("segments")[0]["start_s"], "__le": F.element_at("segments", -1)["end_s"]})
     )
-    short, axis = cut_lineage(short), cut_lineage(axis)
+    cut = cut_lineage_in_place if large is False else cut_lineage
+    short, axis = cut(short), cut(axis)
     first = _edge_segment(short, axis, "__fs", "start_s", earliest=True, large=large)
     last = _edge_segment(short, axis, "__le", "end_s", earliest=False, large=large)
     both = short.join(first.withColumnsRenamed({"seg": "__fi", "close": "__fc", "far": "__ff"}), ["video_id", "candidate_id"])
@@ -438,7 +439,8 @@ def filter_and_score(
     ready = candidates.withColumn("segments", F.when(F.size(good) > 0, good).otherwise(F.col("segments")))
     grown = stitch_extend(ready, segments, min_s, large)
     # read several times below: the extension is worked out once
-    timed = cut_lineage(grown.withColumn("__dur", candidate_duration(F.col("segments"))).where(
+    cut = cut_lineage_in_place if large is False else cut_lineage
+    timed = cut(grown.withColumn("__dur", candidate_duration(F.col("segments"))).where(
         (F.col("__dur") > 0) & (F.col("__dur") <= max_s + 90.0)
     ))
     told = candidate_text(timed, segments, 20000, name="content").withColumn("evidence", F.substring("content", 1, 1800))
