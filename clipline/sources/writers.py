@@ -30,20 +30,38 @@ def write_lines(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence
     placed.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
-def read_plan(spark: SparkSession, path: str, row: str) -> DataFrame:
+def write_keyed_lines(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
+    """``write_lines`` for any number of keys: JSON lines of the keys, the order and ``value``, in as many files as there are tasks.
+
+    A folder per key costs a file to make, to list and to open for each; here the number of files does not grow with the keys.
+    ``readers.read_keyed_lines`` gives the lines that ``read_lines`` gives of the folders.
+    """
+    placed = rows.select(*keys, *order, "value").sortWithinPartitions(*keys, *order)
+    placed.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def read_plan(spark: SparkSession, path: str, row: str, keyed: bool = False) -> DataFrame:
     """Rows of the plans that ``write_plan`` wrote (video_id as text); ``row`` is the schema of a plan's entry."""
-    docs = spark.read.schema("value string, video_id string").text(path, wholetext=True)
+    schema = spark.read.schema("value string, video_id string")
+    docs = schema.json(path) if keyed else schema.text(path, wholetext=True)
     return docs.select("video_id", F.explode(F.from_json("value", f"array<struct<{row}>>")).alias("__e")).select("video_id", "__e.*")
 
 
-def write_plan(plans: DataFrame, path: str) -> None:
-    """One folder per video with its plan document."""
+def write_plan(plans: DataFrame, path: str, keyed: bool = False) -> None:
+    """One folder per video with its plan document; ``keyed``: the documents as JSON lines, for any number of videos."""
+    if keyed:
+        write_keyed_lines(plan_documents(plans).withColumn("video_id", F.col("video_id").cast("string")), path, ["video_id"])
+        return
     plan_documents(plans).write.mode("overwrite").partitionBy("video_id").text(path)
 
 
-def write_srt(captions: DataFrame, path: str) -> None:
-    """One subtitle file per clip, in a folder per video and clip; a clip's cues pass as rows, not as one text."""
-    write_lines(srt_cues(captions).withColumnRenamed("cue", "value"), path, ["video_id", "clip_name"], ["caption_no"])
+def write_srt(captions: DataFrame, path: str, keyed: bool = False) -> None:
+    """One subtitle file per clip, in a folder per video and clip; a clip's cues pass as rows, not as one text.
+
+    ``keyed``: the cues of all clips as JSON lines, for any number of clips.
+    """
+    write = write_keyed_lines if keyed else write_lines
+    write(srt_cues(captions).withColumnRenamed("cue", "value"), path, ["video_id", "clip_name"], ["caption_no"])
 
 
 def write_packages(plans: DataFrame, path: str) -> None:
@@ -64,6 +82,7 @@ def window_lines(windows: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def write_transcript_windows(windows: DataFrame, path: str) -> None:
-    """One file per video and window, each in a folder of its own."""
-    write_lines(window_lines(windows), path, ["video_id", "window"], ["line_no"])
+def write_transcript_windows(windows: DataFrame, path: str, keyed: bool = False) -> None:
+    """One file per video and window, each in a folder of its own; ``keyed``: the lines of all windows as JSON lines, for any number of windows."""
+    write = write_keyed_lines if keyed else write_lines
+    write(window_lines(windows), path, ["video_id", "window"], ["line_no"])
