@@ -6,6 +6,7 @@ end_frame>>. Parts are few, so what concerns one candidate is an array expressio
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, overlap, round_to
 from ..functions.text import (
-    DEFAULT_TAGS, REFINED_WEAK_OPENERS, SOFT_OPENERS, blank_to_null, clean_hashtags, first_number, squeeze,
+    DEFAULT_TAGS, REFINED_WEAK_OPENERS, SOFT_OPENERS, SPACES, blank_to_null, clean_hashtags, first_number, squeeze,
     strip, tokens,
 )
 from ..functions.times import minutes_text, parse_frame, parse_seconds
@@ -539,16 +540,16 @@ def verification_reason(parts: Column, original_parts: Column, min_s: float) ->
     frame_span = F.filter(F.transform(parts, _frame_or_times), lambda p: p["end_s"] > p["start_s"])
     estimate = F.coalesce(parts_duration(coalesced_parts(frame_span)), F.lit(0.0))
     opening = F.lower(F.regexp_replace(strip(F.coalesce(parts[0]["start_words"], F.lit(""))), r"^[^A-Za-z0-9]+", ""))
-    first = F.get(tokens(opening), F.lit(0))
-    reason = (
+    first = F.get(F.split(opening, SPACES, 2), F.lit(0))
+    # one pattern: a branch per phrase would make the opening anew for each
+    soft = opening.rlike("^(?:" + "|".join(re.escape(p) for p in SOFT_OPENERS) + ")")
+    return (
         F.when(F.size(parts) < F.size(original_parts), F.lit("fewer_parts"))
         .when(F.size(parts) == 0, F.lit("no_parts"))
         .when(estimate < 0.7 * min_s, F.lit("too_short"))
         .when(first.isin(*REFINED_WEAK_OPENERS), F.lit("weak_opener"))
+        .when(soft, F.lit("soft_opener"))
     )
-    for phrase in SOFT_OPENERS:
-        reason = reason.when(opening.startswith(phrase), F.lit("soft_opener"))
-    return reason
 
 
 def _frame_or_times(p: Column) -> Column:
