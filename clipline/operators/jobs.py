@@ -95,12 +95,18 @@ def request_rate(calls: DataFrame, seconds: int = 60, limit: int | None = None)
     """Calls of the same key in the last ``seconds`` up to each call, and whether that passes ``limit``.
 
     calls (key, call_id, ts). The half-open window (t - seconds, t] never reaches past the block before the call's
-    own when blocks are at least ``seconds`` long, so a copy of each call in the next block makes blocks independent.
+    own when blocks are at least ``seconds`` long, so blocks are independent once each call also stands in the block in which it
+    leaves the window. There it is one step up at its time and one down when it leaves; the running sum of the steps is the
+    count, so a call is not counted again for every later call of its window.
     """
     width = max(seconds, 60)
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    timed = calls.withColumn("__us", micros).withColumn("__b", F.floor(F.col("__us") / (width * 1_000_000)))
-    both = timed.withColumn("__own", F.lit(True)).unionByName(timed.withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False)))
-    near = Window.partitionBy("key", "__b").orderBy("__us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    out = both.withColumn("calls_in_window", F.count("*").over(near)).where("__own").drop("__b", "__own", "__us")
+    at, left = F.col("__us"), F.col("__us") + seconds * 1_000_000
+    block = lambda us: F.floor(us / (width * 1_000_000))
+    step = lambda b, us, by, own: F.struct(b.alias("__b"), us.alias("__at"), F.lit(by).alias("__step"), F.lit(own).alias("__own"))
+    here, after = block(at), block(at) + 1
+    steps = F.array(step(here, at, 1, True), step(here, left, -1, False), step(after, at, 1, False), step(after, left, -1, False))
+    both = calls.withColumn("__us", micros).select("*", F.inline(F.filter(steps, lambda x: x["__own"] | (x["__b"] == block(left)))))
+    upto = Window.partitionBy("key", "__b").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("calls_in_window", F.sum("__step").over(upto)).where("__own").drop("__b", "__own", "__us", "__at", "__step")
     return out.withColumn("over_limit", F.col("calls_in_window") > limit) if limit is not None else out
