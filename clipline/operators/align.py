@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_to
 from ..functions.text import INCOMPLETE_ENDS, LEADING_FILLERS, clean_tokens, phrase_side
 from ..functions.times import parse_frame
+from ..session import cut_lineage, cut_lineage_in_place
 from .intervals import interval_join
 from .ordered import (
     block_if, lag, last_seen, lead, next_seen, position, row_block, with_lag, with_ordered,
@@ -38,74 +39,88 @@ def word_shares(freq: DataFrame, shares: int = SHARES) -> DataFrame:
     return freq.where(F.col("__f") * shares > total).select(*[c for c in freq.columns if c != "__f"], parts.alias("__salts"))
 
 
+def _probes(toks: Column, min_ratio: float) -> Column:
+    """Two neighbouring words, or a lone one, from each piece of a phrase: ARRAY<STRUCT<pos, key>>.
+
+    Of n words at least m must match, so of n - m + 1 disjoint pieces one matches whole. Of a longer piece the two neighbours
+    with the most letters are taken, as long words are rare.
+    """
+    n = F.size(toks)
+    needed = F.element_at(F.filter(F.sequence(F.lit(1), n), lambda k: k / n >= min_ratio), 1)
+    pieces = n - needed + 1
+    edge = lambda k: F.floor(k * n / pieces).cast("int")
+    letters = lambda i: F.length(F.get(toks, i)) + F.length(F.get(toks, i + 1))
+
+    def probe(k):
+        a, z = edge(k), edge(k + 1)
+        longest = F.array_max(F.transform(F.sequence(a, z - 2), lambda i: F.struct(letters(i).alias("l"), (-i).alias("o"))))
+        return F.when(z - a == 1, F.struct(a.alias("pos"), F.xxhash64(F.get(toks, a)).alias("key"))).otherwise(
+            F.struct((-longest["o"]).alias("pos"), F.xxhash64(F.get(toks, -longest["o"]), F.get(toks, 1 - longest["o"])).alias("key"))
+        )
+
+    return F.transform(F.sequence(F.lit(0), pieces - 1), probe)
+
+
+def _places(anchors: DataFrame, words: DataFrame, on: Sequence[str], min_ratio: float, block: Column | None) -> DataFrame:
+    """Places where a probe of a phrase stands: video_id, anchor_id, start_idx, __toks, each once."""
+    on = list(on)
+    phrases = anchors.select(*on, "anchor_id", clean_tokens(F.col("phrase")).alias("__toks")).where(F.size("__toks") > 0)
+    probes = phrases.select(*on, "anchor_id", "__toks", F.inline(_probes(F.col("__toks"), min_ratio)))
+    near = with_ordered(
+        words.select("video_id", "word_idx", "clean"), ["video_id"], ["word_idx"], {"__next": lead(F.struct("word_idx", "clean"))}, block
+    )
+    one, two = F.xxhash64("clean"), F.xxhash64("clean", F.col("__next.clean"))
+    keyed = near.select(
+        "video_id", "word_idx", F.explode(F.when(F.col("__next.word_idx") == F.col("word_idx") + 1, F.array(one, two)).otherwise(F.array(one))).alias("key")
+    )
+    return (
+        (keyed.hint("merge") if on else keyed).join(probes, [*on, "key"])
+        .select("video_id", "anchor_id", (F.col("word_idx") - F.col("pos")).alias("start_idx"), "__toks")
+        .where("start_idx >= 0").distinct()
+    )
+
+
+def _checked(places: DataFrame, words: DataFrame, min_ratio: float, *more: Column) -> DataFrame:
+    """Places where all words stand and enough of them match; ``more`` is aggregated over the words of a place (``__k``: 0 is the first)."""
+    checks = places.select("video_id", "anchor_id", "start_idx", F.size("__toks").alias("n_tokens"), F.posexplode("__toks").alias("__k", "__want"))
+    # merged, as the planner takes words that are made of a text for as small as the text
+    hit = checks.withColumn("word_idx", F.col("start_idx") + F.col("__k")).hint("merge").join(words, ["video_id", "word_idx"])
+    counted = hit.groupBy("video_id", "anchor_id", "start_idx", "n_tokens").agg(
+        F.count("*").alias("__found"), F.count_if(F.col("clean") == F.col("__want")).alias("__hits"), *more
+    )
+    ratio = F.col("__hits") / F.col("n_tokens")
+    whole = counted.where((F.col("__found") == F.col("n_tokens")) & (ratio >= min_ratio))
+    return whole.withColumn("ratio", ratio).drop("__found", "__hits")
+
+
 def phrase_matches(
-    anchors: DataFrame, words: DataFrame, on: Sequence[str] = ("video_id",), min_ratio: float = MIN_RATIO
+    anchors: DataFrame, words: DataFrame, on: Sequence[str] = ("video_id",), min_ratio: float = MIN_RATIO, large: bool | None = None
 ) -> DataFrame:
     """All places where enough words of a phrase stand in their positions.
 
     anchors (on..., anchor_id, phrase); words (video_id, word_idx, clean). Result: video_id, anchor_id, start_idx,
     n_tokens, ratio. With ``on=[]`` every video is searched.
 
-    Of n tokens at least m must match, so any n - m + 1 positions hold a match: only the rarest ones are joined
-    to the words, then every place found is counted in full. A token that makes up a large share of the words is
-    spread over tasks by ``word_shares``.
+    Neighbouring words of the phrases (``_probes``) are looked up among the neighbouring words of the videos, then every place
+    found is counted in full. Nothing is counted beforehand, and where words are spread by video already they stay there.
     """
-    on = list(on)
-    toks = clean_tokens(F.col("phrase"))
-    phrases = anchors.select(*on, "anchor_id", toks.alias("__toks")).where(F.size("__toks") > 0)
-    n = F.size("__toks")
-    needed = F.element_at(F.filter(F.sequence(F.lit(1), n), lambda k: k / n >= min_ratio), 1)
-    phrases = phrases.withColumns({"__n": n, "__probes": n - needed + 1})
-    spread = phrases.select(*on, "anchor_id", "__toks", "__n", "__probes", F.posexplode("__toks").alias("__pos", "clean"))
-    # counted before the wanted ones are picked, so that what is shuffled is one row per token and task
-    freq = words.groupBy(*on, "clean").agg(F.count("*").alias("__f")).join(spread.select(*on, "clean").distinct(), [*on, "clean"], "left_semi")
-    ranked = with_ordered(
-        spread.join(freq, [*on, "clean"], "left").withColumn("__f", F.coalesce("__f", F.lit(0))),
-        [*on, "anchor_id"], ["__f", "__pos"], {"__rank": position()},
-    )
-    probes = ranked.where((F.col("__rank") < F.col("__probes")) & (F.col("__f") > 0))
-    heavy = F.broadcast(word_shares(freq))
-    one = F.lit(1).cast("bigint")
-    salted = words.select("video_id", "word_idx", "clean").join(heavy, [*on, "clean"], "left").withColumn(
-        "__salt", F.pmod(F.xxhash64("video_id", "word_idx"), F.coalesce("__salts", one))
-    )
-    copies = probes.select(*on, "anchor_id", "__toks", "__n", "__pos", "clean").join(heavy, [*on, "clean"], "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__salts", one) - 1))
-    )
-    places = (
-        salted.drop("__salts")
-        .join(copies.drop("__salts"), [*on, "clean", "__salt"])
-        .withColumn("start_idx", F.col("word_idx") - F.col("__pos"))
-        .where("start_idx >= 0")
-        .groupBy("video_id", "anchor_id", "start_idx", "__n").agg(F.first("__toks").alias("__toks"))
-    )
-    checks = places.select(
-        "video_id", "anchor_id", "start_idx", "__n", F.posexplode("__toks").alias("__pos", "__want")
-    ).withColumn("word_idx", F.col("start_idx") + F.col("__pos"))
-    hit = checks.join(words.select("video_id", "word_idx", "clean"), ["video_id", "word_idx"])
-    counted = hit.groupBy("video_id", "anchor_id", "start_idx", "__n").agg(
-        F.count("*").alias("__found"), F.count_if(F.col("clean") == F.col("__want")).alias("__hits")
-    )
-    ratio = F.col("__hits") / F.col("__n")
-    return counted.where((F.col("__found") == F.col("__n")) & (ratio >= min_ratio)).select(
-        "video_id", "anchor_id", "start_idx", F.col("__n").alias("n_tokens"), ratio.alias("ratio")
-    )
+    block = block_if(large, words, ["video_id"], row_block("word_idx"))
+    return _checked(_places(anchors, words, on, min_ratio, block), words.select("video_id", "word_idx", "clean"), min_ratio)
 
 
-def timed_matches(matches: DataFrame, words: DataFrame, large: bool | None = None) -> DataFrame:
-    """Adds the time of the first and last word and the starts of the words around the first one."""
+def timed_matches(
+    anchors: DataFrame, words: DataFrame, on: Sequence[str] = ("video_id",), min_ratio: float = MIN_RATIO, large: bool | None = None
+) -> DataFrame:
+    """``phrase_matches`` with the time of the first and last word and the starts of the words around the first one."""
     block = block_if(large, words, ["video_id"], row_block("word_idx"))
     near = with_ordered(
-        words.select("video_id", "word_idx", "start_s", "end_s"), ["video_id"], ["word_idx"],
+        words.select("video_id", "word_idx", "clean", "start_s", "end_s"), ["video_id"], ["word_idx"],
         {"s_prev": lag(F.col("start_s")), "s_next": lead(F.col("start_s"))}, block,
     )
-    first = near.select("video_id", F.col("word_idx").alias("start_idx"), F.col("start_s").alias("match_start"), "s_prev", "s_next")
-    last = words.select("video_id", F.col("word_idx").alias("end_idx"), F.col("end_s").alias("match_end"))
-    return (
-        matches.join(first, ["video_id", "start_idx"])
-        .withColumn("end_idx", F.col("start_idx") + F.col("n_tokens") - 1)
-        .join(last, ["video_id", "end_idx"])
-    )
+    at = lambda k, c, name: F.max(F.when(F.col("__k") == k, F.col(c))).alias(name)
+    first = [at(F.lit(0), c, name) for c, name in (("start_s", "match_start"), ("s_prev", "s_prev"), ("s_next", "s_next"))]
+    found = _checked(_places(anchors, words, on, min_ratio, block), near, min_ratio, *first, at(F.col("n_tokens") - 1, "end_s", "match_end"))
+    return found.withColumn("end_idx", F.col("start_idx") + F.col("n_tokens") - 1)
 
 
 def in_scope(hint: Column, width: float) -> Column:
@@ -139,7 +154,7 @@ def align_phrases(
     large: bool | None = None,
 ) -> DataFrame:
     """Best place of each phrase per video: the narrowest scope around ``hint_s`` with a match wins."""
-    found = timed_matches(phrase_matches(anchors, words, on, min_ratio), words, large)
+    found = timed_matches(anchors, words, on, min_ratio, large)
     hints = anchors.select(*on, "anchor_id", "hint_s")
     keys = ["video_id", "anchor_id"]
     best = best_by_scope(found.join(hints, [*on, "anchor_id"]), keys, F.col("hint_s"))
@@ -250,7 +265,9 @@ def resolve_boundaries(
         )),
     ).withColumn("anchor_id", F.struct("candidate_id", "part", "side"))
     used = words if not on else words.join(parts.select(*on).distinct(), on, "left_semi")
-    found = timed_matches(phrase_matches(sides.select(*on, "anchor_id", "phrase"), used, on), used, large)
+    # read twice, by the starts and by the ends
+    keep = cut_lineage if large is not False else cut_lineage_in_place
+    found = keep(timed_matches(sides.select(*on, "anchor_id", "phrase"), used, on, large=large))
     found = found.withColumns({c: F.col(f"anchor_id.{c}") for c in ("candidate_id", "part", "side")})
     hints = phrased.select(*key, "start_hint", "end_hint")
     k = ["video_id", "candidate_id", "part"]
@@ -272,15 +289,13 @@ def resolve_boundaries(
         F.when(F.col("b2").isNull() & after("b3"), F.col("b3")),
     )
     both = ends.withColumn("__e", chosen).where(F.col("__e").isNotNull())
-    edges = word_edges(used, large)
-    at_start = edges.select(
-        "video_id", F.col("word_idx").alias("__si"), "gap_idx", "gap_start", "filler_start"
-    )
-    at_end = edges.select("video_id", F.col("word_idx").alias("__ei"), "snapped_end")
-    both = (
-        both.withColumns({"__si": F.col("__s.start_idx"), "__ei": F.col("__e.end_idx")})
-        .join(at_start, ["video_id", "__si"]).join(at_end, ["video_id", "__ei"])
-    )
+    # both edges of a span in one pass over the words
+    wanted = both.withColumn("word_idx", F.explode(F.array_distinct(F.array(F.col("__s.start_idx"), F.col("__e.end_idx")))))
+    edges = word_edges(used, large).select("video_id", "word_idx", "gap_idx", "gap_start", "filler_start", "snapped_end")
+    at = lambda place, c: F.max(F.when(F.col("word_idx") == place, F.col(c))).alias(c)
+    both = wanted.hint("merge").join(edges, ["video_id", "word_idx"]).groupBy(*k, "__s", "__e").agg(
+        *[at(F.col("__s.start_idx"), c) for c in ("gap_idx", "gap_start", "filler_start")], at(F.col("__e.end_idx"), "snapped_end")
+    ).withColumn("__si", F.col("__s.start_idx"))
     begin = F.col("__s.match_start")
     quiet = F.when((F.col("__s.end_idx") > F.col("__si")) & (F.col("gap_idx") < F.col("__s.end_idx")), F.col("gap_start")).otherwise(begin)
     trimmed = F.greatest(quiet, F.col("filler_start"))
