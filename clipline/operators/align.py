@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_to
 from ..functions.text import INCOMPLETE_ENDS, LEADING_FILLERS, clean_tokens, phrase_side
 from ..functions.times import parse_frame
-from ..session import cut_lineage, cut_lineage_in_place
+from ..session import cut_lineage_of
 from .intervals import interval_join
 from .ordered import (
     block_if, lag, last_seen, lead, next_seen, position, row_block, with_lag, with_ordered,
@@ -266,8 +266,7 @@ def resolve_boundaries(
     ).withColumn("anchor_id", F.struct("candidate_id", "part", "side"))
     used = words if not on else words.join(parts.select(*on).distinct(), on, "left_semi")
     # read twice, by the starts and by the ends
-    keep = cut_lineage if large is not False else cut_lineage_in_place
-    found = keep(timed_matches(sides.select(*on, "anchor_id", "phrase"), used, on, large=large))
+    found = cut_lineage_of(timed_matches(sides.select(*on, "anchor_id", "phrase"), used, on, large=large), large)
     found = found.withColumns({c: F.col(f"anchor_id.{c}") for c in ("candidate_id", "part", "side")})
     hints = phrased.select(*key, "start_hint", "end_hint")
     k = ["video_id", "candidate_id", "part"]
